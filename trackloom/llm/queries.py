@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, language_id, license_scan, packing, quality, sharding, token_counts
+from . import html_extract, language_id, license_scan, minhash, packing, quality, sharding, token_counts
 from .common import read_table
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
@@ -45,4 +49,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_html_extraction, op4_token_counts, op6_language_id, op7_packing, op8_quality_rules, op9_license_scan, op10_sharding)}
+    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_html_extraction, op4_token_counts, op6_language_id, op7_packing, op8_quality_rules, op9_license_scan, op10_sharding)}
