@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, language_id, license_scan, minhash, packing, quality, sharding, token_counts
+from . import html_extract, language_id, license_scan, minhash, packing, quality, sharding, substring_dedup, token_counts
 from .common import read_table
 
 
@@ -23,6 +23,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.dedup(docs)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
@@ -49,4 +54,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_html_extraction, op4_token_counts, op6_language_id, op7_packing, op8_quality_rules, op9_license_scan, op10_sharding)}
+    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_html_extraction, op4_token_counts, op5_substring_dedup, op6_language_id, op7_packing, op8_quality_rules, op9_license_scan, op10_sharding)}
