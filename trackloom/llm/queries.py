@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, language_id, license_scan, minhash, packing, quality, sharding, substring_dedup, token_counts
+from . import decontam, html_extract, language_id, license_scan, minhash, packing, quality, sharding, substring_dedup, token_counts
 from .common import read_table
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -54,4 +58,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_html_extraction, op4_token_counts, op5_substring_dedup, op6_language_id, op7_packing, op8_quality_rules, op9_license_scan, op10_sharding)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_minhash_near_dedup, op3_html_extraction, op4_token_counts, op5_substring_dedup, op6_language_id, op7_packing, op8_quality_rules, op9_license_scan, op10_sharding)}
