@@ -3,20 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trackloom.llm import packing, quality
-from trackloom.llm.common import read_table
+from trackloom.llm import decontam, minhash, packing, quality, substring_dedup
+from trackloom.llm.common import checkpointed, read_table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the rules and the classifier keep."""
     return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies: that with the smallest id."""
+    return minhash.keep_one(docs)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, rid of the passages that stand elsewhere before; n_chars is the new length where docs have it."""
+    out = substring_dedup.dedup(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[c for c in docs.columns if c in out.columns])
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no benchmark item."""
+    return decontam.keep_clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that are left, in windows."""
     return packing.pack(docs)
 
 
-STAGES = [("quality rules", quality_stage), ("packing", packing_stage)]
+STAGES = [
+    ("quality rules", quality_stage),
+    ("MinHash near-dedup", near_dedup_stage),
+    ("substring dedup", substring_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
 
 #: SQL can't express the classifier, the sampling of shingles or the tokenizer.
 ORACLE_SQL = None
@@ -25,6 +52,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces that the last stage packs, from all documents."""
     docs = read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = checkpointed(docs)
     return docs
