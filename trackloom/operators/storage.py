@@ -1,0 +1,23 @@
+"""How files of given sizes lie in blocks with replicas: plain arithmetic on a table of files."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+NODES = 4
+BLOCK_BYTES = 128 << 20
+
+
+def blocks(files: DataFrame, file_col: str, size: Column, *, block_bytes: int = BLOCK_BYTES, replicas: int = 3, nodes: int = NODES) -> DataFrame:
+    """(file, block, offset, length, replica, node): one block at least; replica i of block b is on node (b + i) mod nodes."""
+    n = F.greatest(F.ceil(size / block_bytes), F.lit(1)).cast("long")
+    out = files.select(F.col(file_col).alias("file"), size.cast("long").alias("_size"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("block"))
+    out = out.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))).alias("replica"))
+    offset = F.col("block") * block_bytes
+    length = F.least(F.lit(block_bytes), F.col("_size") - offset)
+    return out.select("file", "block", offset.alias("offset"), F.when(length > 0, length).otherwise(block_bytes).cast("long").alias("length"), "replica", ((F.col("block") + F.col("replica")) % nodes).alias("node"))
+
+
+def occupancy(placed: DataFrame, capacity: int = 512_000 << 20) -> DataFrame:
+    return placed.groupBy("node").agg(F.count("*").alias("blocks"), F.sum("length").alias("bytes"), F.round(100.0 * F.sum("length") / capacity, 6).alias("used_pct"))

@@ -1,0 +1,25 @@
+"""Claims about a run and where in its results the evidence lies."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: (id, category, path in the results)
+CLAIMS = [
+    ("word-count", "counting", "words"), ("inverted-index", "counting", "index"), ("means-by-key", "counting", "trend"),
+    ("broadcast-join", "joins", "labels"), ("top-n", "ordering", "top"), ("describe", "statistics", "describe"),
+    ("correlation", "statistics", "correlations"), ("outliers", "statistics", "outliers"), ("windows", "streams", "windows"),
+    ("late-events", "streams", "late"), ("drift", "streams", "drift"), ("bloom", "sketches", "bloom.m"),
+    ("knn-graph", "graphs", "graph.edges"), ("pagerank", "graphs", "graph.pagerank"), ("k-means", "models", "clusters"),
+    ("elbow", "models", "elbow.k"), ("forest", "models", "models.random_forest"), ("documents", "documents", "documents"),
+]
+
+
+def claims(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(CLAIMS, "id string, category string, path string")
+
+
+def results_document(df: DataFrame, key: str, value: str) -> DataFrame:
+    """One row `doc`: a JSON object of a small table's values by key."""
+    return df.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value))))).alias("doc"))
