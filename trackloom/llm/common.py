@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import tempfile
-import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Shingle length in words and similarity from which two texts count as near copies.
 SHINGLE_WORDS = 5
@@ -48,30 +46,72 @@ def keep_columns(df: DataFrame, keep: list[str], clash: list[str]) -> list[str]:
     return [c for c in df.columns if c in keep and c not in clash]
 
 
-def hash_word(word: str) -> int:
-    """64 bits of a word, alike in every worker."""
-    raw = word.encode("utf-8", "surrogatepass")
-    return (zlib.crc32(raw) << 32 | zlib.adler32(raw) ^ zlib.crc32(raw[::-1], 0x9E3779B9)) * 0x9E3779B97F4A7C15 % (1 << 64)
+def finish(h: np.ndarray) -> np.ndarray:
+    """Mix 64 bits well."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
 
 
-class WordHashes(dict):
-    """Word to 64-bit hash, filled on demand and emptied before it grows past its bound."""
+def powers(factor: int, n: int) -> np.ndarray:
+    """factor ** 0 .. factor ** (n - 1), modulo 2 ** 64."""
+    out = np.full(n, factor, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
 
-    BOUND = 400_000
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.BOUND:
-            self.clear()
-        self[word] = h = hash_word(word)
-        return h
+class Remembered(dict):
+    """What a worker has worked out so far. When full, it takes nothing new until as many misses again show that the
+    texts have changed, and then starts anew: frequent keys come early, so they are the ones that stay."""
 
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    BOUND = 500_000
 
+    def __init__(self):
+        super().__init__()
+        self.missed = 0
 
-def hot_keys(df: DataFrame, key: str, count: str, share: float = 0.001) -> DataFrame:
-    """Keys that hold at least that share of all rows: at most 1 / share of them, so small enough to broadcast.
+    def remember(self, key: str, value):
+        if len(self) < self.BOUND:
+            self[key] = value
+        else:
+            self.missed += 1
+            if self.missed > 4 * self.BOUND:
+                self.clear()
+                self.missed = 0
+        return value
 
-    df has one row a key and its number of rows."""
-    total = df.agg(F.sum(count).alias("_total"))
-    return df.join(F.broadcast(total), F.col(count) >= F.greatest(F.col("_total") * share, F.lit(2))).drop("_total")
+
+class Words:
+    """Words of a text (runs of letters and digits, whatever their case) as 64-bit hashes, found for all words at once.
+
+    The hash of a word is a polynomial in its characters: a difference of running sums, moved back to the first place."""
+
+    FACTOR = 0x9E3779B97F4A7C15
+    #: Characters from here on are letters without case.
+    PLAIN = 0x1FFFF
+
+    def __init__(self):
+        chars = [chr(c) for c in range(self.PLAIN)]
+        self.inside = np.array([c.isalnum() for c in chars] + [True])
+        self.lower = np.array([ord(low) if len(low := c.lower()) == 1 else ord(c) for c in chars] + [self.PLAIN], np.uint64)
+        self.up = self.down = np.ones(0, np.uint64)
+
+    def ready(self, n: int) -> None:
+        if n > len(self.up):
+            n = max(n, 2 * len(self.up), 4096)
+            self.up, self.down = powers(self.FACTOR, n), powers(pow(self.FACTOR, -1, 1 << 64), n)
+
+    def codes(self, text: str) -> np.ndarray:
+        """Code points, those beyond PLAIN all as PLAIN."""
+        raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        return raw if not len(raw) or raw.max() < self.PLAIN else np.where(raw < self.PLAIN, raw, self.PLAIN)
+
+    def of(self, text: str, codes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, start and end of each word."""
+        codes = self.codes(text) if codes is None else codes
+        edge = np.diff(self.inside[codes].view(np.int8), prepend=0, append=0)
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        self.ready(len(codes) + 1)
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(self.lower[codes] * self.up[: len(codes)], out=sums[1:])
+        return finish((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64)), start, end

@@ -10,32 +10,41 @@ rank, found by window functions over salted groups.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, checkpointed, tokenizer_path
+from .common import Remembered, bound_batches, checkpointed, tokenizer_path
 
 WINDOW = 2048
 END_ID = 1
-CACHE_SIZE = 300_000
 #: Remainders of one length that are ranked together in one task.
 GROUP_ROWS = 50_000
 #: White space as the tokenizer's pattern knows it.
-SPACE = r"\t-\r \x85\xa0  -     　"
-PRE_TOKENS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Beyond these blocks of long-settled characters, the tokenizer itself splits the text.
-UNSETTLED = r"[^\x00-ɏ‐-‧€]"
+UNSETTLED = re.compile(r"[^\x00-\u024f\u2010-\u2027\u20ac]")
+LETTER, NUMBER = ("".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind) for kind in "LN")
+PRE_TOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
-class Encoder(dict):
+def byte_letters() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: itself if visible, else one from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+class Encoder(Remembered):
     """Pre-token to its ids as little-endian 32-bit bytes, learnt from the tokenizer on demand."""
 
     def __init__(self, tokenizer_file: str):
-        import regex
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -43,22 +52,20 @@ class Encoder(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split = regex.compile(PRE_TOKENS).findall
-        self.unsettled = regex.compile(UNSETTLED).search
+        self.model, self.letters = self.tokenizer.model, byte_letters()
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= CACHE_SIZE:
-            self.clear()
-        self[key] = raw = self.direct(key)
-        return raw
+        written = key.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(written)]
+        return self.remember(key, pack_ids(f"<{len(ids)}I", *ids))
 
     def encode(self, text: str) -> bytes:
-        if self.unsettled(text) or any(s in text for s in self.special):
+        if UNSETTLED.search(text) or any(s in text for s in self.special):
             return self.direct(text)
-        return b"".join(map(self.__getitem__, self.split(text)))
+        return b"".join(map(self.__getitem__, PRE_TOKENS.findall(text)))
 
 
 def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer_file: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
