@@ -8,127 +8,119 @@ covered sentences are removed.
 
 from __future__ import annotations
 
-import re
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bound_batches, checkpointed, hash_word
-from .minhash import by_key
+from .common import Words, bound_batches, checkpointed, powers
 
 #: A run has at least so many sentences and words.
 RUN_SENTENCES, RUN_WORDS = 2, 16
 #: A sentence longer than this is cut after every word whose hash says so, one in CUT.
-LONG_SENTENCE, CUT = 24, 8
-TOKENS = re.compile(r"\S+")
-EDGES = re.compile(r"^[\W_]+|[\W_]+$")
-FACTORS = (0x5851F42D4C957F2D, 0x9E3779B97F4A7C15)
-
-
-class Tokens(WordHashes):
-    """Token to the hash of its word without case and outer punctuation; the lowest bit says whether a sentence ends there."""
-
-    def __missing__(self, token: str) -> int:
-        if len(self) >= self.BOUND:
-            self.clear()
-        self[token] = h = hash_word(EDGES.sub("", token.lower())) & ~1 | (token.rstrip("\"')]»”’")[-1:] in set(".!?…"))
-        return h
-
-
-def powers(factor: int, n: int) -> np.ndarray:
-    """factor ** 0 .. factor ** (n - 1), modulo 2 ** 64."""
-    out = np.full(n, factor, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+LONG_SENTENCE, CUT = 24, 6
+#: Most runs that are broadcast because very many documents hold them.
+HOT_RUNS = 1000
+#: Characters that end a sentence where white space follows.
+STOPS = np.array([ord(c) for c in ".!?…。！？"], np.uint32)
+FACTORS = (0x5851F42D4C957F2D, 0xD1342543DE82EF95)
 
 
 class Cutter:
     """Sentences and runs of a text."""
 
     def __init__(self):
-        self.tokens, self.ready = Tokens(), 0
-
-    def tables(self, n: int) -> None:
-        if n > self.ready:
-            self.ready = max(n, 2 * self.ready, 4096)
-            self.up = [powers(f, self.ready) for f in FACTORS]
-            self.down = [powers(pow(f, -1, 1 << 64), self.ready) for f in FACTORS]
-
-    def sentences(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Word hashes, and the number of the first word of each sentence with the number of words at the end."""
-        lines = [line.split() for line in text.split("\n")]
-        h = self.tokens.of(list(chain.from_iterable(lines)))
-        n = len(h)
-        if not n:
-            return h, np.zeros(1, np.int64)
-        ends = (h & np.uint64(1)).astype(bool)
-        ends[np.cumsum([len(x) for x in lines if x]) - 1] = True
-        last = np.flatnonzero(ends)
-        size = np.diff(np.concatenate([[-1], last]))
-        long = np.repeat(size > LONG_SENTENCE, size)
-        ends |= long & ((h >> np.uint64(7)) % np.uint64(CUT) == 0)
-        return h, np.concatenate([[0], np.flatnonzero(ends) + 1])
-
-    def runs(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Two hashes, first sentence and number of sentences of each run."""
-        h, first = self.sentences(text)
+        self.words, self.size = Words(), 0
+        self.space = np.array([chr(c).isspace() for c in range(Words.PLAIN + 1)])
+
+    def ready(self, n: int) -> None:
+        if n > self.size:
+            self.size = max(n, 2 * self.size, 4096)
+            self.up = [powers(f, self.size) for f in FACTORS]
+            self.down = [powers(pow(f, -1, 1 << 64), self.size) for f in FACTORS]
+
+    def sentences(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash and place of each word, and the number of the first word of each sentence with the number of words at the
+        end. A sentence ends before a word if a line break, or a stop and white space, stand between it and the last one."""
+        codes = self.words.codes(text)
+        h, start, end = self.words.of(text, codes)
+        if not len(h):
+            return h, start, np.zeros(1, np.int64)
+        within = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[np.stack([end[:-1], start[1:]])], axis=0)[0] > 0
+        ends = np.ones(len(h), bool)
+        ends[:-1] = within(codes == 10) | within(np.isin(codes, STOPS)) & within(self.space[codes])
+        size = np.diff(np.concatenate([[-1], np.flatnonzero(ends)]))
+        ends |= np.repeat(size > LONG_SENTENCE, size) & (h % np.uint64(CUT) == 0)
+        return h, start, np.concatenate([[0], np.flatnonzero(ends) + 1])
+
+    def runs(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Two hashes, first sentence and number of sentences of each run, and whether it stands in the text before."""
+        h, _, first = self.sentences(text)
         n = len(first) - 1
         k = np.arange(n)
         reach = np.maximum(np.searchsorted(first, first[:-1] + RUN_WORDS), k + RUN_SENTENCES)
         k = k[reach <= n]
         reach = reach[: len(k)]
-        self.tables(len(h) + 1)
+        self.ready(len(h) + 1)
         out = []
         for up, down in zip(self.up, self.down):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((h >> np.uint64(1)) * up[: len(h)], dtype=np.uint64)])
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)])
             out.append(((sums[first[reach]] - sums[first[k]]) * down[first[k]]).view(np.int64))
-        return out[0], out[1], k, reach - k
+        again = np.ones(len(k), bool)
+        again[np.unique(out[0] ^ (out[1] << 1), return_index=True)[1]] = False
+        return out[0], out[1], k, reach - k, again
 
     def without(self, text: str, covered: np.ndarray) -> str:
-        """The text without the covered sentences; white space goes with the sentence before it."""
-        _, first = self.sentences(text)
-        starts = [m.start() for m in TOKENS.finditer(text)] + [len(text)]
+        """The text without the covered sentences; what stands behind a sentence goes with it."""
+        _, start, first = self.sentences(text)
+        starts = np.append(start, len(text))
         parts = [text[: starts[0]]]
         for k in np.flatnonzero(~covered[: len(first) - 1]):
             parts.append(text[starts[first[k]] : starts[first[k + 1]]])
-        return "".join(parts).rstrip() if covered.any() else text
+        return "".join(parts).rstrip()
 
 
 def spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(one, two, id, k, n): the hashes of each run, its document, first sentence and number of sentences."""
+    """(one, two, id, k, n): the hashes of each run at its first place in each document, that sentence and their number."""
 
     def run(batches):
         cutter = Cutter()
         for batch in batches:
-            cols = [cutter.runs(t) for t in batch.column(1).to_pylist()]
+            ids, cols = [], []
+            for at, text in enumerate(batch.column(1).to_pylist()):
+                one, two, k, n, again = cutter.runs(text)
+                cols.append((one[~again], two[~again], k[~again], n[~again]))
+                ids.append(np.full(len(cols[-1][0]), at))
             if cols:
-                ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(cols)), [len(c[0]) for c in cols])))
                 one, two, k, n = (np.concatenate(x) for x in zip(*cols))
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), ids, pa.array(k.astype(np.int32)), pa.array(n.astype(np.int32))], ["one", "two", "id", "k", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), batch.column(0).take(pa.array(np.concatenate(ids))), pa.array(k.astype(np.int32)), pa.array(n.astype(np.int32))], ["one", "two", "id", "k", "n"])
 
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"one long, two long, id {rows.schema['id'].dataType.simpleString()}, k int, n int")
 
 
 def covered_sentences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, spans): for each document with repeated runs, where those are that stand elsewhere before."""
+    """(id, spans): for each document with runs that stand in an earlier document, where those are."""
     found = spans(docs, id_col, text_col)
-    first = found.groupBy("one", "two").agg(F.min(F.struct("id", "k")).alias("first"), F.count("*").alias("times")).where("times > 1")
-    first = checkpointed(first.select("one", F.col("two").alias("two_"), "first", "times"))
-    # keys are told apart by both hashes; the join goes by one of them, so the other is compared after it
-    again = by_key(found, first, "one", "times").where((F.col("two") == F.col("two_")) & (F.struct("id", "k") != F.col("first")))
-    return again.groupBy("id").agg(F.collect_set(F.struct("k", "n")).alias("spans"))
+    first = found.groupBy("one", "two").agg(F.min("id").alias("first"), F.count("*").alias("times")).where("times > 1")
+    first = checkpointed(first)
+    # a run that very many documents hold is broadcast, as few can be; the others are joined by a shuffle
+    many = max(10_000, (first.agg(F.sum("times")).first()[0] or 0) // HOT_RUNS)
+    hot, rest = (first.where(c).drop("times") for c in (F.col("times") > many, F.col("times") <= many))
+    if hot.limit(1).count():
+        heads = F.broadcast(hot.select("one", "two"))
+        again = found.join(F.broadcast(hot), ["one", "two"]).unionByName(found.join(heads, ["one", "two"], "left_anti").join(rest, ["one", "two"]))
+    else:
+        again = found.join(rest, ["one", "two"])
+    return again.where("id <> first").groupBy("id").agg(F.collect_list(F.struct("k", "n")).alias("spans"))
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text rid of repeated passages, n_sentences, n_removed.
 
     The first place of a passage, by id and position, stays; a passage that repeats within one document counts too. A
-    null text stays null, with 0 sentences; a text may become empty. Rows without an id neither give nor lose passages.
-    Rows of equal id are one document: their passages are at equal places. Columns of docs with those names give way."""
+    null text stays null, with 0 sentences; a text may become empty. Rows without an id only lose what repeats within
+    them. Rows of equal id are one document: none of them is earlier than the other. Columns of docs with those names give way."""
     bound_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
     cover = covered_sentences(docs, id_col, text_col).select(F.col("id").alias(id_col), F.col("spans").alias("_spans"))
@@ -141,10 +133,13 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
         for batch in batches:
             texts, sentences, removed = batch.column(at).to_pylist(), [], []
             for i, (starts, sizes) in enumerate(zip(batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist())):
-                n = len(cutter.sentences(texts[i])[1]) - 1 if texts[i] else 0
+                n = len(cutter.sentences(texts[i])[2]) - 1 if texts[i] else 0
                 covered = np.zeros(n, bool)
-                for k, size in zip(starts or (), sizes or ()):
-                    covered[k : k + size] = True
+                if n:
+                    _, _, own, reach, again = cutter.runs(texts[i])
+                    starts, sizes = [*(starts or ()), *own[again]], [*(sizes or ()), *reach[again]]
+                    for k, size in zip(starts, sizes):
+                        covered[k : k + size] = True
                 if covered.any():
                     texts[i] = cutter.without(texts[i], covered)
                 sentences.append(n)
