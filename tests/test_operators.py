@@ -11,7 +11,7 @@ from trackloom.functions.ordering import numbered, running_max
 from trackloom.functions.text import code_points, crc_part, credits, human_size, tokens
 from trackloom.operators import bloom, clean, docs, graph, ml, relational, stats, storage, windows
 from trackloom.plans import pipeline
-from trackloom.sources import files
+from trackloom.sources import documents, files
 from trackloom.streaming import events
 
 FEATURES = ["danceability", "energy", "valence", "tempo", "acousticness", "instrumentalness", "loudness", "speechiness"]
@@ -301,6 +301,19 @@ def test_paths_and_evidence(spark):
     assert docs.leaf_paths(nested.schema) == [("id", "int"), ("s.a", "string"), ("s.b", "array<int>")]
 
 
+def test_document_store(spark, tmp_path):
+    df = spark.createDataFrame([("a", "done", (3,)), ("b", "failed", (7,))], "id string, state string, config struct<k int>")
+    one, two, three = (str(tmp_path / x) for x in ("one", "two", "three"))
+    documents.append(df, one)
+    documents.append(spark.createDataFrame([("c", "queued", (5,))], df.schema), one)
+    assert [r.id for r in documents.find(spark, one, df.schema, order=["id"], limit=2).collect()] == ["c", "b"]
+    assert documents.find(spark, one, df.schema, F.col("config.k") > 4).count() == 2
+    documents.change(spark, one, two, df.schema, F.col("id") == "c", {"state": F.lit("done")})
+    assert documents.find(spark, two, df.schema, F.col("state") == "done").count() == 2
+    documents.drop(spark, two, three, df.schema, F.col("state") == "failed")
+    assert {r.id for r in documents.find(spark, three, df.schema).collect()} == {"a", "c"}
+
+
 def test_blocks_by_hand(spark):
     files_ = spark.createDataFrame([("f", 300 << 20), ("empty", 0)], "file string, size long")
     rows = storage.blocks(files_, "file", F.col("size")).collect()

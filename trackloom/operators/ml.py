@@ -128,6 +128,16 @@ def roc_points(df: DataFrame, y: str = "y", score: str = "score", points: int =
     return run.where(((F.col("_k") - 1) % step == 0) | (F.col("_k") == F.col("_n"))).select(F.col(score).alias("threshold"), F.round(F.col("fp") / F.col("_q"), 4).alias("fpr"), F.round(F.col("tp") / F.col("_p"), 4).alias("tpr"))
 
 
+def importances(model, features: list[str], spark) -> DataFrame:
+    """(feature, importance) of a fitted forest or tree, four decimals."""
+    return spark.createDataFrame([(f, round(float(v), 4)) for f, v in zip(features, model.featureImportances.toArray())], "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
+def inertia(df: DataFrame, features: list[str], label: str = "cluster") -> DataFrame:
+    """One row: the sum of squared distances of all rows from the mean of their cluster."""
+    return df.groupBy(label).agg(*[(F.var_pop(c) * F.count(c)).alias(c) for c in features]).agg(F.round(F.sum(sum((F.col(c) for c in features[1:]), F.col(features[0]))), 4).alias("inertia"))
+
+
 def class_balance(df: DataFrame, y: str = "y") -> DataFrame:
     return df.groupBy("split").agg(F.count_if(F.col(y) == 1).alias("positives"), F.count_if(F.col(y) == 0).alias("negatives"))
 

@@ -23,6 +23,12 @@ def pivot_counts(df: DataFrame, row: str, column: str, values: list) -> DataFram
     return df.groupBy(row).agg(*[F.count_if(F.col(column) == v).alias(str(v)) for v in values])
 
 
+def rollup_counts(df: DataFrame, keys: list[str], total: str = "(all)") -> DataFrame:
+    """Counts by all keys, by fewer and fewer of them, and of the whole; a total stands where a key is summed up."""
+    out = df.rollup(*keys).agg(F.count("*").alias("n"), *[F.grouping(k).alias(f"_g_{k}") for k in keys])
+    return out.select(*[F.when(F.col(f"_g_{k}") == 1, total).otherwise(F.col(k).cast("string")).alias(k) for k in keys], "n")
+
+
 def row_shares(df: DataFrame, row: str, values: list[str]) -> DataFrame:
     """Counts of a pivot as per cent of their row, two decimals, with the row's total."""
     total = sum((F.col(v) for v in values[1:]), F.col(values[0]))

@@ -204,6 +204,11 @@ def heat_norm(spark, sf):
     return plain(stats.heat(relational.count_by(items(spark, sf), ["year", "flag"]), "n"))
 
 
+@query(f"SELECT coalesce(year::VARCHAR, '(all)') AS year, coalesce(flag, '(all)') AS flag, count(*) AS n FROM {ITEMS} GROUP BY ROLLUP (year, flag)")
+def agg_rollup(spark, sf):
+    return relational.rollup_counts(items(spark, sf), ["year", "flag"])
+
+
 # --- joins, order, paging
 
 LABELS = [("A", "returned"), ("N", "new")]
@@ -538,6 +543,24 @@ def bloom_empirical_fpr(spark, sf):
     return bloom.contains(customer_bits(spark, sf), absent, "w", BLOOM_M, BLOOM_K).agg(F.count("*").alias("probes"), F.count_if("hit").alias("false_positives"))
 
 
+@query(f"SELECT c_name AS w, string_agg(bit::VARCHAR, ',' ORDER BY bit) AS bits FROM (SELECT DISTINCT c_name, bit FROM (SELECT c_name, w, {BLOOM_POS} AS bit FROM (SELECT c_name, c_name AS w FROM customer))) GROUP BY c_name")
+def bloom_positions(spark, sf):
+    places = F.array_sort(F.array_distinct(bloom.positions(F.col("c_name"), BLOOM_M, BLOOM_K)))
+    return table(spark, sf, "customer").select(F.col("c_name").alias("w"), F.array_join(F.transform(places, lambda p: p.cast("string")), ",").alias("bits"))
+
+
+@query("SELECT name, count(*) OVER () AS total FROM (SELECT DISTINCT unnest([p_brand, p_type]) AS name FROM part)")
+def bloom_vocab(spark, sf):
+    line = F.concat_ws("; ", "p_brand", "p_type")
+    names = table(spark, sf, "part").select(F.explode(credits(line)).alias("name")).distinct()
+    return names.join(F.broadcast(names.agg(F.count("*").alias("total"))), F.lit(True))
+
+
+@query(f"SELECT w FROM {BLOOM_HITS} WHERE hit")
+def semi_bloom(spark, sf):
+    return bloom.may_hold(customer_bits(spark, sf), probe_words(spark, sf), "w", BLOOM_M, BLOOM_K)
+
+
 # --- graphs
 
 def trade(spark, sf):
@@ -564,6 +587,12 @@ def graph_knn_build(spark, sf):
     return graph.knn_edges(table(spark, sf, "embeddings"), "vec_id", "embedding", 4)
 
 
+@query("WITH p AS (SELECT a.vec_id AS id, b.vec_id AS id2, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS weight FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY weight DESC, id2) AS rank FROM p) SELECT * FROM r WHERE rank <= 4")
+def join_knn(spark, sf):
+    """Each vector's four nearest."""
+    return plain(graph.nearest(table(spark, sf, "embeddings"), "vec_id", "embedding", 4))
+
+
 @query(f"SELECT id, degree FROM {DEGREE}")
 def graph_degree(spark, sf):
     return plain(graph.degrees(*trade(spark, sf)))
@@ -709,6 +738,32 @@ def ml_kmeans(spark, sf):
     return ml.by_size(ml.kmeans(df, 5).transform(df)).select("vec_id", "cluster")
 
 
+@query("WITH m AS (SELECT *, avg(l_quantity) OVER w AS a, avg(l_discount) OVER w AS b FROM lineitem WINDOW w AS (PARTITION BY l_returnflag)) SELECT round(sum(pow(l_quantity - a, 2) + pow(l_discount - b, 2)), 4) AS inertia FROM m")
+def ml_inertia(spark, sf):
+    return ml.inertia(items(spark, sf), ["l_quantity", "l_discount"], "flag")
+
+
+@query()
+def ml_silhouette(spark, sf):
+    df, _ = vectors(spark, sf)
+    df = graph.kept(df)
+    model = ml.kmeans(df, 5, 1)
+    return spark.createDataFrame([(5, ml.silhouette(model.transform(df)))], "k long, silhouette double")
+
+
+@query()
+def ml_split(spark, sf):
+    t = ml.split(table(spark, sf, "orders"), ["o_orderkey"])
+    return relational.with_share(relational.count_by(t, ["split"]))
+
+
+@query()
+def ml_importance(spark, sf):
+    t = items(spark, sf).select((F.col("year") >= 1998).cast("int").alias("y"), *MEASURES)
+    model = ml.classifiers(1)["decision_tree"].fit(ml.assemble(t, MEASURES))
+    return ml.importances(model, MEASURES, spark)
+
+
 @query()
 def ml_elbow(spark, sf):
     df, _ = vectors(spark, sf)
@@ -782,6 +837,14 @@ def doc_stats(spark, sf):
     return docs.statistics(table(spark, sf, "conversations"))
 
 
+@query("SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, role, length(text)::BIGINT AS size FROM conversations")
+def src_doc_json(spark, sf):
+    """Conversations written as JSON documents and read back."""
+    t = table(spark, sf, "conversations")
+    back = to_json(t).select(F.from_json("json", t.schema).alias("d")).select("d.*")
+    return plain(back.select("conv_id", "turn", "role", F.length("text").alias("size")))
+
+
 @query()
 def sink_json(spark, sf):
     return to_json(table(spark, sf, "customer"))
