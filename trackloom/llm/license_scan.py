@@ -7,14 +7,18 @@ interval of words. An interval inside another one is suppressed, and of equal on
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before A-Z are lower-cased.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words, before A-Z are lower-cased.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Stems of which every match of a rule holds one.
-STEMS = "licen[sc]|copyright|gpl|spdx|warrant|permission|redistribut|commons|domain|wtfpl|cc0"
+STEMS = ["licens", "licenc", "copyright", "gpl", "spdx", "warrant", "permission", "redistribut", "commons", "domain", "wtfpl", "cc0"]
 #: Base phrases and their labels, as the contract fixes them.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
@@ -61,12 +65,30 @@ NOTICES = [
 ]
 
 
-def rules() -> list[tuple[int, str, str, str, float]]:
-    """(priority, keyword, pattern, label, confidence), the rule that wins first: base phrases, notices, forms of families."""
-    found = [(phrase.split()[-1], phrase, label, 0.9) for phrase, label in BASE.items()]
-    found += [(keyword, words.replace("{{", "{").replace("}}", "}"), label, sure) for label, keyword, words, sure in NOTICES]
-    found += [(keyword, form.replace("{}", f"(?:{name})"), label, sure) for form, keyword, sure in FORMS for label, name in FAMILIES]
-    return [(k, keyword, f"(?<= )(?:{words})(?= )", label, sure) for k, (keyword, words, label, sure) in enumerate(found)]
+#: Words that many names share, and so no anchor of any.
+SHARED = frozenset("license licence version software public the of and or to style open source free".split())
+
+
+def anchors(name: str) -> list[str]:
+    """Words of a name's pattern that tell it from others; every match of it holds one of them, if there are any."""
+    words = re.findall(r"[a-z0-9]*[a-z][a-z0-9]+", name.replace("(?:", " ").replace("?", " "))
+    return sorted(set(words) - SHARED)
+
+
+def rules() -> list[tuple[int, str, list[str], str, str, float]]:
+    """(priority, keyword, anchors, pattern, label, confidence), the rule that wins first: base phrases, notices, forms
+    of families. A rule is tried where its keyword and one of its anchors are among the words."""
+    found = [(phrase.split()[-1], [phrase.split()[0]], phrase, label, 0.9) for phrase, label in BASE.items()]
+    found += [(keyword, [keyword], words.replace("{{", "{").replace("}}", "}"), label, sure) for label, keyword, words, sure in NOTICES]
+    found += [(keyword, anchors(name) or [keyword], form.replace("{}", f"(?:{name})"), label, sure) for form, keyword, sure in FORMS for label, name in FAMILIES]
+    return [(k, keyword, near, f"(?<= )(?:{words})(?= )", label, sure) for k, (keyword, near, words, label, sure) in enumerate(found)]
+
+
+def word_count(text: Column) -> Column:
+    """Words of a text: the parts between separators, without the empty ones at its ends."""
+    parts = F.size(F.split(text, f"{BETWEEN}+", -1))
+    at_end = lambda c: (c.rlike(BETWEEN) | (c == "")).cast("int")
+    return F.greatest(parts - at_end(F.left(text, F.lit(1))) - at_end(F.right(text, F.lit(1))), F.lit(0)).cast("long")
 
 
 def spaces(text: Column) -> Column:
@@ -94,13 +116,13 @@ def scan(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = No
     made = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     columns = [c for c in (docs.columns if keep is None else keep) if c not in made]
     all_rules = rules()
-    table = F.array(*[F.struct(F.lit(rank).alias("rank"), F.lit(keyword).alias("keyword"), F.lit(pattern).alias("pattern"), F.lit(label).alias("label"), F.lit(sure).alias("sure")) for rank, keyword, pattern, label, sure in all_rules])
-    keywords = F.array(*map(F.lit, sorted({r[1] for r in all_rules})))
+    table = F.array(*[F.struct(F.lit(rank).alias("rank"), F.lit(keyword).alias("keyword"), F.array(*map(F.lit, near)).alias("near"), F.lit(pattern).alias("pattern"), F.lit(label).alias("label"), F.lit(sure).alias("sure")) for rank, keyword, near, pattern, label, sure in all_rules])
+    keywords = F.array(*map(F.lit, sorted({w for r in all_rules for w in (r[1], *r[2])})))
     words = F.regexp_extract_all(F.translate("_text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(WORD), F.lit(0))
     rows = docs.select(*columns, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = rows.select(*columns, F.regexp_count("_text", F.lit(RAW_WORD)).cast("long").alias("n_words"), F.when(F.lower("_text").rlike(STEMS), words).alias("_words"))
+    rows = rows.select(*columns, word_count(F.col("_text")).alias("n_words"), F.when(reduce(or_, [F.contains(F.lower("_text"), F.lit(stem)) for stem in STEMS]), words).alias("_words"))
     rows = rows.select(*columns, "n_words", F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")).alias("_laid"), F.array_intersect(F.col("_words"), keywords).alias("_found"))
-    tried = F.filter(table, lambda r: F.array_contains(F.col("_found"), r["keyword"]))
+    tried = F.filter(table, lambda r: F.array_contains(F.col("_found"), r["keyword"]) & F.arrays_overlap(F.col("_found"), r["near"]))
     spans = F.when(F.size("_found") > 0, F.array_sort(F.flatten(F.transform(tried, lambda r: places(F.col("_laid"), r)))))
     rows = rows.select(*columns, "n_words", spans.alias("_spans"))
     base = F.filter("_spans", lambda s: s["rank"] < len(BASE))
