@@ -166,7 +166,7 @@ def agg_distinct(spark, sf):
     return table(spark, sf, "part").agg(F.countDistinct("p_brand").alias("brands"), F.countDistinct("p_type").alias("types"), F.countDistinct("p_name").alias("names"))
 
 
-@query("SELECT 'open' AS query, count_if(o_orderstatus = 'O') AS n FROM orders UNION ALL SELECT 'dear', count_if(o_totalprice > 200000) FROM orders UNION ALL SELECT 'urgent', count_if(o_orderpriority LIKE '1%') FROM orders UNION ALL SELECT 'cheap and done', count_if(o_totalprice < 50000 AND o_orderstatus = 'F') FROM orders")
+@query("SELECT 'open' AS query, count(*) FILTER (WHERE o_orderstatus = 'O') AS n FROM orders UNION ALL SELECT 'dear', count(*) FILTER (WHERE o_totalprice > 200000) FROM orders UNION ALL SELECT 'urgent', count(*) FILTER (WHERE o_orderpriority LIKE '1%') FROM orders UNION ALL SELECT 'cheap and done', count(*) FILTER (WHERE o_totalprice < 50000 AND o_orderstatus = 'F') FROM orders")
 def agg_conditional(spark, sf):
     p = F.col("o_totalprice")
     return docs.count_matches(table(spark, sf, "orders"), {"open": F.col("o_orderstatus") == "O", "dear": p > 200000, "urgent": F.col("o_orderpriority").startswith("1"), "cheap and done": (p < 50000) & (F.col("o_orderstatus") == "F")})
@@ -311,7 +311,7 @@ def eda_top_pairs(spark, sf):
     return stats.top_pairs(stats.correlations(table(spark, sf, "lineitem"), MEASURES), 3)
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(max(lo), 6) AS low, round(max(hi), 6) AS high, count_if({c} < lo OR {c} > hi) AS n_out, round(100.0 * count_if({c} < lo OR {c} > hi) / count({c}), 4)::DOUBLE AS pct_out FROM {t}, (SELECT quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS lo, quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS hi FROM {t})" for c, t in (("value", "events"),)))
+@query(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(max(lo), 6) AS low, round(max(hi), 6) AS high, count(*) FILTER (WHERE {c} < lo OR {c} > hi) AS n_out, round(100.0 * count(*) FILTER (WHERE {c} < lo OR {c} > hi) / count({c}), 4)::DOUBLE AS pct_out FROM {t}, (SELECT quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS lo, quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS hi FROM {t})" for c, t in (("value", "events"),)))
 def eda_iqr(spark, sf):
     return plain(stats.outliers(table(spark, sf, "events"), ["value"]))
 
@@ -322,7 +322,7 @@ def eda_missing(spark, sf):
     return stats.missing(t, ["a", "b"])
 
 
-@query("WITH y AS (SELECT CASE WHEN o_orderstatus = 'P' THEN 0 ELSE year(o_orderdate) END::BIGINT AS year FROM orders) SELECT count(*) AS n_rows, 1::BIGINT AS n_columns, min(year) FILTER (WHERE year > 0) AS min_year, max(year) FILTER (WHERE year > 0) AS max_year, trunc(quantile_cont(year, 0.01) FILTER (WHERE year > 0))::BIGINT AS p01_year, trunc(quantile_cont(year, 0.99) FILTER (WHERE year > 0))::BIGINT AS p99_year, min(year) AS raw_min_year, count_if(year <= 0) AS n_invalid FROM y")
+@query("WITH y AS (SELECT CASE WHEN o_orderstatus = 'P' THEN 0 ELSE year(o_orderdate) END::BIGINT AS year FROM orders) SELECT count(*) AS n_rows, 1::BIGINT AS n_columns, min(year) FILTER (WHERE year > 0) AS min_year, max(year) FILTER (WHERE year > 0) AS max_year, trunc(quantile_cont(year, 0.01) FILTER (WHERE year > 0))::BIGINT AS p01_year, trunc(quantile_cont(year, 0.99) FILTER (WHERE year > 0))::BIGINT AS p99_year, min(year) AS raw_min_year, count(*) FILTER (WHERE year <= 0) AS n_invalid FROM y")
 def profile_dataset(spark, sf):
     y = table(spark, sf, "orders").select(F.when(F.col("o_orderstatus") == "P", 0).otherwise(F.year("o_orderdate")).alias("year"))
     return plain(stats.dataset_profile(y))
@@ -385,7 +385,7 @@ def text_functions(spark, sf):
     return plain(table(spark, sf, "part").select("p_partkey", shortened(F.col("p_name"), 8).alias("short"), code_points(F.col("p_name"))[0].alias("first_code")))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_totalprice < 1024 THEN floor(o_totalprice)::BIGINT || 'B' WHEN o_totalprice < 1048576 THEN printf('%.1fK', o_totalprice / 1024) ELSE printf('%.1fM', o_totalprice / 1048576) END AS size FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_totalprice < 1024 THEN floor(o_totalprice)::BIGINT || 'B' WHEN o_totalprice < 1048576 THEN printf('%.1fK', round(o_totalprice / 1024, 1)) ELSE printf('%.1fM', round(o_totalprice / 1048576, 1)) END AS size FROM orders")
 def size_format(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", human_size(F.col("o_totalprice")).alias("size"))
 
@@ -400,7 +400,7 @@ def win_running_max(spark, sf):
     return running_max(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), ["o_orderkey"], F.col("o_orderdate"), "latest").select("o_orderkey", "latest")
 
 
-@query(f"WITH l AS (SELECT coalesce(o_orderdate < latest, false) AS late, (epoch_us(latest) - epoch_us(o_orderdate)) // 1000000 AS s FROM {LATE}) SELECT count(*) AS n, count_if(late) AS n_late, round(100.0 * count_if(late) / count(*), 3)::DOUBLE AS pct_late, max(s) FILTER (WHERE late)::BIGINT AS max_late, round(avg(s) FILTER (WHERE late), 4) AS mean_late FROM l")
+@query(f"WITH l AS (SELECT coalesce(o_orderdate < latest, false) AS late, (epoch_us(latest) - epoch_us(o_orderdate)) // 1000000 AS s FROM {LATE}) SELECT count(*) AS n, count(*) FILTER (WHERE late) AS n_late, round(100.0 * count(*) FILTER (WHERE late) / count(*), 3)::DOUBLE AS pct_late, max(s) FILTER (WHERE late)::BIGINT AS max_late, round(avg(s) FILTER (WHERE late), 4) AS mean_late FROM l")
 def st_late(spark, sf):
     late = windows.late_events(table(spark, sf, "orders"), "o_orderkey", "o_orderdate")
     seconds = F.expr("(unix_micros(cast(latest AS timestamp)) - unix_micros(cast(o_orderdate AS timestamp))) div 1000000")
@@ -537,7 +537,7 @@ def bloom_metrics(spark, sf):
     return plain(bloom.metrics(customer_bits(spark, sf), BLOOM_M, BLOOM_K, 1000))
 
 
-@query(f"SELECT count(*) AS probes, count_if(hit) AS false_positives FROM (SELECT w, bool_and(bit IN (SELECT bit FROM {BLOOM_BITS})) AS hit FROM (SELECT w, {BLOOM_POS} AS bit FROM (SELECT 'zz-absent-' || i AS w FROM range(2000) t(i))) GROUP BY w)")
+@query(f"SELECT count(*) AS probes, count(*) FILTER (WHERE hit) AS false_positives FROM (SELECT w, bool_and(bit IN (SELECT bit FROM {BLOOM_BITS})) AS hit FROM (SELECT w, {BLOOM_POS} AS bit FROM (SELECT 'zz-absent-' || i AS w FROM range(2000) t(i))) GROUP BY w)")
 def bloom_empirical_fpr(spark, sf):
     absent = spark.range(2000).select(F.concat(F.lit("zz-absent-"), F.col("id").cast("string")).alias("w"))
     return bloom.contains(customer_bits(spark, sf), absent, "w", BLOOM_M, BLOOM_K).agg(F.count("*").alias("probes"), F.count_if("hit").alias("false_positives"))
@@ -604,7 +604,7 @@ def topk_hubs(spark, sf):
     return relational.top_n(plain(graph.degrees(*trade(spark, sf))), "degree", 10, ["id"])
 
 
-@query(f"SELECT count(*) AS n, (sum(degree) // 2)::BIGINT AS e, round(2.0 * (sum(degree) // 2) / (count(*) * (count(*) - 1)), 4)::DOUBLE AS density, round(avg(degree), 4) AS avg_degree, max(degree) AS max_degree, count_if(degree = 0) AS isolated FROM {DEGREE}")
+@query(f"SELECT count(*) AS n, (sum(degree) // 2)::BIGINT AS e, round(2.0 * (sum(degree) // 2) / (count(*) * (count(*) - 1)), 4)::DOUBLE AS density, round(avg(degree), 4) AS avg_degree, max(degree) AS max_degree, count(*) FILTER (WHERE degree = 0) AS isolated FROM {DEGREE}")
 def graph_density(spark, sf):
     return plain(graph.density(*trade(spark, sf)))
 
@@ -689,7 +689,7 @@ def predictions(spark, sf):
 PRED = f"(SELECT (year >= 1998)::INT AS y, (flag = 'N')::INT AS p, l_quantity AS score, CASE WHEN l_linenumber <= 3 THEN 'train' ELSE 'test' END AS split, flag, l_linestatus FROM {ITEMS})"
 
 
-@query(f"SELECT count_if(y = 1) AS positives, count_if(y = 0) AS negatives, count(*) AS n FROM {PRED}")
+@query(f"SELECT count(*) FILTER (WHERE y = 1) AS positives, count(*) FILTER (WHERE y = 0) AS negatives, count(*) AS n FROM {PRED}")
 def ml_target(spark, sf):
     return predictions(spark, sf).agg(F.count_if(F.col("y") == 1).alias("positives"), F.count_if(F.col("y") == 0).alias("negatives"), F.count("*").alias("n"))
 
@@ -699,7 +699,7 @@ def ml_confusion(spark, sf):
     return plain(ml.confusion(predictions(spark, sf)))
 
 
-@query(f"WITH c AS (SELECT count_if(y = 1 AND p = 1)::DOUBLE AS tp, count_if(y = 0 AND p = 1)::DOUBLE AS fp, count_if(y = 1 AND p = 0)::DOUBLE AS fn, count_if(y = 0 AND p = 0)::DOUBLE AS tn FROM {PRED}) SELECT round((tp + tn) / (tp + fp + fn + tn), 4) AS accuracy, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall, round(2 * tp / (2 * tp + fp + fn), 4) AS f1, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 4) AS balanced_accuracy FROM c")
+@query(f"WITH c AS (SELECT count(*) FILTER (WHERE y = 1 AND p = 1)::DOUBLE AS tp, count(*) FILTER (WHERE y = 0 AND p = 1)::DOUBLE AS fp, count(*) FILTER (WHERE y = 1 AND p = 0)::DOUBLE AS fn, count(*) FILTER (WHERE y = 0 AND p = 0)::DOUBLE AS tn FROM {PRED}) SELECT round((tp + tn) / (tp + fp + fn + tn), 4) AS accuracy, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall, round(2 * tp / (2 * tp + fp + fn), 4) AS f1, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 4) AS balanced_accuracy FROM c")
 def ml_metrics(spark, sf):
     return ml.measures(predictions(spark, sf))
 
@@ -714,7 +714,7 @@ def roc_downsample(spark, sf):
     return plain(ml.roc_points(predictions(spark, sf)))
 
 
-@query(f"SELECT split, count_if(y = 1) AS positives, count_if(y = 0) AS negatives FROM {PRED} GROUP BY split")
+@query(f"SELECT split, count(*) FILTER (WHERE y = 1) AS positives, count(*) FILTER (WHERE y = 0) AS negatives FROM {PRED} GROUP BY split")
 def ml_class_balance(spark, sf):
     return ml.class_balance(predictions(spark, sf))
 
@@ -820,7 +820,7 @@ def eda_iforest(spark, sf):
 
 # --- documents, layout, runs
 
-@query("SELECT 'first' AS query, count_if(turn = 0) AS n FROM conversations UNION ALL SELECT 'user', count_if(role = 'user') FROM conversations UNION ALL SELECT 'long', count_if(length(text) > 200) FROM conversations UNION ALL SELECT 'early user', count_if(turn < 2 AND role = 'user') FROM conversations UNION ALL SELECT 'tagged', count_if(list_contains([role, 'x'], 'user')) FROM conversations")
+@query("SELECT 'first' AS query, count(*) FILTER (WHERE turn = 0) AS n FROM conversations UNION ALL SELECT 'user', count(*) FILTER (WHERE role = 'user') FROM conversations UNION ALL SELECT 'long', count(*) FILTER (WHERE length(text) > 200) FROM conversations UNION ALL SELECT 'early user', count(*) FILTER (WHERE turn < 2 AND role = 'user') FROM conversations UNION ALL SELECT 'tagged', count(*) FILTER (WHERE list_contains([role, 'x'], 'user')) FROM conversations")
 def doc_queries(spark, sf):
     nested = table(spark, sf, "conversations").select(F.struct("turn", "role", F.struct(F.length("text").alias("size")).alias("body"), F.array("role", F.lit("x")).alias("tags")).alias("doc"))
     d = F.col("doc")
@@ -868,7 +868,7 @@ def hdfs_occupancy(spark, sf):
     return plain(storage.occupancy(order_blocks(spark, sf)))
 
 
-@query("SELECT category, claims, with_evidence FROM (VALUES ('counting', 3, 2), ('documents', 1, 0), ('graphs', 2, 0), ('joins', 1, 0), ('models', 3, 0), ('ordering', 1, 0), ('sketches', 1, 0), ('statistics', 3, 1), ('streams', 3, 1)) t(category, claims, with_evidence)")
+@query("SELECT category, claims::BIGINT AS claims, with_evidence::BIGINT AS with_evidence FROM (VALUES ('counting', 3, 2), ('documents', 1, 0), ('graphs', 2, 0), ('joins', 1, 0), ('models', 3, 0), ('ordering', 1, 0), ('sketches', 1, 0), ('statistics', 3, 1), ('streams', 3, 1)) t(category, claims, with_evidence)")
 def concept_evidence(spark, sf):
     """Which claims a small document of results bears out."""
     found = spark.createDataFrame([("words", "12"), ("trend", "7"), ("outliers", "3"), ("windows", "60"), ("late", None)], "key string, value string")
