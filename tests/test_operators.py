@@ -7,7 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from trackloom.functions.ordering import numbered, running_max
+from trackloom.functions.ordering import numbered, running_max, running_total
+from trackloom.functions.quantiles import quantiles
 from trackloom.functions.text import code_points, crc_part, credits, human_size, tokens
 from trackloom.operators import bloom, clean, docs, graph, ml, relational, stats, storage, windows
 from trackloom.plans import pipeline
@@ -199,6 +200,22 @@ def test_fences_are_ordered(raw):
     assert all(r.low < r.high and r.n_out >= 0 for r in stats.outliers(items, FEATURES).collect())
 
 
+def test_bracketed_quantiles_are_exact(spark):
+    rng = random.Random(8)
+    rows = [(rng.gauss(0, 1), float(rng.randint(0, 3)), None) for _ in range(5000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(5)
+    probs = [0.0, 0.25, 0.5, 0.75, 0.99, 1.0]
+    direct, bracketed = (quantiles(df, ["a", "b", "c"], probs, direct_rows=n) for n in (10_000, 10))
+    for c in "abc":
+        assert all(x == y or abs(x - y) < 1e-9 for x, y in zip(direct[c], bracketed[c]))
+
+
+def test_running_totals(spark):
+    rows = [(k, k * 7 % 13) for k in range(50)]
+    got = {r.k: r.total_v for r in running_total(spark.createDataFrame(rows, "k int, v long").repartition(4), ["k"], ["v"], ranges=5).collect()}
+    assert got == {k: sum(v for j, v in rows if j <= k) for k, _ in rows}
+
+
 # --- Bloom filter
 
 def test_bloom_never_loses_a_member(spark):

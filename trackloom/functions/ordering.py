@@ -40,3 +40,14 @@ def running_max(df: DataFrame, order: list[str], value: Column, name: str, range
     before = tops.select("_range", F.max("_m").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
     own = F.max("_value").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     return dealt.join(F.broadcast(before), "_range").withColumn(name, F.greatest(own, F.col("_before"))).drop("_range", "_before", "_value")
+
+
+def running_total(df: DataFrame, order: list[str], values: list[str], ranges: int = RANGES) -> DataFrame:
+    """df with total_<value>, the sum of all rows up to and with a row in the total order, for each of the values."""
+    dealt = with_range(df, order[0], ranges)
+    sums = dealt.groupBy("_range").agg(*[F.sum(v).alias(v) for v in values])
+    past = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_range", *[F.coalesce(F.sum(v).over(past), F.lit(0)).alias(f"_before_{v}") for v in values])
+    own = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = dealt.join(F.broadcast(before), "_range")
+    return joined.select(*df.columns, *[(F.sum(v).over(own) + F.col(f"_before_{v}")).alias(f"total_{v}") for v in values])

@@ -12,6 +12,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import numbered, running_total
+
 SEED = 42
 
 
@@ -111,21 +113,28 @@ def confusion(df: DataFrame, y: str = "y", predicted: str = "prediction") -> Dat
     return df.agg(cells.alias("_c")).select(F.explode("_c").alias("_c")).select("_c.*")
 
 
+def scores_in_order(df: DataFrame, y: str, score: str) -> DataFrame:
+    """(score, p, q, total_p, total_q) for each distinct score: positives and negatives there, and from the highest score
+    down to it. The order spans the table, so it is cut into ranges."""
+    by_score = df.groupBy(F.col(score).cast("double").alias("score")).agg(F.sum(F.col(y).cast("long")).alias("p"), F.sum(1 - F.col(y).cast("long")).alias("q"))
+    return running_total(by_score.withColumn("_down", -F.col("score")), ["_down"], ["p", "q"]).drop("_down")
+
+
 def auc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
-    """One row: area under the ROC curve, equal scores counted half. One row a distinct score is ordered, not one a row."""
-    by_score = df.groupBy(score).agg(F.sum(F.col(y).cast("long")).alias("p"), F.sum(1 - F.col(y).cast("long")).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return by_score.withColumn("_wins", F.col("p") * (below + F.col("q") / 2.0)).agg(F.round(F.sum("_wins") / (F.sum("p") * F.sum("q")), 6).alias("auc"))
+    """One row: area under the ROC curve, equal scores counted half."""
+    told = scores_in_order(df, y, score)
+    # a positive beats all negatives but those at its score and above
+    lost = F.sum(F.col("p") * (F.col("total_q") - F.col("q") / 2.0))
+    return told.agg(F.round(1 - lost / (F.sum("p") * F.sum("q")), 6).alias("auc"))
 
 
 def roc_points(df: DataFrame, y: str = "y", score: str = "score", points: int = 60) -> DataFrame:
     """(threshold, fpr, tpr) at so many places of the curve and at its end."""
-    by_score = df.groupBy(score).agg(F.sum(F.col(y).cast("long")).alias("p"), F.sum(1 - F.col(y).cast("long")).alias("q"))
-    total = F.broadcast(by_score.agg(F.sum("p").alias("_p"), F.sum("q").alias("_q"), F.count("*").alias("_n")))
-    w = Window.orderBy(F.desc(score))
-    run = by_score.select(score, F.row_number().over(w).alias("_k"), F.sum("p").over(w).alias("tp"), F.sum("q").over(w).alias("fp")).join(total, F.lit(True))
+    told = numbered(scores_in_order(df, y, score).withColumn("_down", -F.col("score")), ["_down"], "_k")
+    total = F.broadcast(told.agg(F.sum("p").alias("_p"), F.sum("q").alias("_q"), F.count("*").alias("_n")))
     step = F.greatest((F.col("_n") / points).cast("long"), F.lit(1))
-    return run.where(((F.col("_k") - 1) % step == 0) | (F.col("_k") == F.col("_n"))).select(F.col(score).alias("threshold"), F.round(F.col("fp") / F.col("_q"), 4).alias("fpr"), F.round(F.col("tp") / F.col("_p"), 4).alias("tpr"))
+    picked = told.join(total, F.lit(True)).where(((F.col("_k") - 1) % step == 0) | (F.col("_k") == F.col("_n")))
+    return picked.select(F.col("score").alias("threshold"), F.round(F.col("total_q") / F.col("_q"), 4).alias("fpr"), F.round(F.col("total_p") / F.col("_p"), 4).alias("tpr"))
 
 
 def importances(model, features: list[str], spark) -> DataFrame:
