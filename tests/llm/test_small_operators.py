@@ -137,6 +137,11 @@ def test_extraction_without_an_article():
     assert [x[:4] for x in html_extract.main_text(page).split("\n\n")] == ["The ", "Yes.", "And "]
 
 
+def test_heads_of_pages_and_of_articles():
+    page = "<head><title>x</title><body><header><p>The head of the site that is on all of its pages for the reader.</p></header><article><header class='header'><h1>Title of it</h1></header><p>The text of the article is in this paragraph, and it is for the reader to read.</p></article>"
+    assert html_extract.main_text(page).split("\n\n") == ["Title of it", "The text of the article is in this paragraph, and it is for the reader to read."]
+
+
 def test_extraction_of_odd_pages(spark):
     rows = [(1, "u", None, "x"), (2, "u", "", "x"), (3, None, "<p>a</p", "x"), (4, "u", "<<<>>>&&&", "x"), (5, "u", PAGE, "x"), (5, "u", PAGE, "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

@@ -19,12 +19,14 @@ from .common import bound_batches
 
 #: Elements whose text is never shown as text, and those that hold a page's apparatus.
 HIDDEN = frozenset("head script style noscript template iframe object svg math canvas audio video map select option datalist textarea button".split())
-APPARATUS = frozenset("nav header footer aside form dialog menu".split())
+APPARATUS = frozenset("nav footer aside form dialog menu".split())
 MAIN = frozenset("article main".split())
 BLOCKS = frozenset("html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class, id or role that name a page's apparatus.
-NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|footer|sidebar|side|widget|related|share|social|comments?|disqus|respond|replies|reply|cookies?|consent|notice|popup|modal|newsletter|subscribe|login|signup|search|pagination|pager|copyright|legal|contentinfo|banner|complementary|navigation)(?:$|[\s_-])", re.I)
+NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|footer|sidebar|side|widget|related|share|social|comments?|disqus|respond|replies|reply|cookies?|consent|notice|popup|modal|newsletter|subscribe|login|signup|search|pagination|pager|copyright|legal|contentinfo|complementary|navigation)(?:$|[\s_-])", re.I)
+#: The same for a page's head, which within an article is the article's own.
+HEADING = re.compile(r"(?:^|[\s_-])(?:header|masthead|banner)(?:$|[\s_-])", re.I)
 #: Fixed list: frequent function words of the four languages of the corpus.
 STOP_WORDS = frozenset(
     "the of and to in a is that it was for on are with as by at from this be or an he not his have had which you but they "
@@ -75,7 +77,12 @@ class Reader(HTMLParser):
         if tag in VOID:
             self.parts.append((" " if tag == "br" else "", False))
             return
-        named = tag not in ("html", "body", "article", "main") and any(k in ("class", "id", "role") and v and NAMED.search(v) for k, v in attrs)
+        if tag in BLOCKS and tag != "html" and any(name == "head" for name, _ in self.open):  # a head that wasn't closed
+            self.close_from(next(k for k, (name, _) in enumerate(self.open) if name == "head"))
+        named = tag == "header" and not self.main
+        if tag not in ("html", "body", "article", "main"):
+            names = [v for k, v in attrs if k in ("class", "id", "role") and v]
+            named = named or any(NAMED.search(v) or not self.main and HEADING.search(v) for v in names)
         if tag == "p" or tag in ("li", "dd", "dt", "td", "th", "tr", "option"):
             self.close_implied(tag)
         self.open.append((tag, named))
