@@ -349,6 +349,15 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("live_counts").collect())) == sorted(map(tuple, events.windowed_counts(source).collect()))
 
 
+def test_stream_into_files(spark, tmp_path):
+    source = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    source.repartition(2).write.parquet(str(tmp_path / "in"))
+    live = events.event_stream(spark, str(tmp_path / "in"), source.schema).select("event_id", "ts")
+    for _ in range(2):  # the second run finds nothing new
+        events.run_available(live, str(tmp_path / "out"), str(tmp_path / "c"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == source.count()
+
+
 def test_late_events_of_a_stream(spark, tmp_path):
     df = spark.createDataFrame([("a", 5), ("a", 3), ("a", 9), ("b", 1), ("b", 0)], "k string, s int").select("k", F.timestamp_seconds("s").alias("ts"))
     df.coalesce(1).write.parquet(str(tmp_path / "in"))

@@ -563,23 +563,19 @@ def semi_bloom(spark, sf):
 
 # --- graphs
 
-def trade(spark, sf):
-    """Nations that trade: customers' nations with the nations of suppliers, undirected."""
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("long").alias("a"))
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("k"))
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("b"))
-    line = table(spark, sf, "lineitem").where("l_quantity >= 49").select("l_orderkey", "l_suppkey")
-    e = line.join(relational.checked_broadcast(s), "l_suppkey").join(o, "l_orderkey").join(c, "k").where("a <> b")
-    edges = e.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
-    return table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id")), edges
-
-
-NODES = "(SELECT n_nationkey::BIGINT AS id FROM nation)"
-EDGES = "(SELECT DISTINCT least(c_nationkey, s_nationkey)::BIGINT AS src, greatest(c_nationkey, s_nationkey)::BIGINT AS dst FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity >= 49 AND c_nationkey <> s_nationkey)"
-BOTH = f"(SELECT src, dst FROM {EDGES} UNION ALL SELECT dst, src FROM {EDGES})"
-DEGREE = f"(SELECT id, count(src) AS degree FROM {NODES} LEFT JOIN {BOTH} ON id = src GROUP BY id)"
 KNN = """(WITH p AS (SELECT a.vec_id AS x, b.vec_id AS y, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS w FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
  r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY w DESC, y) AS k FROM p) SELECT least(x, y) AS src, greatest(x, y) AS dst, max(w) AS weight FROM r WHERE k <= 4 GROUP BY ALL)"""
+NODES = "(SELECT vec_id::BIGINT AS id FROM embeddings)"
+EDGES = f"(SELECT src, dst FROM {KNN})"
+BOTH = f"(SELECT src, dst FROM {EDGES} UNION ALL SELECT dst, src FROM {EDGES})"
+DEGREE = f"(SELECT id, count(src) AS degree FROM {NODES} LEFT JOIN {BOTH} ON id = src GROUP BY id)"
+
+
+def near_graph(spark, sf):
+    """Vectors as nodes, and an edge between each and its four nearest."""
+    vectors_ = table(spark, sf, "embeddings")
+    return vectors_.select(F.col("vec_id").alias("id")), graph.kept(graph.knn_edges(vectors_, "vec_id", "embedding", 4))
+
 
 
 @query(f"SELECT * FROM {KNN}")
@@ -595,39 +591,32 @@ def join_knn(spark, sf):
 
 @query(f"SELECT id, degree FROM {DEGREE}")
 def graph_degree(spark, sf):
-    return plain(graph.degrees(*trade(spark, sf)))
+    return plain(graph.degrees(*near_graph(spark, sf)))
 
 
 @query(f"SELECT id, degree FROM {DEGREE} ORDER BY degree DESC, id LIMIT 10")
 def topk_hubs(spark, sf):
     """The ten best connected: a top list is the feature here."""
-    return relational.top_n(plain(graph.degrees(*trade(spark, sf))), "degree", 10, ["id"])
+    return relational.top_n(plain(graph.degrees(*near_graph(spark, sf))), "degree", 10, ["id"])
 
 
 @query(f"SELECT count(*) AS n, (sum(degree) // 2)::BIGINT AS e, round(2.0 * (sum(degree) // 2) / (count(*) * (count(*) - 1)), 4)::DOUBLE AS density, round(avg(degree), 4) AS avg_degree, max(degree) AS max_degree, count(*) FILTER (WHERE degree = 0) AS isolated FROM {DEGREE}")
 def graph_density(spark, sf):
-    return plain(graph.density(*trade(spark, sf)))
+    return plain(graph.density(*near_graph(spark, sf)))
 
 
 @query(f"WITH k AS MATERIALIZED {KNN}, b AS (SELECT src, dst FROM k UNION ALL SELECT dst, src FROM k), d AS (SELECT vec_id AS id, count(src) AS degree FROM embeddings LEFT JOIN b ON vec_id = src GROUP BY vec_id), t AS (SELECT x.src AS id, count(*) AS links FROM b x JOIN b y ON x.src = y.src AND x.dst < y.dst JOIN k ON k.src = x.dst AND k.dst = y.dst GROUP BY x.src) SELECT d.id, round(CASE WHEN degree < 2 THEN 0 ELSE 2.0 * coalesce(links, 0) / (degree * (degree - 1)) END, 6)::DOUBLE AS coefficient FROM d LEFT JOIN t ON d.id = t.id")
 def graph_clustering_coef(spark, sf):
-    edges = graph.kept(graph_knn_build(spark, sf))
-    nodes = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
+    nodes, edges = near_graph(spark, sf)
     return graph.clustering(nodes, edges).select("id", F.round("coefficient", 6).alias("coefficient"))
 
 
-COMP_EDGES = "(SELECT DISTINCT least(l_partkey, l_suppkey + 1000000) AS src, greatest(l_partkey, l_suppkey + 1000000) AS dst FROM lineitem WHERE l_quantity = 50 AND l_discount >= 0.09)"
-
-
-@query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM {COMP_EDGES}), n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), b AS MATERIALIZED (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e),
- r(id, c) AS (SELECT id, id FROM n UNION SELECT b.dst, r.c FROM r JOIN b ON r.id = b.src WHERE r.c < b.dst) SELECT id, min(c) AS component FROM r GROUP BY id""")
+@query(f"""WITH RECURSIVE b AS MATERIALIZED {BOTH}, r(id, c) AS (SELECT id, id FROM {NODES} UNION SELECT b.dst, r.c FROM r JOIN b ON r.id = b.src WHERE r.c < b.dst) SELECT id, min(c) AS component FROM r GROUP BY id""")
 def graph_components(spark, sf):
-    e = table(spark, sf, "lineitem").where("l_quantity = 50 AND l_discount >= 0.09").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1_000_000).alias("dst")).distinct()
-    nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
-    return graph.components(nodes, e)
+    return graph.components(*near_graph(spark, sf))
 
 
-def trade_ranks(rounds: int, base: str, start: str, lost: str) -> str:
+def ranks_sql(rounds: int, base: str, start: str, lost: str) -> str:
     """PageRank over so many rounds as nested SQL; edges go both ways."""
     sql = f"(SELECT id, {start} AS r FROM {NODES})"
     for _ in range(rounds):
@@ -635,42 +624,41 @@ def trade_ranks(rounds: int, base: str, start: str, lost: str) -> str:
     return f"WITH b AS MATERIALIZED {BOTH}, o AS MATERIALIZED (SELECT src, count(*) AS c FROM b GROUP BY src) SELECT id, round(r, 6) AS rank FROM {sql}"
 
 
-@query(trade_ranks(5, f"0.15 / (SELECT count(*) FROM {NODES})", f"1.0 / (SELECT count(*) FROM {NODES})", f"coalesce((SELECT sum(r) FROM p WHERE id NOT IN (SELECT src FROM o)), 0) / (SELECT count(*) FROM {NODES})"))
+@query(ranks_sql(5, f"0.15 / (SELECT count(*) FROM {NODES})", f"1.0 / (SELECT count(*) FROM {NODES})", f"coalesce((SELECT sum(r) FROM p WHERE id NOT IN (SELECT src FROM o)), 0) / (SELECT count(*) FROM {NODES})"))
 def graph_pagerank(spark, sf):
-    nodes, edges = trade(spark, sf)
-    return graph.pagerank(nodes, graph.both_ways(graph.kept(edges)), rounds=5, tolerance=None).select("id", F.round("rank", 6).alias("rank"))
+    nodes, edges = near_graph(spark, sf)
+    return graph.pagerank(nodes, graph.both_ways(edges), rounds=5, tolerance=None).select("id", F.round("rank", 6).alias("rank"))
 
 
-@query(trade_ranks(5, "0.15", "1.0", "0"))
+@query(ranks_sql(5, "0.15", "1.0", "0"))
 def graph_pagerank_simple(spark, sf):
-    nodes, edges = trade(spark, sf)
-    return graph.pagerank(nodes, graph.both_ways(graph.kept(edges)), rounds=5, tolerance=None, normalize=False, dangling="drop").select("id", F.round("rank", 6).alias("rank"))
+    nodes, edges = near_graph(spark, sf)
+    return graph.pagerank(nodes, graph.both_ways(edges), rounds=5, tolerance=None, normalize=False, dangling="drop").select("id", F.round("rank", 6).alias("rank"))
 
 
-@query(f"WITH e AS MATERIALIZED {EDGES}, l AS (SELECT n_nationkey::BIGINT AS id, n_regionkey AS label FROM nation), m AS (SELECT count(*) AS m FROM e), i AS (SELECT a.label, count(*) AS l FROM e JOIN l a ON e.src = a.id JOIN l b ON e.dst = b.id WHERE a.label = b.label GROUP BY a.label), d AS (SELECT label, sum(degree) AS d FROM {DEGREE} g JOIN l ON g.id = l.id GROUP BY label) SELECT round(sum(coalesce(i.l, 0) / m.m - pow(d.d / (2.0 * m.m), 2)), 6) AS q FROM d LEFT JOIN i ON d.label = i.label, m")
+@query(f"WITH e AS MATERIALIZED {EDGES}, l AS (SELECT vec_id AS id, label FROM embeddings), m AS (SELECT count(*) AS m FROM e), i AS (SELECT a.label, count(*) AS l FROM e JOIN l a ON e.src = a.id JOIN l b ON e.dst = b.id WHERE a.label = b.label GROUP BY a.label), d AS (SELECT label, sum(degree) AS d FROM {DEGREE} g JOIN l ON g.id = l.id GROUP BY label) SELECT round(sum(coalesce(i.l, 0) / m.m - pow(d.d / (2.0 * m.m), 2)), 6) AS q FROM d LEFT JOIN i ON d.label = i.label, m")
 def graph_modularity(spark, sf):
-    nodes, edges = trade(spark, sf)
-    labels = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").alias("label"))
-    return graph.modularity(nodes, edges, labels)
+    nodes, edges = near_graph(spark, sf)
+    return graph.modularity(nodes, edges, table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label"))
 
 
-@query(f"WITH l AS (SELECT g.id, degree, n_regionkey AS community FROM {DEGREE} g JOIN nation ON id = n_nationkey) SELECT community::BIGINT AS community, count(*) AS size, round(100.0 * count(*) / (SELECT count(*) FROM l), 2)::DOUBLE AS share_pct, round(avg(degree), 4) AS avg_degree FROM l GROUP BY community")
+@query(f"WITH l AS (SELECT g.id, degree, label AS community FROM {DEGREE} g JOIN embeddings ON id = vec_id) SELECT community::BIGINT AS community, count(*) AS size, round(100.0 * count(*) / (SELECT count(*) FROM l), 2)::DOUBLE AS share_pct, round(avg(degree), 4) AS avg_degree FROM l GROUP BY community")
 def graph_community_summary(spark, sf):
-    nodes, edges = trade(spark, sf)
-    of = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").alias("community"))
+    nodes, edges = near_graph(spark, sf)
+    of = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("community"))
     told = graph.degrees(nodes, edges).join(of, "id").groupBy("community").agg(F.count("*").alias("n"), F.round(F.avg("degree"), 4).alias("avg_degree"))
     return plain(relational.with_share(told).withColumnRenamed("n", "size"))
 
 
 @query()
 def graph_label_prop(spark, sf):
-    nodes, edges = trade(spark, sf)
+    nodes, edges = near_graph(spark, sf)
     return graph.label_propagation(nodes, edges)
 
 
 @query(f"WITH r AS (SELECT id, degree, CASE WHEN degree / greatest(max(degree) OVER (), 1) >= 0.66 THEN 0 WHEN degree / greatest(max(degree) OVER (), 1) >= 0.33 THEN 1 ELSE 2 END AS ring FROM {DEGREE}), p AS (SELECT *, row_number() OVER (PARTITION BY ring ORDER BY degree DESC, id) - 1 AS k, count(*) OVER (PARTITION BY ring) AS n FROM r) SELECT id, ring::BIGINT AS ring, round(50 + [18, 34, 48][ring + 1] * cos(2 * pi() * k / n), 4) AS x, round(50 + [18, 34, 48][ring + 1] * sin(2 * pi() * k / n), 4) AS y FROM p")
 def layout_ring(spark, sf):
-    return plain(graph.ring_layout(*trade(spark, sf)))
+    return plain(graph.ring_layout(*near_graph(spark, sf)))
 
 
 # --- models
