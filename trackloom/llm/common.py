@@ -6,6 +6,7 @@ import tempfile
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Shingle length in words and similarity from which two texts count as near copies.
 SHINGLE_WORDS = 5
@@ -41,11 +42,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def keep_columns(df: DataFrame, keep: list[str], clash: list[str]) -> list[str]:
-    """The columns among keep that df has and that no result column replaces."""
-    return [c for c in df.columns if c in keep and c not in clash]
-
-
 def finish(h: np.ndarray) -> np.ndarray:
     """Mix 64 bits well."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -115,3 +111,16 @@ class Words:
         sums = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum(self.lower[codes] * self.up[: len(codes)], out=sums[1:])
         return finish((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64)), start, end
+
+
+def join_by_hot_keys(rows: DataFrame, table: DataFrame, keys: list[str], count: str, *, hot_keys: int = 1000, least: int = 10_000) -> DataFrame:
+    """rows joined with a written table that has one row a key and `count`, how many of the rows hold it.
+
+    All counts add up to the rows, so at most hot_keys keys hold more than a hot_keys-th of them: these are broadcast,
+    and no task gets all rows of one. The other keys are joined by a shuffle."""
+    many = max(least, (table.agg(F.sum(count)).first()[0] or 0) // hot_keys)
+    hot, rest = (table.where(c).drop(count) for c in (F.col(count) > many, F.col(count) <= many))
+    if not hot.limit(1).count():
+        return rows.join(rest, keys)
+    heads = F.broadcast(hot.select(*keys))
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(heads, keys, "left_anti").join(rest, keys))

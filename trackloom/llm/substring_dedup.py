@@ -13,16 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bound_batches, checkpointed, powers
+from .common import Words, bound_batches, checkpointed, join_by_hot_keys, powers
 
 #: A run has at least so many sentences and words.
 RUN_SENTENCES, RUN_WORDS = 2, 16
 #: A sentence longer than this is cut after every word whose hash says so, one in CUT.
 LONG_SENTENCE, CUT = 24, 6
-#: Most runs that are broadcast because very many documents hold them.
-HOT_RUNS = 1000
 #: Characters that end a sentence where white space follows.
-STOPS = np.array([ord(c) for c in ".!?…。！？"], np.uint32)
+STOPS = ".!?…。！？"
+STOP, SPACE = 1 << 21, 1 << 42
 FACTORS = (0x5851F42D4C957F2D, 0xD1342543DE82EF95)
 
 
@@ -31,7 +30,8 @@ class Cutter:
 
     def __init__(self):
         self.words, self.size = Words(), 0
-        self.space = np.array([chr(c).isspace() for c in range(Words.PLAIN + 1)])
+        # line breaks, stops and white space are counted in one number, each kind in digits of its own
+        self.kind = np.array([(c == 10) + (c < 1 << 16 and chr(c) in STOPS) * STOP + chr(c).isspace() * SPACE for c in range(Words.PLAIN + 1)], np.int64)
 
     def ready(self, n: int) -> None:
         if n > self.size:
@@ -46,16 +46,17 @@ class Cutter:
         h, start, end = self.words.of(text, codes)
         if not len(h):
             return h, start, np.zeros(1, np.int64)
-        within = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[np.stack([end[:-1], start[1:]])], axis=0)[0] > 0
+        sums = np.zeros(len(codes) + 1, np.int64)
+        np.cumsum(self.kind[codes], out=sums[1:])
+        between = sums[start[1:]] - sums[end[:-1]]
         ends = np.ones(len(h), bool)
-        ends[:-1] = within(codes == 10) | within(np.isin(codes, STOPS)) & within(self.space[codes])
+        ends[:-1] = (between % STOP > 0) | (between >= SPACE) & (between % SPACE >= STOP)
         size = np.diff(np.concatenate([[-1], np.flatnonzero(ends)]))
         ends |= np.repeat(size > LONG_SENTENCE, size) & (h % np.uint64(CUT) == 0)
         return h, start, np.concatenate([[0], np.flatnonzero(ends) + 1])
 
-    def runs(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def runs(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Two hashes, first sentence and number of sentences of each run, and whether it stands in the text before."""
-        h, _, first = self.sentences(text)
         n = len(first) - 1
         k = np.arange(n)
         reach = np.maximum(np.searchsorted(first, first[:-1] + RUN_WORDS), k + RUN_SENTENCES)
@@ -70,9 +71,8 @@ class Cutter:
         again[np.unique(out[0] ^ (out[1] << 1), return_index=True)[1]] = False
         return out[0], out[1], k, reach - k, again
 
-    def without(self, text: str, covered: np.ndarray) -> str:
+    def without(self, text: str, start: np.ndarray, first: np.ndarray, covered: np.ndarray) -> str:
         """The text without the covered sentences; what stands behind a sentence goes with it."""
-        _, start, first = self.sentences(text)
         starts = np.append(start, len(text))
         parts = [text[: starts[0]]]
         for k in np.flatnonzero(~covered[: len(first) - 1]):
@@ -88,7 +88,8 @@ def spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             ids, cols = [], []
             for at, text in enumerate(batch.column(1).to_pylist()):
-                one, two, k, n, again = cutter.runs(text)
+                h, _, first = cutter.sentences(text)
+                one, two, k, n, again = cutter.runs(h, first)
                 cols.append((one[~again], two[~again], k[~again], n[~again]))
                 ids.append(np.full(len(cols[-1][0]), at))
             if cols:
@@ -104,14 +105,7 @@ def covered_sentences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = spans(docs, id_col, text_col)
     first = found.groupBy("one", "two").agg(F.min("id").alias("first"), F.count("*").alias("times")).where("times > 1")
     first = checkpointed(first)
-    # a run that very many documents hold is broadcast, as few can be; the others are joined by a shuffle
-    many = max(10_000, (first.agg(F.sum("times")).first()[0] or 0) // HOT_RUNS)
-    hot, rest = (first.where(c).drop("times") for c in (F.col("times") > many, F.col("times") <= many))
-    if hot.limit(1).count():
-        heads = F.broadcast(hot.select("one", "two"))
-        again = found.join(F.broadcast(hot), ["one", "two"]).unionByName(found.join(heads, ["one", "two"], "left_anti").join(rest, ["one", "two"]))
-    else:
-        again = found.join(rest, ["one", "two"])
+    again = join_by_hot_keys(found, first, ["one", "two"], "times")
     return again.where("id <> first").groupBy("id").agg(F.collect_list(F.struct("k", "n")).alias("spans"))
 
 
@@ -133,15 +127,15 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
         for batch in batches:
             texts, sentences, removed = batch.column(at).to_pylist(), [], []
             for i, (starts, sizes) in enumerate(zip(batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist())):
-                n = len(cutter.sentences(texts[i])[2]) - 1 if texts[i] else 0
+                h, start, first = cutter.sentences(texts[i] or "")
+                n = len(first) - 1
                 covered = np.zeros(n, bool)
                 if n:
-                    _, _, own, reach, again = cutter.runs(texts[i])
-                    starts, sizes = [*(starts or ()), *own[again]], [*(sizes or ()), *reach[again]]
-                    for k, size in zip(starts, sizes):
+                    _, _, own, reach, again = cutter.runs(h, first)
+                    for k, size in zip([*(starts or ()), *own[again].tolist()], [*(sizes or ()), *reach[again].tolist()]):
                         covered[k : k + size] = True
-                if covered.any():
-                    texts[i] = cutter.without(texts[i], covered)
+                    if covered.any():
+                        texts[i] = cutter.without(texts[i], start, first, covered)
                 sentences.append(n)
                 removed.append(int(covered.sum()))
             columns = list(batch.columns[: len(kept)])
