@@ -25,7 +25,7 @@ from .common import Remembered, bound_batches, checkpointed, tokenizer_path
 WINDOW = 2048
 END_ID = 1
 #: Remainders of one length that are ranked together in one task.
-GROUP_ROWS = 50_000
+GROUP_ROWS = 1_000
 #: White space as the tokenizer's pattern knows it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Beyond these blocks of long-settled characters, the tokenizer itself splits the text.
