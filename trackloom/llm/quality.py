@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     picked = None
     for y, n in sorted(totals.items()):
         share = min(1.0, 1.2 * sample_rows / n)
-        some = known.where((F.col("y") == y) & (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * share))).limit(sample_rows)
+        some = known.where((F.col("y") == y) & (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * share))).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
         picked = some if picked is None else picked.unionByName(some)
     if picked is None:
         return fit([], np.zeros(0), 0.5)
