@@ -69,9 +69,9 @@ class Encoder(Remembered):
 
 
 def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer_file: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """Rows (id, part, start, length, ids_crc32, doc_tokens): full windows of each document, then its remainder, if any.
+    """Rows (id, start, length, ids_crc32, doc_tokens): full windows of each document, then its remainder, if any.
 
-    part tells rows of equal id apart by their text's hash. A null text is empty and has the end id alone."""
+    A null text is empty and has the end id alone. Rows of equal id are cut each."""
     tokenizer_file = tokenizer_file or tokenizer_path("byte_bpe_50k.json")
     bound_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 SHARDS = 16
 SEED = 20_231
 #: Bytes of text in a bucket, on average; a bucket is one task's unit of work.
@@ -55,6 +57,8 @@ def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """Write the shuffled records as Parquet, a folder for each shard; slot gives their order."""
-    out = shard(docs, **options)
+    """Write the shuffled records as Parquet, a folder for each shard; slot gives their order.
+
+    Slots are settled once, as a task that ran anew could deal other slots than those that have been read already."""
+    out = checkpointed(shard(docs, **options))
     out.repartition("shard", F.floor(F.col("slot") / 50_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
