@@ -188,6 +188,17 @@ def test_license_anchors_are_in_every_name():
         assert re.fullmatch(name, text) and set(text.split()) & set(license_scan.anchors(name))
 
 
+def test_every_spelling_of_a_license_name_holds_an_anchor(spark):
+    for _, name in license_scan.FAMILIES:
+        near = set(license_scan.anchors(name))
+        for text in license_scan.spellings(name):
+            assert re.fullmatch(name, text) and (not near or near & set(text.split())), text
+    names = ["GPLv2", "GPL2", "GPLv3", "LGPLv3", "AGPLv3", "GPLv1", "LGPLv2"]
+    docs = spark.createDataFrame([(n, f"This code is licensed under the {n}") for n in names], "doc_id string, text string")
+    got = {r.doc_id: r.labels for r in license_scan.scan(docs).collect()}
+    assert got == {"GPLv2": "gpl-2.0", "GPL2": "gpl-2.0", "GPLv3": "gpl-3.0", "LGPLv3": "lgpl-3.0", "AGPLv3": "agpl-3.0", "GPLv1": "gpl-1.0", "LGPLv2": "lgpl-2.0"}
+
+
 def test_sharding(spark, odd, none):
     docs = spark.createDataFrame([(k, None if k % 50 == 0 else f"text {k % 7} " * (k % 30)) for k in range(2000)], "doc_id long, text string")
     rows = sharding.shard(docs, bucket_bytes=2000).collect()

@@ -8,6 +8,7 @@ interval of words. An interval inside another one is suppressed, and of equal on
 from __future__ import annotations
 
 import re
+from re import _parser as parser
 from functools import reduce
 from operator import or_
 
@@ -69,10 +70,34 @@ NOTICES = [
 SHARED = frozenset("license licence version software public the of and or to style open source free".split())
 
 
+def spellings(pattern: str) -> list[str]:
+    """All texts that a pattern of groups, alternatives, optional parts and sets of characters matches."""
+    def of(parts) -> list[str]:
+        out = [""]
+        for op, value in parts:
+            if op is parser.LITERAL:
+                found = [chr(value)]
+            elif op is parser.IN:
+                found = [chr(c) for kind, v in value for c in (range(v[0], v[1] + 1) if kind is parser.RANGE else [v])]
+            elif op is parser.BRANCH:
+                found = [x for part in value[1] for x in of(part)]
+            elif op is parser.SUBPATTERN:
+                found = of(value[3])
+            elif op is parser.MAX_REPEAT and value[:2] == (0, 1):
+                found = ["", *of(value[2])]
+            else:
+                raise ValueError(f"no finite list of spellings: {pattern}")
+            out = [a + b for a in out for b in found]
+        return out
+
+    return sorted(set(of(parser.parse(pattern))))
+
+
 def anchors(name: str) -> list[str]:
-    """Words of a name's pattern that tell it from others; every match of it holds one of them, if there are any."""
-    words = re.findall(r"[a-z0-9]*[a-z][a-z0-9]+", name.replace("(?:", " ").replace("?", " "))
-    return sorted(set(words) - SHARED)
+    """The longest word of each spelling of a name that tells it from others, so that every match of it holds one of
+    them; none if a spelling has no such word."""
+    told = [[w for w in s.split() if re.search("[a-z]", w) and len(w) > 1 and w not in SHARED] for s in spellings(name)]
+    return sorted({max(words, key=len) for words in told}) if all(told) else []
 
 
 def rules() -> list[tuple[int, str, list[str], str, str, float]]:
