@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trackloom.llm import html_extract, license_scan, packing, quality, sharding, token_counts
 from trackloom.llm.common import tokenizer_path
@@ -199,6 +200,21 @@ def test_every_spelling_of_a_license_name_holds_an_anchor(spark):
     assert got == {"GPLv2": "gpl-2.0", "GPL2": "gpl-2.0", "GPLv3": "gpl-3.0", "LGPLv3": "lgpl-3.0", "AGPLv3": "agpl-3.0", "GPLv1": "gpl-1.0", "LGPLv2": "lgpl-2.0"}
 
 
+def test_each_license_rule_is_found_by_its_match_alone(spark):
+    odd_word = lambda p: re.sub(r"\(\?: \[0-9\]\{4\}\)\*|\(\?: \[\^ \]\+\)\{0,6\}", "", p).replace("[0-9]{4}", "2020")
+    docs = []
+    for rank, _, _, pattern, label, _ in license_scan.rules():
+        some = license_scan.spellings(odd_word(pattern.removeprefix("(?<= )").removesuffix("(?= )")))
+        docs += [(rank, label, x, f"x {x} y") for x in {some[0], some[-1], min(some, key=len), max(some, key=len)}]
+    docs += [(-1, "mit", "", "Released\nunder MIT"), (-1, "mpl-2.0", "", "distributed under the terms of the MPL 2.0"), (-1, "cc-by", "", "available under CC BY 4.0"), (-1, "bsd", "", "published under BSD"), (-1, "cc0", "", "CC-0")]
+    table = spark.createDataFrame(docs, "rank int, label string, spelling string, text string")
+    laid = table.select("rank", "label", "text", license_scan.worth_laying(F.lower("text")).alias("laid")).collect()
+    assert all(r.laid for r in laid), [r.text for r in laid if not r.laid]
+    own = [d for d in docs if d[0] < 0] + [(0, "bsd-3-clause", "", "may be used to endorse or promote products derived from this software")]
+    got = license_scan.scan(spark.createDataFrame(own, table.schema)).collect()
+    assert all(r.labels == r.label and r.score > 0 for r in got), got
+
+
 def test_sharding(spark, odd, none):
     docs = spark.createDataFrame([(k, None if k % 50 == 0 else f"text {k % 7} " * (k % 30)) for k in range(2000)], "doc_id long, text string")
     rows = sharding.shard(docs, bucket_bytes=2000).collect()

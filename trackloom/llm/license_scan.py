@@ -1,6 +1,6 @@
 """License scans by ordered signature rules, in DataFrame functions alone and without any shuffle.
 
-A text without any of a few word stems is let go after one look. In the others the words are laid out with single
+A text without any of a few word stems or pairs of words is let go after one look. In the others the words are laid out with single
 spaces between them, a rule is tried only where its keyword is among the words, and every place it matches becomes an
 interval of words. An interval inside another one is suppressed, and of equal ones the rule that comes first stays.
 """
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: What stands between words, before A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-#: Stems of which every match of a rule holds one.
-STEMS = ["licens", "licenc", "copyright", "gpl", "spdx", "warrant", "permission", "redistribut", "commons", "domain", "wtfpl", "cc0"]
+#: Stems in texts that a rule can match; every match of a rule holds one, or what PAIRS finds.
+STEMS = ["licens", "licenc", "copyright", "gpl", "spdx", "warrant", "permission", "redistribut", "commons", "domain", "wtfpl", "cc0", "endorse"]
+#: Words whose pairs tell of a rule, where one of them alone stands in too many texts: one of the two, and the pair.
+PAIRS = [("under", f"(?:released|distributed|available|provided|published){BETWEEN}+under"), ("cc", f"cc{BETWEEN}+0")]
 #: Base phrases and their labels, as the contract fixes them.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
@@ -51,7 +53,7 @@ FORMS = [
     ("spdx license identifier {}(?: only| or later)?", "spdx", 1.0),
     ("(?:licensed|released|distributed|available|provided|published) under (?:the )?(?:terms of )?(?:the )?{}(?: license| licence)?", "under", 0.95),
     ("(?:the )?{} (?:license|licence)(?: agreement)?", "license", 0.9),
-    ("(?:the )?{} licence", "licence", 0.9),
+    ("(?:the )?{} licence(?: agreement)?", "licence", 0.9),
 ]
 #: Rules of their own: label, keyword, words, confidence; each is a sentence of a license's text or a notice.
 NOTICES = [
@@ -109,6 +111,12 @@ def rules() -> list[tuple[int, str, list[str], str, str, float]]:
     return [(k, keyword, near, f"(?<= )(?:{words})(?= )", label, sure) for k, (keyword, near, words, label, sure) in enumerate(found)]
 
 
+def worth_laying(lowered: Column) -> Column:
+    """Whether a rule can match the text at all."""
+    has = lambda w: F.contains(lowered, F.lit(w))
+    return reduce(or_, [*map(has, STEMS), *[has(word) & lowered.rlike(pair) for word, pair in PAIRS]])
+
+
 def word_count(text: Column) -> Column:
     """Words of a text: the parts between separators, without the empty ones at its ends."""
     parts = F.size(F.split(text, f"{BETWEEN}+", -1))
@@ -145,7 +153,7 @@ def scan(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = No
     keywords = F.array(*map(F.lit, sorted({w for r in all_rules for w in (r[1], *r[2])})))
     words = F.regexp_extract_all(F.translate("_text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(WORD), F.lit(0))
     rows = docs.select(*columns, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = rows.select(*columns, word_count(F.col("_text")).alias("n_words"), F.when(reduce(or_, [F.contains(F.lower("_text"), F.lit(stem)) for stem in STEMS]), words).alias("_words"))
+    rows = rows.select(*columns, word_count(F.col("_text")).alias("n_words"), F.when(worth_laying(F.lower("_text")), words).alias("_words"))
     rows = rows.select(*columns, "n_words", F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")).alias("_laid"), F.array_intersect(F.col("_words"), keywords).alias("_found"))
     tried = F.filter(table, lambda r: F.array_contains(F.col("_found"), r["keyword"]) & F.arrays_overlap(F.col("_found"), r["near"]))
     spans = F.when(F.size("_found") > 0, F.array_sort(F.flatten(F.transform(tried, lambda r: places(F.col("_laid"), r)))))
