@@ -220,6 +220,28 @@ def test_fingerprints_of_like_windows_share_a_block(spark):
     assert set(a.b) & set(b.b) and len(set(a.b)) == decontam.BLOCKS
 
 
+def test_edits_at_an_items_ends_are_found(spark):
+    """Heads and tails replaced up to the edge of 0.8: pairs whose fingerprints lie further apart than RADIUS count too."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(40)
+    words = [w for w in vocabulary(rng, 4000) if w.isalpha()]
+    items, docs = [(k, " ".join(rng.choices(words, k=rng.randint(15, 59)))) for k in range(300)], []
+    for k, item in items:
+        w = last = item.split()
+        for n in range(1, len(w)):
+            own = rng.choices(words, k=n) + w[n:] if k % 2 else w[: len(w) - n] + rng.choices(words, k=n)
+            if not brute_leaks([(k, " ".join(own))], [(k, item)]):
+                break
+            last = own
+        docs.append((k, " ".join(last)))
+    docs_df, items_df = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    prints = [{r[0]: r[1] for r in df.select(df.columns[0], decontam.fingerprint(F.split("text", " "))).collect()} for df in (docs_df, items_df)]
+    assert any(bin((prints[0][k] ^ prints[1][k]) & (1 << 64) - 1).count("1") > decontam.RADIUS for k, _ in items)
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs_df, items_df).collect()}
+    assert {(k, k) for k, _ in items} <= got
+
+
 def test_leaks_of_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, "two three four five six seven eight nine ten eleven", "x"), (None, "word word", "y")], "item_id long, text string, lang string")
     assert [(r.doc_id, r.item_id) for r in decontam.find_leaks(odd, items).collect()] == [(1, 1)]

@@ -1,9 +1,9 @@
 """Benchmark passages in documents, in DataFrame functions alone.
 
 A document's window of an item's length can only reach the similarity asked for if it shares a shingle with an item, so
-windows are laid where a shared shingle would align with its place in the item. Each window has a SimHash fingerprint of
-its words. Fingerprints are cut into one block more than the radius: two within the radius agree in a block at least, so
-equal blocks find every such item. What comes within the radius is verified by exact weighted-shingle similarity.
+windows are laid where a shared shingle would align with its place in the item. A window meets the items of its size
+that it shares a shingle with, and the exact weighted similarity is summed from the shingles that they share.
+SimHash fingerprints and their blocks take no part in it: no radius short of all bits holds every pair of a similarity.
 """
 
 from __future__ import annotations
@@ -102,17 +102,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     nothing; rows of equal id count as one document; an empty table on either side gives no rows. Other columns of
     both tables aren't read, so their names may clash."""
     items = benchmark_items(benchmark, item_col, item_text_col)
-    known = checkpointed(items.select("item_id", "size", fingerprint(F.col("words")).alias("item_print"), weighted_shingles(F.col("words")).alias("item_shingles")))
-    seen = windows(docs, items, id_col, text_col)
-    seen = checkpointed(seen.select("id", "size", "start", fingerprint(F.col("words")).alias("print"), weighted_shingles(F.col("words")).alias("shingles")))
-    sides = seen.select("id", "size", "start", "print", F.explode(blocks(F.col("print"))).alias("block")), known.select("item_id", "size", "item_print", F.explode(blocks(F.col("item_print"))).alias("block"))
-    small = known.count() * BLOCKS <= BROADCAST_ROWS
-    near = sides[0].join(F.broadcast(sides[1]) if small else sides[1], ["size", "block"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    near = near.select("id", "size", "start", "item_id").distinct()
-    both = near.join(seen.select("id", "size", "start", "shingles").dropDuplicates(["id", "size", "start"]), ["id", "size", "start"])
-    both = both.join(F.broadcast(known.select("item_id", "item_shingles")) if small else known.select("item_id", "item_shingles"), "item_id")
-    common = total_weight(F.array_intersect("shingles", "item_shingles"))
-    both = both.select("id", "item_id", "start", "size", (common / (total_weight(F.col("shingles")) + total_weight(F.col("item_shingles")) - common)).alias("similarity"))
+    known = checkpointed(items.select("item_id", "size", weighted_shingles(F.col("words")).alias("item_shingles")).withColumn("item_weight", total_weight(F.col("item_shingles"))))
+    seen = windows(docs, items, id_col, text_col).dropDuplicates(["id", "size", "start"])
+    seen = checkpointed(seen.select("id", "size", "start", weighted_shingles(F.col("words")).alias("shingles")).withColumn("weight", total_weight(F.col("shingles"))))
+    table = known.select("item_id", "size", "item_weight", F.explode("item_shingles.h").alias("h"))
+    small = table.count() <= BROADCAST_ROWS
+    sides = seen.select("id", "size", "start", "weight", F.explode("shingles").alias("s")).select("id", "size", "start", "weight", F.col("s.h").alias("h"), F.col("s.w").alias("w")), table
+    both = sides[0].join(F.broadcast(sides[1]) if small else sides[1], ["size", "h"])
+    # each shared shingle adds its weight once, so their sum is what both sides have in common
+    both = both.groupBy("id", "item_id", "size", "start").agg(F.sum("w").alias("common"), F.first("weight").alias("weight"), F.first("item_weight").alias("item_weight"))
+    both = both.select("id", "item_id", "start", "size", (F.col("common") / (F.col("weight") + F.col("item_weight") - F.col("common"))).alias("similarity"))
     best = both.where(F.col("similarity") >= similarity).groupBy("id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("minus"), "size")).alias("best"))
     return best.select(F.col("id").alias(id_col), "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.minus")).alias("start"), F.col("best.size").alias("n_words"))
 
