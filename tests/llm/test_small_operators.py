@@ -232,6 +232,27 @@ def test_sharding(spark, odd, none):
     assert sharding.shard(odd).count() == odd.count() and sharding.shard(none).collect() == []
 
 
+@pytest.mark.parametrize("same", [False, True])
+@pytest.mark.parametrize("hot_id", [7, None])
+def test_a_hot_key_is_dealt_over_buckets(spark, monkeypatch, same, hot_id):
+    """A third of all records with one id, of different texts or of one: no bucket may hold more than a small part."""
+    texts = ["t" * 20 if same else f"text {k}" for k in range(2000)]
+    docs = spark.createDataFrame([(hot_id, t) for t in texts] + [(100 + k, f"other {k}") for k in range(4000)], "doc_id long, text string").repartition(5)
+    seen, array_sort = [], F.array_sort
+    monkeypatch.setattr(sharding.F, "shuffle", lambda records, s: seen.append(1) or array_sort(records))
+    places = sharding.shard(docs, bucket_bytes=100, shards=2).select("doc_id", "text", "shard", "slot").collect()
+    assert seen and sorted(r.text for r in places if r.doc_id == hot_id) == sorted(texts)
+    assert len({r.shard for r in places if r.doc_id == hot_id}) == 1
+    for k in range(2):
+        assert sorted(r.slot for r in places if r.shard == k) == list(range(sum(r.shard == k for r in places)))
+    # unshuffled, a bucket's records lie in the order of their ids, so a bucket holds a run of hot ones at most
+    longest = run = 0
+    for r in sorted((r for r in places if r.shard == next(x.shard for x in places if x.doc_id == hot_id)), key=lambda r: r.slot):
+        run = run + 1 if r.doc_id == hot_id else 0
+        longest = max(longest, run)
+    assert longest < 200
+
+
 def test_written_shards(spark, tmp_path):
     docs = spark.createDataFrame([(k, f"text {k}") for k in range(200)], "doc_id long, text string")
     sharding.write_shards(docs, str(tmp_path / "s"), shards=4)
