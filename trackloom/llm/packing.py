@@ -165,13 +165,14 @@ def places(made: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
 
 
 def ranked(rest: DataFrame, by_length: DataFrame) -> DataFrame:
-    """rest with rank, gapless from 0 within each length. A length that many rows share is spread over salted groups."""
+    """rest, which is written, with rank, gapless from 0 within each length. A length that many rows share is spread over
+    salted groups, by the number of the row in what is written, so that equal rows are spread too."""
     groups = by_length.select("length", F.ceil(F.col("n") / GROUP_ROWS).alias("salts"))
-    salted = rest.join(F.broadcast(groups), "length").withColumn("salt", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.col("salts"))).drop("salts")
+    salted = rest.join(F.broadcast(groups), "length").withColumn("salt", F.pmod(F.xxhash64("number"), F.col("salts"))).drop("salts")
     sizes = salted.groupBy("length", "salt").count()
     before = sizes.withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).drop("count")
-    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "start", "ids_crc32")) - 1
-    return salted.withColumn("own", own).join(before, ["length", "salt"]).withColumn("rank", F.col("own") + F.col("before")).drop("own", "before", "salt")
+    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("number")) - 1
+    return salted.withColumn("own", own).join(before, ["length", "salt"]).withColumn("rank", F.col("own") + F.col("before")).drop("own", "before", "salt", "number")
 
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer_file: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -181,6 +182,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
     packed each; equal pieces are told apart by any order, as they are alike. An empty table gives no rows. Other
     columns of docs are not read."""
     cut = checkpointed(pieces(docs, id_col=id_col, text_col=text_col, tokenizer_file=tokenizer_file, window=window, end_id=end_id))
+    cut = cut.withColumn("number", F.monotonically_increasing_id())  # of a written row, so it stays the same
     whole, rest = cut.where(F.col("length") == window), cut.where(F.col("length") < window)
     by_length = rest.groupBy("length").agg(F.count("*").alias("n"))
     counts = {r.length: r.n for r in by_length.collect()}  # fewer rows than the window has positions
@@ -203,5 +205,5 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
     kind = cut.schema["id"].dataType.simpleString()
     dealt = ranked(rest, by_length).select(*columns, F.col("rank").cast("long")).mapInArrow(deal, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     # a full window is a sequence by itself; its number needs no order, only to be its own
-    numbered = whole.select(*columns, (F.lit(sequences) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    numbered = whole.select(*columns, (F.lit(sequences) + F.col("number")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return dealt.unionByName(numbered).withColumnRenamed("id", id_col)
