@@ -2,7 +2,8 @@
 
 First pass: seeded hashes scatter the records uniformly over shards and, within each, over buckets of bounded size.
 Second pass: each bucket is shuffled in memory (Spark's shuffle() is a Fisher-Yates shuffle) and laid out behind the
-buckets before it. The shard is the one whose seeded hash with the record's key is highest, so that a further shard
+buckets before it. Spark seeds that by the number of the partition, so the partitions of this pass are as many as the
+data ask for, whatever the cluster's settings, and their records are put in order first. The shard is the one whose seeded hash with the record's key is highest, so that a further shard
 takes records only into itself. The bucket is a hash of the key too, unless a key's records are too many for one: these
 are dealt over the buckets of their shard by key and text, and equal texts of a key by a number of the record.
 """
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 SHARDS = 16
+#: Partitions of the second pass, at most; beyond it, buckets share one and are filled one after the other.
+MOST_PARTITIONS = 20_000
 SEED = 20_231
 #: Bytes of text in a bucket, on average; a bucket is one task's unit of work.
 BUCKET_BYTES = 8 << 20
@@ -54,7 +57,8 @@ def spread(rows: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame
 def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """docs' columns with size, text_crc32, law, shard, slot, grown_shard.
 
-    The law is `key`: the id and the number of shards decide. slot is the record's place in its shard, gapless from 0.
+    The law is `key`: the id and the number of shards decide. slot is the record's place in its shard, gapless from 0, and
+    the same in every run over the same rows, on any number of machines.
     Records of a key that is too large for a bucket share its shard, but not a bucket.
     A null text has size 1 and the CRC of no bytes; a null id is a key like any other; rows of equal id share a shard.
     An empty table gives no rows. Columns of docs with those names give way."""
@@ -71,8 +75,10 @@ def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     sizes = dealt(rows.select(id_col, "_salt")).groupBy("_shard", "_bucket").count()
     before = sizes.select("_shard", "_bucket", (F.sum("count").over(Window.partitionBy("_shard").orderBy("_bucket")) - F.col("count")).alias("_before"))
     records = F.array_sort(F.collect_list(F.struct(id_col, *[c for c in own if c != id_col])))
-    filled = dealt(rows).groupBy("_shard", "_bucket").agg(records.alias("_records"))
-    laid = filled.join(before, ["_shard", "_bucket"]).select("_shard", "_before", F.posexplode(F.shuffle("_records", F.lit(seed))).alias("_place", "_record"))
+    placed = dealt(rows).repartition(min(shards * buckets, MOST_PARTITIONS), "_shard", "_bucket")
+    filled = placed.groupBy("_shard", "_bucket").agg(records.alias("_records")).sortWithinPartitions("_shard", "_bucket")
+    mixed = filled.select("_shard", "_bucket", F.shuffle("_records", F.lit(seed)).alias("_records"))
+    laid = mixed.join(before, ["_shard", "_bucket"]).select("_shard", "_before", F.posexplode("_records").alias("_place", "_record"))
     out = laid.select("_shard", "_before", "_place", "_record.*")
     text = F.coalesce(F.col(text_col), F.lit(""))
     return out.select(
