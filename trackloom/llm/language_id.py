@@ -13,7 +13,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches
@@ -134,19 +134,27 @@ class Model:
         self.network, self.languages = network, languages
 
 
+def cut_run(run: str) -> list[bytes]:
+    """The bytes of a run, as many at a time as are read in one go."""
+    raw = "".join(filter(str.isalpha, run)).encode()
+    return [raw[k : k + RUN_BYTES] for k in range(0, len(raw), RUN_BYTES)]
+
+
+def sample(known: DataFrame, sample_docs: int) -> DataFrame:
+    """(y, t): at most so many different texts t of each language y, those whose hashes come first, so that every run over
+    the same rows picks the same ones. A hash lets some more than are wanted through, and only these are ranked."""
+    hashed = known.withColumn("h", F.xxhash64("t"))
+    totals = hashed.groupBy("y").agg(F.approx_count_distinct("h").alias("n"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * sample_docs) / F.col("n"))
+    some = hashed.join(F.broadcast(totals), "y").where(F.pmod("h", F.lit(1_000_000)) < 1_000_000 * share)  # a row a language
+    first = some.groupBy("y", "h").agg(F.min("t").alias("t")).withColumn("h", F.pmod("h", F.lit(1_000_000)))
+    return first.withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy("h", "t"))).where(F.col("k") <= sample_docs).select("y", "t")
+
+
 def train(docs: DataFrame, *, text_col: str = "text", label_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_runs: int = SAMPLE_RUNS) -> Model:
-    """Learn from at most sample_docs documents of each language, picked by a hash of the text, and sample_runs letter
-    runs of each. A run that several languages use has their shares as its target. Null texts and labels teach nothing."""
+    """Learn from at most sample_docs texts of each language, picked by their hashes, and sample_runs letter runs of each.
+    A run that several languages use has their shares as its target. Null texts and labels teach nothing."""
     known = docs.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(label_col).alias("y"), F.col(text_col).alias("t"))
-    totals = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(totals)
-    if not languages:
-        return Model(None, [])
-    picked = None
-    for y, n in sorted(totals.items()):
-        share = int(1_000_000 * min(1.0, 1.3 * sample_docs / n))
-        some = known.where((F.col("y") == y) & (F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < share)).limit(sample_docs)
-        picked = some if picked is None else picked.unionByName(some)
 
     def run(batches):
         for batch in batches:
@@ -157,19 +165,25 @@ def train(docs: DataFrame, *, text_col: str = "text", label_col: str = "lang", s
                 out.append(" ".join(runs[::step][:sample_runs]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["y", "runs"])
 
-    counts = Counter()
-    per_doc = picked.mapInArrow(run, "y string, runs string").collect()  # sample_docs rows a language at most
-    size = Counter()
+    per_doc = sample(known, sample_docs).mapInArrow(run, "y string, runs string").collect()  # sample_docs rows a language at most
+    languages = sorted({r.y for r in per_doc})
+    if not languages:
+        return Model(None, [])
+    counts: Counter = Counter()
+    size: Counter = Counter()
     for r in per_doc:
         size[r.y] += len(r.runs.split())
-    for r in per_doc:
+    for r in sorted(per_doc):
         for w in r.runs.split():
-            counts[w, r.y] += 1 / size[r.y]
-    words = sorted({w for w, _ in counts})
-    target = np.array([[counts[w, y] for y in languages] for w in words], np.float32)
+            for part in cut_run(w):
+                counts[part, r.y] += 1 / size[r.y]
+    parts = sorted({w for w, _ in counts})
+    if not parts:
+        return Model(None, [])
+    target = np.array([[counts[w, y] for y in languages] for w in parts], np.float32)
     weight = target.sum(1)
     network = Network(len(languages))
-    network.fit([w.encode()[:RUN_BYTES] for w in words], target / weight[:, None], np.sqrt(weight / weight.mean()).astype(np.float32))
+    network.fit(parts, target / weight[:, None], np.sqrt(weight / weight.mean()).astype(np.float32))
     return Model(network, languages)
 
 
@@ -190,10 +204,9 @@ class RunScores(dict):
         for run in runs:
             self[run] = at = len(self)
             self.rows[at] = 0
-            raw = "".join(filter(str.isalpha, run)).encode()
-            for k in range(0, len(raw), RUN_BYTES):
+            for part in cut_run(run):
                 owner.append(at)
-                cut.append(raw[k : k + RUN_BYTES])
+                cut.append(part)
         order = sorted(range(len(cut)), key=lambda k: len(cut[k]))
         for k in range(0, len(order), 2048):
             part = order[k : k + 2048]
