@@ -1,6 +1,6 @@
 """Quality rules: exact base counts, then a calibrated logistic regression on hashed n-grams.
 
-Features are the relative frequencies of hashed words, word pairs and byte triples of a text. The classifier is trained
+Features are the relative frequencies of hashed words, word pairs and character triples of a text. The classifier is trained
 with numpy on a bounded sample of labelled rows, calibrated on held-back rows of it (Platt), and scored in Arrow batches.
 """
 
@@ -23,6 +23,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 KEEP_PROBABILITY = 0.5
 #: Labelled rows of each class that the classifier learns from, at most, and the share of them kept for calibration.
 SAMPLE_ROWS, HELD_SHARE = 1500, 0.25
+#: Bytes of text that it learns from, at most: what it holds on the driver is bounded by that.
+SAMPLE_BYTES = 64 << 20
 BITS = 16
 SIZE = 1 << BITS
 ROUNDS, RATE, DECAY = 40, 0.5, 1e-6
@@ -61,14 +63,15 @@ class Document:
     """What one text gives: its base counts and its hashed n-grams."""
 
     def __init__(self, text: str | None):
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        self.raw, words = raw, raw.split()  # bytes split at the six ASCII spaces, as the rule's words do
+        self.text = text or ""
+        raw = self.text.encode("utf-8", "surrogatepass")
+        words = raw.split()  # bytes split at the six ASCII spaces, as the rule's words do
         number: dict[bytes, int] = {}
         ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
         lines = [x for x in raw.split(b"\n") if x.strip()]
         symbols = len(raw) - len(raw.translate(None, SYMBOLS))
         word_bytes = sum(map(len, words))
-        self.base = (len(words), len(text or "") - (len(raw) - word_bytes), symbols, len(lines) - len(set(lines)), repeat_words(ids, len(number)))
+        self.base = (len(words), len(self.text) - (len(raw) - word_bytes), symbols, len(lines) - len(set(lines)), repeat_words(ids, len(number)))
         self.hashes = np.fromiter((zlib.crc32(w) for w in number), np.uint64, len(number))[ids]
 
     def failed(self) -> bool:
@@ -76,12 +79,12 @@ class Document:
         return n < MIN_WORDS or 100 * repeated > MAX_REPEAT_PERCENT * n
 
     def slots(self) -> list[np.ndarray]:
-        """Slots of its words, word pairs and byte triples, each family in a range of its own."""
-        h, b = self.hashes, np.frombuffer(self.raw, np.uint8).astype(np.uint32)
+        """Slots of its words, word pairs and character triples, each family in a range of its own."""
+        h, c = self.hashes, np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), "<u4")
         mix = np.uint64(0x9E3779B97F4A7C15)
         one = (h * mix) >> np.uint64(64 - BITS)
         two = ((h[:-1] * np.uint64(31) + h[1:]) * mix) >> np.uint64(64 - BITS)
-        three = ((b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+        three = ((c[:-2] * np.uint32(0x85EBCA6B) + c[1:-1] * np.uint32(0xC2B2AE35) + c[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
         return [one.astype(np.int32), two.astype(np.int32) + np.int32(SIZE), three.astype(np.int32) + np.int32(2 * SIZE)]
 
     def features(self) -> tuple[np.ndarray, np.ndarray]:
@@ -149,9 +152,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, prior: float,
     return Classifier(w, bias, slope, shift)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Classifier:
-    """A classifier from at most sample_rows labelled documents of each class, picked by a hash of the id."""
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Classifier:
+    """A classifier from at most sample_rows labelled documents of each class and sample_bytes of their texts, in the order
+    of a hash of the id. An id with several labels that differ teaches nothing; of rows of equal id the longest text counts."""
+    given = F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()
+    known = labels.where(given).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y"), F.max(label_col).cast("int").alias("y2")).where("y = y2").drop("y2")
     totals = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     picked = None
     for y, n in sorted(totals.items()):
@@ -160,14 +165,23 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         picked = some if picked is None else picked.unionByName(some)
     if picked is None:
         return fit([], np.zeros(0), 0.5)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(picked), "id")  # sample_rows rows a class at most
+    sizes = texts.groupBy("id").agg(F.max(F.coalesce(F.octet_length("t"), F.lit(0))).alias("size"), F.xxhash64("id").alias("h")).collect()
+    ids, left = [], sample_bytes
+    for r in sorted(sizes, key=lambda r: (r.h, r.id)):
+        left -= r.size
+        if left < 0:
+            break
+        ids.append(r.id)
+    chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], f"id {picked.schema['id'].dataType.simpleString()}")
 
     def run(batches):
         for batch in batches:
             found = [Document(t).features() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.astype("<i4").tobytes() for s, _ in found], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())], ["y", "slots", "counts"])
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(picked), "id").select("y", "t")
-    got = texts.mapInArrow(run, "y int, slots binary, counts binary").collect()  # at most sample_rows of each class
+    longest = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.max(F.struct(F.octet_length("t").alias("size"), "t")).alias("top"), F.first("y").alias("y"))
+    got = longest.select("y", "top.t").mapInArrow(run, "y int, slots binary, counts binary").collect()  # bounded rows and bytes
     got.sort(key=lambda r: (r.y, bytes(r.slots), bytes(r.counts)))
     rows = [(np.frombuffer(r.slots, "<i4"), np.frombuffer(r.counts, "<f4")) for r in got]
     return fit(rows, np.array([r.y for r in got], float), totals.get(1, 0) / max(1, sum(totals.values())))
