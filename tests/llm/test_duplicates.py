@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trackloom.llm import decontam, minhash, substring_dedup
 from trackloom.llm.common import Words
@@ -66,31 +67,78 @@ def test_samples_agree_as_often_as_weights_overlap():
     assert abs(agree - w[a & b].sum() / w[a | b].sum()) < 0.04
 
 
-def test_classes_equal_brute_force(spark, corpus):
-    docs = spark.createDataFrame(corpus, "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
-    words = Words()
-    vectors = {d: minhash.shingles(t, words) for d, t in corpus}
-    df = Counter(x for h, _ in vectors.values() for x in h.tolist())
-    n = sum(len(h) > 0 for h, _ in vectors.values())
-    weights = minhash.Weights(n, {h: c for h, c in df.items() if c >= max(2, np.ceil(minhash.RARE * n))})
-    parent = {d: d for d in vectors}
+def brute_classes(rows):
+    """Classes by comparing all pairs under TF-IDF weights of words as they stand, without hashes."""
+    shingled = {}
+    for d, t in rows:
+        w = [x.lower() for x in WORD.findall(t or "")]
+        if w:
+            k = min(5, len(w))
+            shingled[d] = Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    df = Counter(x for v in shingled.values() for x in v)
+    weighed = {d: {x: c * (1 + np.log(len(shingled) / df[x])) for x, c in v.items()} for d, v in shingled.items()}
+    parent = {d: d for d, _ in rows}
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a, b in combinations(sorted(vectors), 2):
-        wa, wb = (dict(zip(vectors[x][0].tolist(), weights.of(*vectors[x]).tolist())) for x in (a, b))
-        common = sum(min(wa[k], wb[k]) for k in wa.keys() & wb.keys())
-        if common and common / (sum(wa.values()) + sum(wb.values()) - common) >= 0.8:
+    for a, b in combinations(sorted(weighed), 2):
+        common = sum(min(weighed[a][x], weighed[b][x]) for x in weighed[a].keys() & weighed[b].keys())
+        if common and common / (sum(weighed[a].values()) + sum(weighed[b].values()) - common) >= 0.8:
             x, y = sorted((root(a), root(b)))
             parent[y] = x
-    wrong = [d for d in vectors if got[d] != root(d)]
+    return {d: root(d) for d in parent}
+
+
+def test_classes_equal_brute_force(spark, corpus):
+    docs = spark.createDataFrame(corpus, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
+    want = brute_classes(corpus)
+    wrong = [d for d in want if got[d] != want[d]]
     assert len(wrong) <= 2, wrong  # the bands miss a link at 0.8 less than once in a thousand
 
 
+def test_a_template_of_many_documents_weighs_little(spark, monkeypatch):
+    """Texts that share a template and differ in a part of their own: alike by counts, told apart by TF-IDF. The weights
+    must be those of the whole table, though every batch sees a few documents only."""
+    rng = random.Random(77)
+    words = vocabulary(rng, 3000)
+    template = text_of(rng, words, 100)
+    rows = [(d, template + " " + text_of(rng, words, 14)) for d in range(60)] + [(d, text_of(rng, words, 120)) for d in range(60, 900)]
+    rows += [(900 + d, edited(rng, words, rows[d][1], 1)) for d in range(20)]
+    monkeypatch.setattr(minhash, "BATCH_SHINGLES", 1000)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == brute_classes(rows) and len({got[d] for d in range(60)}) > 40
+
+
+def test_document_frequencies_are_exact(spark, corpus, monkeypatch):
+    monkeypatch.setattr(minhash, "BATCH_SHINGLES", 3000)
+    texts = spark.createDataFrame(corpus, "id long, text string").repartition(3)
+    table = minhash.shingle_table(texts).cache()
+    got = Counter()
+    batches = {}
+    for r in table.select("batch", "h").collect():
+        batches.setdefault(r.batch, []).append(np.frombuffer(r.h, "<u8"))
+    parts = sorted(map(tuple, minhash.document_frequencies(table, 10).collect()))
+    assert len(batches) > 3
+    for batch, hs in batches.items():
+        df = np.frombuffer(b"".join(d for b, _, d in parts if b == batch), "<u8")
+        got |= dict(zip(np.unique(np.concatenate(hs)).tolist(), df.tolist()))
+    assert got == Counter(x for hs in batches.values() for h in hs for x in h.tolist())
+
+
+def test_rows_of_equal_id_are_one_document(spark):
+    rng = random.Random(5)
+    words = vocabulary(rng)
+    a, b = text_of(rng, words, 60), text_of(rng, words, 60)
+    rows = [(1, a), (1, a), (7, a), (2, b), (2, b), (None, a), (9, None), (9, None), (5, "of")] + [(3, a)] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("class_id", F.lit("x")).repartition(3)
+    got = Counter((r.doc_id, r.class_id) for r in minhash.near_duplicates(docs).collect())
+    assert got == Counter({(1, 1): 2, (7, 1): 1, (3, 1): 40, (2, 2): 2, (None, None): 1, (9, 9): 2, (5, 5): 1})
+
+
 def test_components_of_long_chains(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 105), (105, 109), (101, 109)], "a long, b long")
     got = {r.id: r["class"] for r in minhash.linked_classes(links).collect()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -33,15 +34,49 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df as written to the shared folder that the cluster names; a folder of our own only where it names none."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. Only a session on one machine may go without: it gets a
+    folder of its own; elsewhere executors would write to disks that the others can't see."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df as written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+class Shelf:
+    """Parquet tables of one job in the shared folder, which go when the job has no more use of them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.name = spark, f"job_{uuid.uuid4().hex}"
+        self.folder, self.tables = f"{shared_folder(spark)}/{self.name}", []
+
+    def put(self, df: DataFrame, bucket: tuple[int, str] | None = None) -> DataFrame:
+        """df as written; with bucket, dealt by a column into so many files' groups, so that it is grouped by it without a shuffle."""
+        at = f"{self.folder}/{len(self.tables)}"
+        name = f"{self.name}_{len(self.tables)}"
+        self.tables.append(name)
+        if not bucket:
+            df.write.parquet(at)
+            return self.spark.read.schema(df.schema).parquet(at)
+        df.write.format("parquet").bucketBy(*bucket).option("path", at).saveAsTable(name)
+        return self.spark.table(name)
+
+    def clear(self) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def finish(h: np.ndarray) -> np.ndarray:
     """Mix 64 bits well."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
