@@ -259,35 +259,60 @@ def test_leaks_equal_brute_force(spark):
     assert clean == {d for d, _ in docs} - {d for d, _ in want}
 
 
-def test_fingerprints_of_like_windows_share_a_block(spark):
-    from pyspark.sql import functions as F
-
-    df = spark.createDataFrame([(" ".join("abcdefghijklmnopqrstuvwxyz"),), (" ".join("abcdefghijklmnopqrstuvwxyq"),)], "t string")
-    a, b = [r for r in df.select(decontam.fingerprint(F.split("t", " ")).alias("p")).select("p", decontam.blocks(F.col("p")).alias("b")).collect()]
-    assert bin((a.p ^ b.p) & (1 << 64) - 1).count("1") <= decontam.RADIUS
-    assert set(a.b) & set(b.b) and len(set(a.b)) == decontam.BLOCKS
-
+def edited_items(rng, words, n, by):
+    """Items, and for each a document with as many edits as still leave a window at 0.8 or more."""
+    items, docs = [(k, " ".join(rng.choices(words, k=rng.randint(15, 59)))) for k in range(n)], []
+    for k, item in items:
+        last = item.split()
+        for own in by(k, item.split()):
+            if not brute_leaks([(k, " ".join(own))], [(k, item)]):
+                break
+            last = own
+        docs.append((k, " ".join([*rng.choices(words, k=rng.randint(0, 30)), *last, *rng.choices(words, k=rng.randint(0, 30))])))
+    return items, docs
 
-def test_edits_at_an_items_ends_are_found(spark):
-    """Heads and tails replaced up to the edge of 0.8: pairs whose fingerprints lie further apart than RADIUS count too."""
-    from pyspark.sql import functions as F
 
+def test_edits_up_to_the_edge_are_found(spark):
+    """Heads and tails replaced, and one to four words inserted in one or two places, up to the edge of 0.8: all pairs of
+    brute force over all windows are found, with the same similarity."""
     rng = random.Random(40)
     words = [w for w in vocabulary(rng, 4000) if w.isalpha()]
-    items, docs = [(k, " ".join(rng.choices(words, k=rng.randint(15, 59)))) for k in range(300)], []
-    for k, item in items:
-        w = last = item.split()
+
+    def by(k, w):
         for n in range(1, len(w)):
-            own = rng.choices(words, k=n) + w[n:] if k % 2 else w[: len(w) - n] + rng.choices(words, k=n)
-            if not brute_leaks([(k, " ".join(own))], [(k, item)]):
-                break
-            last = own
-        docs.append((k, " ".join(last)))
+            if k % 4 == 0:
+                yield rng.choices(words, k=n) + w[n:]
+            elif k % 4 == 1:
+                yield w[: len(w) - n] + rng.choices(words, k=n)
+            else:
+                out = list(w)
+                for _ in range(k % 4 - 1):
+                    at = rng.randint(1, len(out) - 1)
+                    out[at:at] = rng.choices(words, k=1 + n % 4)
+                yield out
+
+    items, docs = edited_items(rng, words, 240, by)
+    want = {}
+    for k in range(240):
+        want |= brute_leaks(docs[k : k + 1], items[k : k + 1])
+    assert len(want) > 200
     docs_df, items_df = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.find_leaks(docs_df, items_df).collect()}
+    assert want.keys() <= got.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     prints = [{r[0]: r[1] for r in df.select(df.columns[0], decontam.fingerprint(F.split("text", " "))).collect()} for df in (docs_df, items_df)]
-    assert any(bin((prints[0][k] ^ prints[1][k]) & (1 << 64) - 1).count("1") > decontam.RADIUS for k, _ in items)
-    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs_df, items_df).collect()}
-    assert {(k, k) for k, _ in items} <= got
+    assert all(len(p) == 2 for side in prints for p in side.values())
+
+
+def test_fingerprints_count_letters(spark):
+    rng = random.Random(3)
+    words = vocabulary(rng)
+    texts = [text_of(rng, words, n) for n in (1, 2, 15, 400)] + ["x" * 40_000]
+    rows = spark.createDataFrame([(t.split(" "),) for t in texts], "w array<string>")
+    hashes = [F.transform(decontam.votes_of(F.col("w"), s), lambda v: v["h"]) for s in decontam.SEEDS]
+    for r in rows.select("w", decontam.fingerprint(F.col("w")).alias("p"), *[h.alias(f"h{k}") for k, h in enumerate(hashes)]).collect():
+        n = [len(w) for w in r.w]
+        want = [sum(1 << b for b in range(64) if 2 * sum(c for c, h in zip(n, hs) if h >> b & 1) > sum(n)) for hs in (r.h0, r.h1)]
+        assert r.p is None if sum(n) > decontam.VOTES else [p & (1 << 64) - 1 for p in r.p] == want
 
 
 def test_leaks_of_odd_rows(spark, odd, none):

@@ -1,9 +1,9 @@
 """Benchmark passages in documents, in DataFrame functions alone.
 
-A document's window of an item's length can only reach the similarity asked for if it shares a shingle with an item, so
-windows are laid where a shared shingle would align with its place in the item. A window meets the items of its size
-that it shares a shingle with, and the exact weighted similarity is summed from the shingles that they share.
-SimHash fingerprints and their blocks take no part in it: no radius short of all bits holds every pair of a similarity.
+Every window of an item's size that could be like the item is compared with it. A window that is must share shingles of
+at least the similarity's part of the item's weight, so the shingles that a document shares with an item say where its
+windows can lie, and a sum over them rules most out. The others get a SimHash fingerprint, each word voting with its
+length; those within RADIUS bits of the item's are verified by exact weighted-shingle similarity.
 """
 
 from __future__ import annotations
@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 
 from .common import SHINGLE_WORDS, SIMILARITY, checkpointed
 
-BITS, RADIUS = 64, 15
-BLOCKS = RADIUS + 1
-BLOCK_BITS = BITS // BLOCKS
-#: Most rows of benchmark shingles that are broadcast (16 bytes of key and place each); beyond it the join shuffles.
+#: Bits of a fingerprint that may differ, of 128: a passage at 0.8 differs in some 20, an unrelated one in some 64.
+RADIUS = 48
+#: Votes are summed four to a number, so windows of more characters are verified without a fingerprint.
+VOTES = (1 << 14) - 1
+LOW, HIGH = 0x0001000100010001, 0x4000400040004000
+SEEDS = (17, 4242)
+#: Most rows of benchmark shingles that are broadcast (24 bytes of key, item and weight each), and most shared shingles of
+#: documents with items; beyond it the joins shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -48,74 +52,105 @@ def total_weight(shingles: Column) -> Column:
     return F.aggregate(shingles, F.lit(0), lambda acc, s: acc + s["w"])
 
 
+def votes_of(words: Column, seed: int) -> Column:
+    """A hash and the number of characters of each word."""
+    return F.transform(words, lambda w: F.struct(F.xxhash64(w, F.lit(seed)).alias("h"), F.length(w).cast("long").alias("n")))
+
+
+def lanes_of(votes: Column, bit: int) -> Column:
+    """The votes for four bits, 16 apart, side by side in one number."""
+    return F.aggregate(votes, F.lit(0).cast("long"), lambda acc, v: acc + F.shiftrightunsigned(v["h"], bit).bitwiseAND(F.lit(LOW)) * v["n"])
+
+
 def fingerprint(words: Column) -> Column:
-    """SimHash: each bit is what most of the words' hashes have there."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    ones = lambda b: F.aggregate(hashes, F.lit(0), lambda acc, h: acc + (F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1))).cast("int"))
-    return sum_bits([F.when(ones(b) * 2 > F.size(words), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)) for b in range(BITS)])
+    """SimHash of 128 bits as two numbers: each bit is what the words that have it set hold of all characters, over half.
+    Null for windows of more characters than VOTES."""
+    total = F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc + F.length(w))
+    short = F.when(total <= VOTES, words)
+    half, prints = F.when(total <= VOTES, (VOTES - F.floor(total / 2)) * F.lit(LOW)), []
+    for seed in SEEDS:
+        votes, own = votes_of(short, seed), F.lit(0).cast("long")
+        for bit in range(16):
+            over = (lanes_of(votes, bit) + half).bitwiseAND(F.lit(HIGH))
+            own = own.bitwiseOR(F.shiftleft(F.shiftrightunsigned(over, 14), bit))
+        prints.append(own)
+    return F.when(total <= VOTES, F.array(*prints))
 
 
-def sum_bits(bits: list[Column]) -> Column:
-    out = bits[0]
-    for bit in bits[1:]:
-        out = out.bitwiseOR(bit)
-    return out
+def run_structs(words: Column, size: int) -> Column:
+    """Runs of so many words, with their size and place."""
+    return F.transform(run_hashes(words, size), lambda h, i: F.struct(F.lit(size).alias("k"), i.alias("at"), h.alias("h")))
 
 
-def blocks(print_: Column) -> Column:
-    """The fingerprint's blocks, each with its number in the high bits."""
-    mask = (1 << BLOCK_BITS) - 1
-    return F.array(*[F.shiftrightunsigned(print_, b * BLOCK_BITS).bitwiseAND(F.lit(mask)).cast("int") + F.lit(b << BLOCK_BITS) for b in range(BLOCKS)])
+def distance(a: Column, b: Column) -> Column:
+    """Bits in which two fingerprints differ; null if one is missing."""
+    return F.bit_count(a[0].bitwiseXOR(b[0])) + F.bit_count(a[1].bitwiseXOR(b[1]))
 
 
 def benchmark_items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """(item_id, size, words) of the items that have words."""
-    return benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), words_of(F.col(text_col)).alias("words")).select("item_id", F.size("words").alias("size"), "words").where("size > 0")
-
-
-def windows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, size, start, words): item-sized windows of documents, laid where a shared shingle aligns with an item."""
-    sizes = [r.k for r in items.select(F.least("size", F.lit(SHINGLE_WORDS)).alias("k")).distinct().collect()]
-    spots = None
-    for k in sorted(sizes):
-        own = items.where(F.least("size", F.lit(SHINGLE_WORDS)) == k)
-        table = own.select("size", F.posexplode(run_hashes(F.col("words"), k)).alias("place", "h")).distinct()
-        table = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-        runs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
-        runs = runs.select("id", F.posexplode(run_hashes(F.col("words"), k)).alias("at", "h"))
-        found = runs.join(table, "h").select("id", "size", F.greatest(F.col("at") - F.col("place"), F.lit(0)).alias("start"))
-        spots = found if spots is None else spots.unionByName(found)
-    if spots is None:
-        return docs.select(F.col(id_col).alias("id"), F.lit(0).alias("size"), F.lit(0).alias("start"), F.array(F.lit("")).alias("words")).where(F.lit(False))
-    spots = checkpointed(spots.distinct().groupBy("id").agg(F.collect_list(F.struct("size", "start")).alias("spots")))
-    whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(spots, "id")
-    laid = whole.select("id", words_of(F.col("text")).alias("all"), "spots")
-    laid = laid.select("id", "all", F.explode(F.array_distinct(F.transform("spots", lambda s: F.struct(s["size"].alias("size"), F.greatest(F.least(s["start"], F.size("all") - s["size"]), F.lit(0)).alias("start"))))).alias("spot"))
-    return laid.select("id", F.col("spot.size").alias("size"), F.col("spot.start").alias("start"), F.slice("all", F.col("spot.start") + 1, F.col("spot.size")).alias("words"))
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(item, item_id, size, k, item_shingles, item_weight, item_print) of the items that have words."""
+    rows = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), words_of(F.col(text_col)).alias("words")).where(F.size("words") > 0)
+    rows = rows.select("item_id", F.size("words").alias("size"), F.least(F.size("words"), F.lit(SHINGLE_WORDS)).alias("k"), weighted_shingles(F.col("words")).alias("item_shingles"), fingerprint(F.col("words")).alias("item_print"))
+    return checkpointed(rows.withColumn("item_weight", total_weight(F.col("item_shingles")))).withColumn("item", F.monotonically_increasing_id())
+
+
+def shared_shingles(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """(id, item, size, k, item_weight, hits): where documents hold shingles of an item, and their weights, for those that
+    hold enough of it somewhere."""
+    table = items.select("item", "size", "k", "item_weight", F.explode("item_shingles").alias("s")).select("item", "size", "k", "item_weight", F.col("s.h").alias("h"), F.col("s.w").alias("w"))
+    table = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    sizes = sorted(r.k for r in items.select("k").distinct().collect()) or [SHINGLE_WORDS]  # five at most
+    runs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
+    if len(sizes) == 1:
+        runs = runs.select("id", F.lit(sizes[0]).alias("k"), F.posexplode(run_hashes(F.col("words"), sizes[0])).alias("at", "h"))
+    else:
+        told = F.flatten(F.array(*[run_structs(F.col("words"), k) for k in sizes]))
+        runs = runs.select("id", F.explode(told).alias("r")).select("id", "r.*")
+    hits = runs.join(table, ["h", "k"]).groupBy("id", "item").agg(F.collect_set(F.struct("at", "w")).alias("hits"), F.first("size").alias("size"), F.first("k").alias("k"), F.first("item_weight").alias("item_weight"))
+    return hits.where(F.aggregate("hits", F.lit(0).cast("long"), lambda acc, s: acc + s["w"]) >= similarity * F.col("item_weight") - 1e-9)
+
+
+def windows(docs: DataFrame, shared: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """(id, item, start, words): all windows of an item's size whose shared shingles weigh enough, in each document of a row
+    of shared. A document that is shorter than the item is one window."""
+    many = shared.agg(F.sum(F.size("hits"))).first()[0] or 0
+    by_id = shared.groupBy("id").agg(F.collect_list(F.struct("item", "size", "k", "item_weight", "hits")).alias("shared"))  # at most one for each item that the document holds
+    whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(by_id) if many <= BROADCAST_ROWS else by_id, "id")
+    laid = whole.select("id", words_of(F.col("text")).alias("all"), F.explode("shared").alias("s")).select("id", "all", "s.*")
+    last = F.greatest(F.size("all") - F.col("size"), F.lit(0))
+    reach = F.col("size") - F.col("k")
+    starts = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(F.least(F.greatest(x["at"] - reach, F.lit(0)), last), F.least(x["at"], last)))))
+    own = lambda s: F.aggregate(F.filter("hits", lambda x: x["at"].between(s, s + reach)), F.lit(0).cast("long"), lambda acc, x: acc + x["w"])
+    enough = F.filter(starts, lambda s: own(s) >= similarity * F.col("item_weight") - 1e-9)
+    laid = laid.select("id", "all", "size", "item", F.explode(enough).alias("start"))
+    return laid.select("id", "item", "start", F.slice("all", F.col("start") + 1, F.col("size")).alias("words"))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """One row for each document and benchmark item that it holds: id, item_id, similarity, start and n_words of the
     window that is most like the item (the first of equals).
 
     Documents without a leak have no row. Null texts, texts without words, null ids and items without words match
-    nothing; rows of equal id count as one document; an empty table on either side gives no rows. Other columns of
-    both tables aren't read, so their names may clash."""
+    nothing; rows of equal id count as one document, rows of equal item_id as one item; an empty table on either side
+    gives no rows. Other columns of both tables aren't read, so their names may clash."""
     items = benchmark_items(benchmark, item_col, item_text_col)
-    known = checkpointed(items.select("item_id", "size", weighted_shingles(F.col("words")).alias("item_shingles")).withColumn("item_weight", total_weight(F.col("item_shingles"))))
-    seen = windows(docs, items, id_col, text_col).dropDuplicates(["id", "size", "start"])
-    seen = checkpointed(seen.select("id", "size", "start", weighted_shingles(F.col("words")).alias("shingles")).withColumn("weight", total_weight(F.col("shingles"))))
-    table = known.select("item_id", "size", "item_weight", F.explode("item_shingles.h").alias("h"))
-    small = table.count() <= BROADCAST_ROWS
-    sides = seen.select("id", "size", "start", "weight", F.explode("shingles").alias("s")).select("id", "size", "start", "weight", F.col("s.h").alias("h"), F.col("s.w").alias("w")), table
-    both = sides[0].join(F.broadcast(sides[1]) if small else sides[1], ["size", "h"])
-    # each shared shingle adds its weight once, so their sum is what both sides have in common
-    both = both.groupBy("id", "item_id", "size", "start").agg(F.sum("w").alias("common"), F.first("weight").alias("weight"), F.first("item_weight").alias("item_weight"))
-    both = both.select("id", "item_id", "start", "size", (F.col("common") / (F.col("weight") + F.col("item_weight") - F.col("common"))).alias("similarity"))
+    shared = checkpointed(shared_shingles(docs, items, id_col, text_col, similarity))
+    few = items.agg(F.sum(F.size("item_shingles"))).first()[0] or 0
+    known = items.select("item", "item_id", "size", "item_shingles", "item_weight", "item_print")
+    known = F.broadcast(known) if few <= BROADCAST_ROWS else known
+    laid = windows(docs, shared, id_col, text_col, similarity).dropDuplicates(["id", "item", "start", "words"]).withColumn("print", fingerprint(F.col("words")))
+    near = laid.join(known, "item").where(F.coalesce(distance(F.col("print"), F.col("item_print")) <= radius, F.lit(True)))
+    both = near.withColumn("shingles", weighted_shingles(F.col("words")))
+    common = total_weight(F.array_intersect("shingles", "item_shingles"))
+    both = both.select("id", "item_id", "start", "size", common.alias("common"), (total_weight(F.col("shingles")) + F.col("item_weight")).alias("total"))
+    both = both.select("id", "item_id", "start", "size", (F.col("common") / (F.col("total") - F.col("common"))).alias("similarity"))
     best = both.where(F.col("similarity") >= similarity).groupBy("id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("minus"), "size")).alias("best"))
     return best.select(F.col("id").alias(id_col), "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.minus")).alias("start"), F.col("best.size").alias("n_words"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no benchmark item, with their own columns; documents without an id stay."""
-    return docs.join(find_leaks(docs, benchmark, id_col=id_col, **options).select(id_col).distinct(), id_col, "left_anti")
+    """The documents that hold no benchmark item, with their own columns; documents without an id stay. Texts are only
+    moved if the ids that go are too many to broadcast."""
+    gone = checkpointed(find_leaks(docs, benchmark, id_col=id_col, **options).select(id_col).distinct())
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti")

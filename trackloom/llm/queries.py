@@ -62,17 +62,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def leak_sql(size: int = SHINGLE_WORDS, least: float = SIMILARITY) -> str:
-    """Windows that share a shingle with an item at the place where it aligns, compared with all items of their size."""
+    """All windows of an item's size in each document that shares a shingle with the item: others have nothing in common with it."""
     words = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
     runs = lambda w: f"list_distinct(list_transform(range(1, len({w}) - least({size}, len({w})) + 2), lambda i: array_to_string({w}[i:i + least({size}, len({w})) - 1], ' ')))"
     weight = lambda r: f"coalesce(list_sum(list_transform({r}, lambda x: length(replace(x, ' ', '')))), 0)"
     return f"""WITH items AS (SELECT item_id, w, len(w) AS m, least({size}, len(w)) AS k, {runs('w')} AS runs FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) > 0),
  docs AS (SELECT doc_id, {words} AS w FROM documents WHERE text IS NOT NULL),
- parts AS (SELECT m, k, p, array_to_string(w[p:p + k - 1], ' ') AS s FROM (SELECT m, k, w, unnest(range(1, m - k + 2)) AS p FROM items)),
- places AS (SELECT doc_id, k, p, n, array_to_string(w[p:p + k - 1], ' ') AS s FROM (SELECT doc_id, k, w, len(w) AS n, unnest(range(1, len(w) - k + 2)) AS p FROM docs, (SELECT DISTINCT k FROM items))),
- spots AS (SELECT DISTINCT doc_id, m, greatest(least(greatest(a.p - b.p, 0), n - m), 0) AS start FROM places a JOIN parts b ON a.s = b.s AND a.k = b.k),
- windows AS (SELECT doc_id, m, start, {runs('v')} AS runs FROM (SELECT doc_id, m, start, w[start + 1:start + m] AS v FROM spots JOIN docs USING (doc_id))),
- pairs AS (SELECT doc_id, item_id, start, m, {weight('list_intersect(a.runs, b.runs)')} AS c, {weight('a.runs')} + {weight('b.runs')} AS t FROM windows a JOIN items b USING (m)),
+ parts AS (SELECT item_id, k, unnest(runs) AS s FROM items),
+ places AS (SELECT doc_id, k, array_to_string(w[p:p + k - 1], ' ') AS s FROM (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS p FROM docs, (SELECT DISTINCT k FROM items))),
+ met AS (SELECT DISTINCT doc_id, item_id FROM places JOIN parts USING (s, k)),
+ spots AS (SELECT doc_id, item_id, m, runs, docs.w AS w, unnest(range(0, greatest(len(docs.w) - m, 0) + 1)) AS start FROM met JOIN docs USING (doc_id) JOIN items USING (item_id)),
+ windows AS (SELECT doc_id, item_id, m, start, runs, {runs('v')} AS own FROM (SELECT *, w[start + 1:start + m] AS v FROM spots)),
+ pairs AS (SELECT doc_id, item_id, start, m, {weight('list_intersect(own, runs)')} AS c, {weight('own')} + {weight('runs')} AS t FROM windows),
  scored AS (SELECT *, c::DOUBLE / (t - c)::DOUBLE AS similarity FROM pairs)
 SELECT doc_id, item_id, similarity, start::INTEGER AS start, m::INTEGER AS n_words FROM scored WHERE similarity >= {least}
  QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1"""
