@@ -203,8 +203,10 @@ def test_every_spelling_of_a_license_name_holds_an_anchor(spark):
 def test_each_license_rule_is_found_by_its_match_alone(spark):
     odd_word = lambda p: re.sub(r"\(\?: \[0-9\]\{4\}\)\*|\(\?: \[\^ \]\+\)\{0,6\}", "", p).replace("[0-9]{4}", "2020")
     docs = []
-    for rank, _, _, pattern, label, _ in license_scan.rules():
+    for rank, keywords, near, pattern, label, _ in license_scan.rules():
         some = license_scan.spellings(odd_word(pattern.removeprefix("(?<= )").removesuffix("(?= )")))
+        if rank < len(license_scan.BASE) + len(license_scan.NOTICES):  # a match holds the keyword, so the rule is tried
+            assert all(set(x.split()) & set(keywords) and set(x.split()) & set(near) for x in some), (label, pattern)
         docs += [(rank, label, x, f"x {x} y") for x in {some[0], some[-1], min(some, key=len), max(some, key=len)}]
     docs += [(-1, "mit", "", "Released\nunder MIT"), (-1, "mpl-2.0", "", "distributed under the terms of the MPL 2.0"), (-1, "cc-by", "", "available under CC BY 4.0"), (-1, "bsd", "", "published under BSD"), (-1, "cc0", "", "CC-0")]
     table = spark.createDataFrame(docs, "rank int, label string, spelling string, text string")
