@@ -143,6 +143,57 @@ def test_heads_of_pages_and_of_articles():
     assert html_extract.main_text(page).split("\n\n") == ["Title of it", "The text of the article is in this paragraph, and it is for the reader to read."]
 
 
+STORY = ["The text of the page is in this paragraph and it is for the reader of the story, as it was in the paper.", "And this is the rest of the text that the page has for those who read to the end of it.", "It was a day of which the people of the town had much to say, and they did so for years."]
+RUSSIAN = ["Весь день над городом шёл тёплый дождь, и люди прятались под крышами старых домов до самого вечера.", "Только к ночи небо прояснилось, и над рекой стал виден яркий месяц, который светил до утра."]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div>{}</div><article><p>Another story of the day that is shown beside this one to the reader.</p></article>", STORY),
+        ("<div>{}</div><aside><article><p>A related story of the day that is shown beside this one.</p></article></aside>", STORY),
+        ("<div id=page class='site no-sidebar'><div class=nav><a href=a>One</a></div>{}<div class=sidebar>The side of the page that is for the reader of it, as all pages have it.</div></div>", STORY),
+        ("<div class='entry share-enabled'>{}</div><footer><p>All of it is by the staff of the site and it is for you.</p></footer>", STORY),
+        ("<form id=aspnet>{}<div class=footer>The foot of the page that is on all of the pages of this site.</div></form>", STORY),
+        ("<div>{}</div>", RUSSIAN),
+        ("<div>{}</div><div class=comments>" + "<p>I have read the story and I am of the view that it is not for me at all.</p>" * 20 + "</div>", STORY),
+        ("<nav><a href=a>One</a></nav><main>{}</main><footer>The foot of the page is here and it is long enough to be text by itself.</footer>", STORY),
+    ],
+)
+def test_marks_are_evidence_and_not_verdicts(page, want):
+    html = "<html><body>" + page.format("".join(f"<p>{x}</p>" for x in want)) + "</body></html>"
+    assert html_extract.main_text(html).split("\n\n") == want
+
+
+def test_extraction_takes_time_in_proportion():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        began = time.process_time()
+        html_extract.main_text("<div>" * n + "x" + "<i><p>y</b>" * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5
+
+
+def strip_tags(html):
+    """The text of an article element by patterns alone, block by block."""
+    import html as entities
+
+    inside = re.search(r"<article>(.*)</article>", html, re.S)[1]
+    blocks = re.split(r"</?(?:p|h1|div|ul|li)\b[^>]*>", re.sub(r"<br>", " ", inside))
+    return "\n\n".join(x for x in (" ".join(entities.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks) if x)
+
+
+def test_extraction_equals_patterns_on_plain_pages(spark):
+    from trackloom.llm import queries
+    from trackloom.llm.common import read_table
+
+    sf = "/root/testdata/sf0.01"
+    want = {r.page_id: strip_tags(r.html) for r in read_table(spark, sf, "pages").collect()}
+    assert {r.page_id: r.text for r in queries.op3_html_extraction(spark, sf).collect()} == want
+
+
 def test_extraction_of_odd_pages(spark):
     rows = [(1, "u", None, "x"), (2, "u", "", "x"), (3, None, "<p>a</p", "x"), (4, "u", "<<<>>>&&&", "x"), (5, "u", PAGE, "x"), (5, "u", PAGE, "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

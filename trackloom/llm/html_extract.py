@@ -1,13 +1,15 @@
 """Main text of web pages by two-pass block rules.
 
-A page is read into blocks of text. The first pass decides each block by its place in the page, its share of linked
-characters, its length and its share of stop words; short blocks stay undecided. The second pass gives an undecided
-block the label of its nearest decided neighbours.
+A page is read into blocks of text. The first pass decides each block by its share of linked characters, its length and
+its share of stop words; short blocks stay undecided. The second pass gives an undecided block the label of its nearest
+decided neighbours. Elements and names that mark a page's apparatus count against a block, unless they hold most of what
+the first pass finds good; an article element counts for a block only if it holds most of it.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -38,6 +40,11 @@ STOP_WORDS = frozenset(
 #: text; share under which a long block outside the article is no prose.
 LINKED, LONG, STOPPED, PROSE = 0.5, 70, 0.08, 0.02
 GOOD, BAD, OPEN = "good", "bad", "open"
+#: Share of the good text that an article must hold to count, and under which it is another story's card; how many times the kept text a marked element must hold of
+#: good text for its mark not to count; how many marked elements may be let off so.
+MOST, CARD, TIMES, LET_OFF = 0.5, 0.3, 4, 8
+#: Names of readers' parts, which may be longer than the article.
+READERS = re.compile(r"comment|disqus|respond|repl(?:y|ies)", re.I)
 
 
 @dataclass
@@ -45,7 +52,8 @@ class Block:
     text: str
     linked: float
     in_main: bool
-    apparatus: bool
+    #: Numbers of the marked elements around it.
+    marks: tuple[int, ...]
 
 
 class Reader(HTMLParser):
@@ -54,22 +62,28 @@ class Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.open: list[tuple[str, bool]] = []
-        self.hidden = self.apparatus = self.main = self.links = 0
+        #: Open elements by name and mark: the number of a marked element, or -1.
+        self.open: list[tuple[str, int]] = []
+        self.names: Counter[str] = Counter()
+        self.hidden = self.main = self.links = self.marked = 0
+        self.marks: list[int] = []
+        self.readers: set[int] = set()
         self.parts: list[tuple[str, bool]] = []
 
     def end_block(self) -> None:
         text = " ".join("".join(t for t, _ in self.parts).split())
         if text:
             linked = sum(len("".join(t.split())) for t, on in self.parts if on)
-            self.blocks.append(Block(text, linked / max(1, len(text.replace(" ", ""))), self.main > 0, self.apparatus > 0))
+            self.blocks.append(Block(text, linked / max(1, len(text.replace(" ", ""))), self.main > 0, tuple(self.marks)))
         self.parts = []
 
-    def count(self, tag: str, named: bool, by: int) -> None:
+    def count(self, tag: str, mark: int, by: int) -> None:
+        self.names[tag] += by
         self.hidden += by * (tag in HIDDEN)
-        self.apparatus += by * (tag in APPARATUS or named)
         self.main += by * (tag in MAIN)
         self.links += by * (tag == "a")
+        if mark >= 0:
+            self.marks.append(mark) if by > 0 else self.marks.remove(mark)
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -77,19 +91,25 @@ class Reader(HTMLParser):
         if tag in VOID:
             self.parts.append((" " if tag == "br" else "", False))
             return
-        if tag in BLOCKS and tag != "html" and any(name == "head" for name, _ in self.open):  # a head that wasn't closed
+        if tag in BLOCKS and tag != "html" and self.names["head"]:  # a head that wasn't closed
             self.close_from(next(k for k, (name, _) in enumerate(self.open) if name == "head"))
-        named = tag == "header" and not self.main
+        marked, mark = tag in APPARATUS or tag == "header" and not self.main, -1
         if tag not in ("html", "body", "article", "main"):
             names = [v for k, v in attrs if k in ("class", "id", "role") and v]
-            named = named or any(NAMED.search(v) or not self.main and HEADING.search(v) for v in names)
+            marked = marked or any(NAMED.search(v) or not self.main and HEADING.search(v) for v in names)
+            if marked:
+                mark, self.marked = self.marked, self.marked + 1
+                if any(READERS.search(v) for v in names):
+                    self.readers.add(mark)
         if tag == "p" or tag in ("li", "dd", "dt", "td", "th", "tr", "option"):
             self.close_implied(tag)
-        self.open.append((tag, named))
-        self.count(tag, named, 1)
+        self.open.append((tag, mark))
+        self.count(tag, mark, 1)
 
     def close_implied(self, tag: str) -> None:
         """A paragraph, list item or cell ends where the next one begins."""
+        if not self.names[tag]:
+            return
         for k in range(len(self.open) - 1, -1, -1):
             name = self.open[k][0]
             if name == tag:
@@ -99,8 +119,8 @@ class Reader(HTMLParser):
                 return
 
     def close_from(self, k: int) -> None:
-        for name, named in reversed(self.open[k:]):
-            self.count(name, named, -1)
+        for name, mark in reversed(self.open[k:]):
+            self.count(name, mark, -1)
         del self.open[k:]
 
     def handle_startendtag(self, tag, attrs):
@@ -111,6 +131,8 @@ class Reader(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCKS:
             self.end_block()
+        if not self.names[tag]:
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
                 self.close_from(k)
@@ -128,18 +150,22 @@ class Reader(HTMLParser):
         return self.blocks
 
 
-def first_pass(block: Block) -> str:
-    if block.apparatus:
-        return BAD
+def stopped(text: str) -> tuple[int, float]:
+    """Words of a text and the share of stop words among them."""
+    words = [w.strip(".,;:!?\"'()").lower() for w in text.split()]
+    return len(words), sum(w in STOP_WORDS for w in words) / len(words)
+
+
+def first_pass(block: Block, known: bool = True) -> str:
+    """What a block is by its own text; known: whether the page is in a language whose stop words are known."""
     if block.linked > LINKED:
         return OPEN if block.in_main and len(block.text) < LONG and block.linked < 0.9 else BAD
-    words = [w.strip(".,;:!?\"'()").lower() for w in block.text.split()]
-    stopped = sum(w in STOP_WORDS for w in words) / len(words)
+    words, share = stopped(block.text)
     if len(block.text) >= LONG:
-        if stopped >= STOPPED:
+        if share >= STOPPED or block.in_main or not known:
             return GOOD
-        return GOOD if block.in_main else BAD if stopped < PROSE else OPEN
-    return GOOD if block.in_main and stopped >= STOPPED and len(words) >= 4 else OPEN
+        return BAD if share < PROSE else OPEN
+    return GOOD if block.in_main and share >= STOPPED and words >= 4 else OPEN
 
 
 def second_pass(blocks: list[Block], labels: list[str]) -> list[bool]:
@@ -172,17 +198,48 @@ def second_pass(blocks: list[Block], labels: list[str]) -> list[bool]:
     return kept
 
 
+def long_text(blocks: list[Block]) -> int:
+    return sum(len(b.text) for b in blocks)
+
+
+def kept_blocks(blocks: list[Block], readers: set[int]) -> list[Block]:
+    """The blocks of the article."""
+    known = any(len(b.text) >= LONG and stopped(b.text)[1] >= STOPPED for b in blocks)
+    labels = [first_pass(b, known) for b in blocks]
+    good = [b for b, label in zip(blocks, labels) if label == GOOD]
+    free: set[int] = set()  # marks that don't count
+    for _ in range(LET_OFF):
+        plain = [b for b in good if free.issuperset(b.marks)]
+        sizes: Counter[int] = Counter()
+        for b in good:
+            for mark in b.marks:
+                sizes[mark] += len(b.text) * (mark not in free and mark not in readers)
+        widest = max(sizes, key=lambda m: (sizes[m], -m), default=-1)
+        if widest < 0 or sizes[widest] <= TIMES * long_text(plain):
+            break
+        free.add(widest)
+    # an article has to hold most of the good text that isn't apparatus
+    plain = [b for b in blocks if free.issuperset(b.marks)]
+    found = [b for b, label in zip(blocks, labels) if label == GOOD and free.issuperset(b.marks)]
+    held = long_text([b for b in found if b.in_main])
+    if any(b.in_main for b in plain) and held >= MOST * long_text(found):
+        blocks = [b for b in blocks if b.in_main]
+    else:
+        if held < CARD * long_text(found):  # a card of another story beside this one
+            blocks = [b for b in blocks if not b.in_main]
+        for b in blocks:
+            b.in_main = False
+    labels = [first_pass(b, known) if free.issuperset(b.marks) else BAD for b in blocks]
+    return [b for b, stays in zip(blocks, second_pass(blocks, labels)) if stays]
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks, each with single spaces, joined by an empty line. Null, empty or without text: empty."""
     if not html:
         return ""
     reader = Reader()
     reader.feed(html)
-    blocks = reader.finish()
-    if any(b.in_main for b in blocks):  # a page that marks its article has its text there
-        blocks = [b for b in blocks if b.in_main]
-    kept = second_pass(blocks, [first_pass(b) for b in blocks])
-    return "\n\n".join(b.text for b, stays in zip(blocks, kept) if stays)
+    return "\n\n".join(b.text for b in kept_blocks(reader.finish(), reader.readers))
 
 
 def extract(pages: DataFrame, *, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
