@@ -1,7 +1,8 @@
 """Windows over a whole table in a total order, without moving all rows to one task.
 
-The order is cut into ranges at approximate quantiles of its first column. What each range adds up to is a row of a
-small table; the ranges before a row's own are summed up from it, and the window runs within the range.
+The rows are dealt to ranges of the order, by all its columns, and written; the number of ranges follows the number of
+rows. What each range adds up to is a row of a small table; the ranges before a row's own are summed up from it, and the
+window runs within the range. Nulls come first, as in Spark's own ascending order.
 """
 
 from __future__ import annotations
@@ -9,42 +10,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that the order is cut into; a bound on the rows of the small table.
-RANGES = 64
+from .written import kept
 
+#: Rows of a range, about, and the least and most ranges that an order is cut into.
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 1_000_000, 8, 20_000
 
-def with_range(df: DataFrame, order: str, ranges: int = RANGES) -> DataFrame:
-    """df with _range, the number of the range of its order that a row falls into. Rows of equal order share one."""
-    number = F.col(order) if dict(df.dtypes)[order] in ("int", "bigint", "smallint", "tinyint", "double", "float") else F.unix_micros(F.col(order).cast("timestamp"))
-    cuts = df.agg(F.percentile_approx(number, [k / ranges for k in range(1, ranges)], 10_000).alias("cuts")).first().cuts or []
-    cuts = sorted(set(cuts))
-    place = F.lit(0)
-    if cuts:
-        place = F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda acc, c: acc + (number > c).cast("int"))
-    return df.withColumn("_range", place)
 
+def with_range(df: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
+    """df, written, with _range, the number of the range of its order that a row falls into. Rows that are equal in all
+    columns of the order share one."""
+    ranges = ranges or min(MOST_RANGES, max(LEAST_RANGES, df.count() // RANGE_ROWS))
+    return kept(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
 
-def numbered(df: DataFrame, order: list[str], name: str = "rn", ranges: int = RANGES) -> DataFrame:
+
+def numbered(df: DataFrame, order: list[str], name: str = "rn", ranges: int | None = None) -> DataFrame:
     """df with each row's place in the total order, from 1 on."""
-    dealt = with_range(df, order[0], ranges)
+    dealt = with_range(df, order, ranges)
     sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
     before = sizes.select("_range", (F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return dealt.join(F.broadcast(before), "_range").withColumn(name, own + F.col("_before")).drop("_range", "_before")
 
 
-def running_max(df: DataFrame, order: list[str], value: Column, name: str, ranges: int = RANGES) -> DataFrame:
+def running_max(df: DataFrame, order: list[str], value: Column, name: str, ranges: int | None = None) -> DataFrame:
     """df with the largest value of all rows before a row in the total order; null for the first."""
-    dealt = with_range(df, order[0], ranges).withColumn("_value", value)
+    dealt = with_range(df.withColumn("_value", value), order, ranges)
     tops = dealt.groupBy("_range").agg(F.max("_value").alias("_m"))
     before = tops.select("_range", F.max("_m").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
     own = F.max("_value").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     return dealt.join(F.broadcast(before), "_range").withColumn(name, F.greatest(own, F.col("_before"))).drop("_range", "_before", "_value")
 
 
-def running_total(df: DataFrame, order: list[str], values: list[str], ranges: int = RANGES) -> DataFrame:
+def running_total(df: DataFrame, order: list[str], values: list[str], ranges: int | None = None) -> DataFrame:
     """df with total_<value>, the sum of all rows up to and with a row in the total order, for each of the values."""
-    dealt = with_range(df, order[0], ranges)
+    dealt = with_range(df, order, ranges)
     sums = dealt.groupBy("_range").agg(*[F.sum(v).alias(v) for v in values])
     past = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select("_range", *[F.coalesce(F.sum(v).over(past), F.lit(0)).alias(f"_before_{v}") for v in values])

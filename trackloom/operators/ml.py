@@ -220,9 +220,10 @@ def isolation_forest(df: DataFrame, features: list[str], id_cols: list[str], *,
 def ward(df: DataFrame, features: list[str], id_col: str, clusters: int, limit: int = 120) -> DataFrame:
     """(id, cluster) by Ward's method on at most `limit` rows, which the caller samples; more are an error, as the method
     needs all distances at once."""
+    if df.limit(limit + 1).count() > limit:
+        raise ValueError(f"Ward's method takes at most {limit} rows")
+
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > limit:
-            raise ValueError(f"Ward's method takes at most {limit} rows")
         rows = rows.sort_values("id", kind="stable")
         x = rows[features].to_numpy(float)
         centre, size, member = x.copy(), np.ones(len(x)), np.arange(len(x))

@@ -103,6 +103,11 @@ def page(df: DataFrame, order: list[str], number: int = 1, size: int = 50) -> Da
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def page_with_total(df: DataFrame, order: list[str], number: int = 1, size: int = 50) -> DataFrame:
+    """One page of a total order, with total, the number of all rows, beside each of its rows."""
+    return page(df, order, number, size).join(F.broadcast(df.agg(F.count("*").alias("total"))), F.lit(True))
+
+
 def search(df: DataFrame, needle: str, columns: list[str], *, regex: bool = False) -> DataFrame:
     """Rows where one of the columns holds the needle, whatever the case: as plain text, or as a regex."""
     hit = F.lit(False)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ordering import numbered, running_max
-from ..functions.text import code_points, credits, human_size, shortened, tokens
+from ..functions.text import STOP_WORDS, code_points, credits, human_size, shortened, tokens
 from ..operators import bloom, clean, docs, graph, ml, relational, stats, storage, text, windows
 from ..sources.files import scan_table, to_json
 from ..streaming import events as streams
@@ -244,6 +244,12 @@ def page_offset(spark, sf):
     return relational.page(table(spark, sf, "orders"), ["o_orderdate", "o_orderkey"], 3, 50).select("o_orderkey", "o_totalprice")
 
 
+@query("SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 50 OFFSET 100")
+def page_total(spark, sf):
+    """The third page with the number of all rows: paging is the feature here."""
+    return relational.page_with_total(table(spark, sf, "orders"), ["o_orderdate", "o_orderkey"], 3, 50).select("o_orderkey", "o_totalprice", "total")
+
+
 @query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 25")
 def limit_recent(spark, sf):
     """The newest 25: a top list is the feature here."""
@@ -266,6 +272,7 @@ def search_tracks(spark, sf):
     return relational.search(table(spark, sf, "part").select("p_partkey", "p_name", "p_type"), "STE", ["p_name", "p_type"])
 
 
+#: The rules of relational.label_rules.
 LABEL_SQL = """CASE WHEN i >= 0.5 THEN 'Instrumental / Ambient' WHEN s >= 0.15 THEN 'Spoken / Lyrical' WHEN a >= 0.55 AND e <= 0.5 THEN 'Acoustic / Organic'
  WHEN e >= 0.75 AND a <= 0.2 THEN 'High-Energy Electronic' WHEN d >= 0.6 AND v >= 0.6 THEN 'Bright / Upbeat' WHEN d >= 0.6 THEN 'Rhythmic / Dance'
  WHEN e >= 0.68 AND a <= 0.3 THEN 'High-Energy Electronic' WHEN e >= 0.7 AND l >= -6 THEN 'Loud / Intense' WHEN e <= 0.4 AND v <= 0.45 THEN 'Mellow / Low-Energy' ELSE 'Vocal / Pop' END"""
@@ -335,7 +342,7 @@ def estimate_rows(spark, sf):
 
 # --- words
 
-STOP_SQL = "('" + "','".join("the a an and of to in on for with feat ft version mix remaster remastered edit radio song from you your me my it is be at as by or la le el de que no all that this".split()) + "')"
+STOP_SQL = "('" + "','".join(STOP_WORDS) + "')"
 TOKENS_SQL = f"SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z'']{{3,}}')) AS key FROM documents"
 TOKEN_ROWS = f"(SELECT * FROM ({TOKENS_SQL}) WHERE key NOT IN {STOP_SQL})"
 
@@ -407,7 +414,7 @@ def st_late(spark, sf):
     return plain(windows.late_summary(late, seconds))
 
 
-SIZE = 250
+SIZE = "(SELECT greatest(200, ceil(count(*) / 60.0))::BIGINT FROM orders)"
 WIN = f"(SELECT ((row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) // {SIZE})::BIGINT AS win, * FROM orders)"
 WINDOWS = f"(SELECT win, count(*) AS n, min(o_orderdate) AS first, max(o_orderdate) AS last, round(avg(o_totalprice), 4) AS o_totalprice FROM {WIN} GROUP BY win)"
 SMOOTH = f"(SELECT *, avg(o_totalprice) OVER (ORDER BY win ROWS 2 PRECEDING) AS rolling FROM {WINDOWS})"
@@ -417,7 +424,8 @@ DRIFT = f"""(SELECT *, CASE WHEN win >= 9 AND c >= 3 AND sd > 1e-9 THEN (diff -
 
 
 def order_windows(spark, sf):
-    return windows.count_windows(table(spark, sf, "orders"), ["o_orderdate", "o_orderkey"], ["o_totalprice"], SIZE)
+    orders = table(spark, sf, "orders").select("o_orderdate", "o_orderkey", "o_totalprice")
+    return windows.count_windows(orders, ["o_orderdate", "o_orderkey"], ["o_totalprice"], windows.window_size(orders.count()))
 
 
 @query(f"SELECT * FROM {WINDOWS}")
@@ -616,44 +624,82 @@ def graph_components(spark, sf):
     return graph.components(*near_graph(spark, sf))
 
 
-def ranks_sql(rounds: int, base: str, start: str, lost: str) -> str:
-    """PageRank over so many rounds as nested SQL; edges go both ways."""
-    sql = f"(SELECT id, {start} AS r FROM {NODES})"
-    for _ in range(rounds):
-        sql = f"(WITH p AS MATERIALIZED (SELECT * FROM {sql}) SELECT n.id, {base} + 0.85 * (coalesce(g.i, 0) + {lost}) AS r FROM {NODES} n LEFT JOIN (SELECT b.dst AS id, sum(p.r / o.c) AS i FROM b JOIN p ON p.id = b.src JOIN o ON o.src = b.src GROUP BY b.dst) g ON g.id = n.id)"
-    return f"WITH b AS MATERIALIZED {BOTH}, o AS MATERIALIZED (SELECT src, count(*) AS c FROM b GROUP BY src) SELECT id, round(r, 6) AS rank FROM {sql}"
+LOST = "coalesce((SELECT sum(r) FROM {p} WHERE id NOT IN (SELECT src FROM o)), 0) / (SELECT count(*) FROM n)"
 
 
-@query(ranks_sql(5, f"0.15 / (SELECT count(*) FROM {NODES})", f"1.0 / (SELECT count(*) FROM {NODES})", f"coalesce((SELECT sum(r) FROM p WHERE id NOT IN (SELECT src FROM o)), 0) / (SELECT count(*) FROM {NODES})"))
-def graph_pagerank(spark, sf):
+def ranks_sql(rounds: int, base: str, lost: str, fold: str, tolerance: float) -> str:
+    """PageRank in SQL: all rounds one after the other, and the ranks of the first that moves by less than the tolerance, or
+    of the last. Edges go both ways; ranks start at 1/n."""
+    parts = [f"n AS MATERIALIZED {NODES}", f"b AS MATERIALIZED {BOTH}", "o AS MATERIALIZED (SELECT src, count(*) AS c FROM b GROUP BY src)", "p0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM n) AS r FROM n)"]
+    for k in range(1, rounds + 1):
+        parts.append(f"p{k} AS MATERIALIZED (SELECT n.id, {base} + 0.85 * (coalesce(g.i, 0) + {lost.replace('{p}', f'p{k - 1}')}) AS r FROM n LEFT JOIN (SELECT b.dst AS id, sum(p.r / o.c) AS i FROM b JOIN p{k - 1} p ON p.id = b.src JOIN o ON o.src = b.src GROUP BY b.dst) g ON g.id = n.id)")
+    steps = " UNION ALL ".join(f"SELECT {k} AS k, {fold}(abs(x.r - y.r)) AS moved FROM p{k} x JOIN p{k - 1} y ON x.id = y.id" for k in range(1, rounds + 1))
+    every = " UNION ALL ".join(f"SELECT {k} AS k, id, r FROM p{k}" for k in range(1, rounds + 1))
+    parts += [f"steps AS MATERIALIZED ({steps})", f"done AS (SELECT coalesce(min(k) FILTER (WHERE moved < {tolerance}), {rounds}) AS k FROM steps)"]
+    return f"(WITH {', '.join(parts)} SELECT id, round(r, 6) AS rank FROM ({every}) JOIN done USING (k))"
+
+
+RANKS = ranks_sql(40, "0.15 / (SELECT count(*) FROM n)", LOST, "max", 1e-8)
+
+
+def ranked_nodes(spark, sf):
     nodes, edges = near_graph(spark, sf)
-    return graph.pagerank(nodes, graph.both_ways(edges), rounds=5, tolerance=None).select("id", F.round("rank", 6).alias("rank"))
+    return graph.pagerank(nodes, graph.both_ways(edges)).select("id", F.round("rank", 6).alias("rank"))
 
 
-@query(ranks_sql(5, "0.15", "1.0", "0"))
+@query(f"SELECT * FROM {RANKS}")
+def graph_pagerank(spark, sf):
+    """Until no rank moves by 1e-8, 40 rounds at most."""
+    return ranked_nodes(spark, sf)
+
+
+@query(f"SELECT * FROM {ranks_sql(100, '0.15', '0', 'sum', 1e-4)}")
 def graph_pagerank_simple(spark, sf):
+    """Ranks that start at 1/n and don't add up to 1, until they move by 1e-4 all together."""
     nodes, edges = near_graph(spark, sf)
-    return graph.pagerank(nodes, graph.both_ways(edges), rounds=5, tolerance=None, normalize=False, dangling="drop").select("id", F.round("rank", 6).alias("rank"))
+    return graph.pagerank(nodes, graph.both_ways(edges), rounds=100, tolerance=1e-4, norm="l1", normalize=False, dangling="drop").select("id", F.round("rank", 6).alias("rank"))
 
 
-@query(f"WITH e AS MATERIALIZED {EDGES}, l AS (SELECT vec_id AS id, label FROM embeddings), m AS (SELECT count(*) AS m FROM e), i AS (SELECT a.label, count(*) AS l FROM e JOIN l a ON e.src = a.id JOIN l b ON e.dst = b.id WHERE a.label = b.label GROUP BY a.label), d AS (SELECT label, sum(degree) AS d FROM {DEGREE} g JOIN l ON g.id = l.id GROUP BY label) SELECT round(sum(coalesce(i.l, 0) / m.m - pow(d.d / (2.0 * m.m), 2)), 6) AS q FROM d LEFT JOIN i ON d.label = i.label, m")
-def graph_modularity(spark, sf):
-    nodes, edges = near_graph(spark, sf)
-    return graph.modularity(nodes, edges, table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label"))
+@query(f"SELECT id, rank FROM {RANKS} ORDER BY rank DESC, id LIMIT 10")
+def topk_influential(spark, sf):
+    """The ten of the highest rank: a top list is the feature here."""
+    return relational.top_n(ranked_nodes(spark, sf), "rank", 10, ["id"])
 
 
-@query(f"WITH l AS (SELECT g.id, degree, label AS community FROM {DEGREE} g JOIN embeddings ON id = vec_id) SELECT community::BIGINT AS community, count(*) AS size, round(100.0 * count(*) / (SELECT count(*) FROM l), 2)::DOUBLE AS share_pct, round(avg(degree), 4) AS avg_degree FROM l GROUP BY community")
-def graph_community_summary(spark, sf):
-    nodes, edges = near_graph(spark, sf)
-    of = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("community"))
-    told = graph.degrees(nodes, edges).join(of, "id").groupBy("community").agg(F.count("*").alias("n"), F.round(F.avg("degree"), 4).alias("avg_degree"))
-    return plain(relational.with_share(told).withColumnRenamed("n", "size"))
+def votes_sql(rounds: int = 20) -> str:
+    """Label propagation in SQL: all nodes move at once, their own label votes too."""
+    parts = [f"v AS MATERIALIZED (SELECT src, dst FROM {BOTH} UNION SELECT id, id FROM {NODES})", f"l0 AS MATERIALIZED (SELECT id, id AS label FROM {NODES})"]
+    for k in range(1, rounds + 1):
+        parts.append(f"l{k} AS MATERIALIZED (SELECT id, label FROM (SELECT v.dst AS id, l.label, row_number() OVER (PARTITION BY v.dst ORDER BY count(*) DESC, l.label) AS k FROM v JOIN l{k - 1} l ON l.id = v.src GROUP BY v.dst, l.label) WHERE k = 1)")
+    return f"(WITH {', '.join(parts)}, s AS (SELECT label, row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS community FROM l{rounds} GROUP BY label) SELECT id, community::BIGINT AS community FROM l{rounds} JOIN s USING (label))"
 
 
-@query()
+FOUND = votes_sql()
+
+
+def found_communities(nodes, edges):
+    return graph.by_size(graph.label_propagation(nodes, edges))
+
+
+@query(f"SELECT * FROM {FOUND}")
 def graph_label_prop(spark, sf):
+    return found_communities(*near_graph(spark, sf))
+
+
+@query(f"WITH e AS MATERIALIZED {EDGES}, l AS MATERIALIZED (SELECT id, community AS label FROM {FOUND}), m AS (SELECT count(*) AS m FROM e), i AS (SELECT a.label, count(*) AS l FROM e JOIN l a ON e.src = a.id JOIN l b ON e.dst = b.id WHERE a.label = b.label GROUP BY a.label), d AS (SELECT label, sum(degree) AS d FROM {DEGREE} g JOIN l ON g.id = l.id GROUP BY label) SELECT round(sum(coalesce(i.l, 0) / m.m - pow(d.d / (2.0 * m.m), 2)), 6) AS q FROM d LEFT JOIN i ON d.label = i.label, m")
+def graph_modularity(spark, sf):
     nodes, edges = near_graph(spark, sf)
-    return graph.label_propagation(nodes, edges)
+    return graph.modularity(nodes, edges, graph.kept(found_communities(nodes, edges).withColumnRenamed("community", "label")))
+
+
+@query(f"WITH t AS MATERIALIZED (SELECT g.id, degree, community, label AS cluster FROM {DEGREE} g JOIN {FOUND} f ON g.id = f.id JOIN embeddings ON g.id = vec_id), c AS (SELECT community, cluster, count(*) AS n FROM t GROUP BY ALL), x AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY n DESC, cluster) AS k FROM c), a AS (SELECT community, count(*) AS size, avg(degree) AS d FROM t GROUP BY community) SELECT a.community, a.size, round(100.0 * a.size / (SELECT count(*) FROM t), 2)::DOUBLE AS share_pct, round(d, 2) AS avg_degree, cluster::BIGINT AS dominant_cluster, CASE cluster WHEN 0 THEN 'Calm' WHEN 1 THEN 'Loud' ELSE 'Cluster ' || cluster END AS dominant_label, round(100.0 * n / a.size, 2)::DOUBLE AS dominant_share_pct FROM a JOIN x ON a.community = x.community AND x.k = 1")
+def graph_community_summary(spark, sf):
+    """Found communities with the cluster that most of their vectors have, and its label."""
+    nodes, edges = near_graph(spark, sf)
+    clusters = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("cluster"))
+    told = graph.community_summary(nodes, edges, graph.kept(found_communities(nodes, edges)), clusters)
+    labels = spark.createDataFrame([(0, "Calm"), (1, "Loud")], "dominant_cluster long, dominant_label string")
+    return plain(relational.lookup_join(told, labels, "dominant_cluster", "dominant_label", default=F.concat(F.lit("Cluster "), F.col("dominant_cluster").cast("string"))))
 
 
 @query(f"WITH r AS (SELECT id, degree, CASE WHEN degree / greatest(max(degree) OVER (), 1) >= 0.66 THEN 0 WHEN degree / greatest(max(degree) OVER (), 1) >= 0.33 THEN 1 ELSE 2 END AS ring FROM {DEGREE}), p AS (SELECT *, row_number() OVER (PARTITION BY ring ORDER BY degree DESC, id) - 1 AS k, count(*) OVER (PARTITION BY ring) AS n FROM r) SELECT id, ring::BIGINT AS ring, round(50 + [18, 34, 48][ring + 1] * cos(2 * pi() * k / n), 4) AS x, round(50 + [18, 34, 48][ring + 1] * sin(2 * pi() * k / n), 4) AS y FROM p")
@@ -713,8 +759,8 @@ def ml_ari(spark, sf):
 
 
 def vectors(spark, sf):
-    """Embeddings as vectors of eight of their numbers, standardised."""
-    names = [f"e{k}" for k in range(8)]
+    """Embeddings as vectors of all their 64 numbers, standardised."""
+    names = [f"e{k}" for k in range(64)]
     t = table(spark, sf, "embeddings").select("vec_id", "label", *[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate(names)])
     return ml.assemble(ml.standardize(t, names), names), names
 
@@ -748,20 +794,20 @@ def ml_split(spark, sf):
 @query()
 def ml_importance(spark, sf):
     t = items(spark, sf).select((F.col("year") >= 1998).cast("int").alias("y"), *MEASURES)
-    model = ml.classifiers(1)["decision_tree"].fit(ml.assemble(t, MEASURES))
+    model = ml.classifiers(1)["random_forest"].fit(ml.assemble(t, MEASURES))
     return ml.importances(model, MEASURES, spark)
 
 
 @query()
 def ml_elbow(spark, sf):
     df, _ = vectors(spark, sf)
-    return ml.elbow(ml.sweep(graph.kept(df), range(2, 7)))
+    return ml.elbow(ml.sweep(graph.kept(df), range(2, 11)))
 
 
 @query()
 def ml_best_k(spark, sf):
     df, _ = vectors(spark, sf)
-    return ml.best_k(ml.sweep(graph.kept(df), range(2, 6)))
+    return ml.best_k(ml.sweep(graph.kept(df), range(2, 9)))
 
 
 @query()
@@ -820,7 +866,7 @@ def json_path(spark, sf):
     return table(spark, sf, "events").select("event_id", docs.json_path("props", "k").alias("k"), docs.json_path("props", "none.x", "none").alias("absent"))
 
 
-@query()
+@query("WITH s AS (SELECT length(to_json({'conv_id': conv_id, 'turn': turn, 'role': role, 'text': text})::VARCHAR) AS n FROM conversations) SELECT count(*) AS n, round(avg(n), 2) AS avg_size, sum(n)::BIGINT AS total_size FROM s")
 def doc_stats(spark, sf):
     return docs.statistics(table(spark, sf, "conversations"))
 
@@ -833,7 +879,7 @@ def src_doc_json(spark, sf):
     return plain(back.select("conv_id", "turn", "role", F.length("text").alias("size")))
 
 
-@query()
+@query("SELECT to_json({'c_custkey': c_custkey, 'c_name': c_name, 'c_nationkey': c_nationkey, 'c_acctbal': c_acctbal, 'c_mktsegment': c_mktsegment})::VARCHAR AS json FROM customer")
 def sink_json(spark, sf):
     return to_json(table(spark, sf, "customer"))
 
