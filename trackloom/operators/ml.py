@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +30,12 @@ def assemble(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(df)
 
 
+def scaled_vectors(df: DataFrame, array_col: str) -> DataFrame:
+    """df with `features`: the numbers of an array, all rows' of one length, standardised by sample deviation."""
+    raw = df.withColumn("_raw", array_to_vector(F.col(array_col).cast("array<double>")))
+    return StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(raw).transform(raw).drop("_raw")
+
+
 def kmeans(df: DataFrame, k: int, starts: int = 4, seed: int = SEED):
     """The best of several starts by cost, on a frame with `features`."""
     models = [KMeans(k=k, seed=seed + s).fit(df) for s in range(starts)]

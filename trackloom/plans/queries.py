@@ -759,15 +759,13 @@ def ml_ari(spark, sf):
 
 
 def vectors(spark, sf):
-    """Embeddings as vectors of all their 64 numbers, standardised."""
-    names = [f"e{k}" for k in range(64)]
-    t = table(spark, sf, "embeddings").select("vec_id", "label", *[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate(names)])
-    return ml.assemble(ml.standardize(t, names), names), names
+    """Embeddings as vectors of all their numbers, standardised."""
+    return ml.scaled_vectors(table(spark, sf, "embeddings"), "embedding").select("vec_id", "label", "features")
 
 
 @query()
 def ml_kmeans(spark, sf):
-    df, _ = vectors(spark, sf)
+    df = vectors(spark, sf)
     df = graph.kept(df)
     return ml.by_size(ml.kmeans(df, 5).transform(df)).select("vec_id", "cluster")
 
@@ -779,7 +777,7 @@ def ml_inertia(spark, sf):
 
 @query()
 def ml_silhouette(spark, sf):
-    df, _ = vectors(spark, sf)
+    df = vectors(spark, sf)
     df = graph.kept(df)
     model = ml.kmeans(df, 5, 1)
     return spark.createDataFrame([(5, ml.silhouette(model.transform(df)))], "k long, silhouette double")
@@ -800,19 +798,19 @@ def ml_importance(spark, sf):
 
 @query()
 def ml_elbow(spark, sf):
-    df, _ = vectors(spark, sf)
+    df = vectors(spark, sf)
     return ml.elbow(ml.sweep(graph.kept(df), range(2, 11)))
 
 
 @query()
 def ml_best_k(spark, sf):
-    df, _ = vectors(spark, sf)
+    df = vectors(spark, sf)
     return ml.best_k(ml.sweep(graph.kept(df), range(2, 9)))
 
 
 @query()
 def ml_pca2(spark, sf):
-    df, _ = vectors(spark, sf)
+    df = vectors(spark, sf)
     return ml.pca2(df)[0].select("vec_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
@@ -842,9 +840,10 @@ def ml_logreg(spark, sf):
 
 @query()
 def ml_ward(spark, sf):
-    """Ward's tree of 120 vectors: the method is for samples."""
-    df, names = vectors(spark, sf)
-    return ml.ward(clean.sample_exact(df, 120, ["vec_id"]), names, "vec_id", 5)
+    """Ward's tree of 120 vectors, by eight of their numbers: the method is for samples."""
+    names = [f"e{k}" for k in range(8)]
+    picked = clean.sample_exact(table(spark, sf, "embeddings"), 120, ["vec_id"])
+    return ml.ward(picked.select("vec_id", *[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate(names)]), names, "vec_id", 5)
 
 
 @query()
