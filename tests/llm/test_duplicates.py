@@ -113,6 +113,17 @@ def test_a_template_of_many_documents_weighs_little(spark, monkeypatch):
     assert got == brute_classes(rows) and len({got[d] for d in range(60)}) > 40
 
 
+def test_gaps_of_hashes_come_back_whole():
+    rng = np.random.default_rng(3)
+    for n, bits in ((1, 8), (2, 8), (5000, 8), (5000, 20)):
+        h = np.unique(np.append(rng.integers(0, 1 << 64, n, np.uint64), np.array([0, (1 << 64) - 1], np.uint64)))
+        part, first = np.unique(h >> np.uint64(64 - bits), return_index=True)
+        packed = minhash.packed_gaps(h, first, part << np.uint64(64 - bits))
+        sizes = np.diff([*first, len(h)])
+        back = [minhash.unpacked_gaps(x, int(m), int(p) << (64 - bits)) for x, m, p in zip(packed, sizes, part)]
+        assert np.array_equal(np.concatenate(back), h)
+
+
 def test_document_frequencies_are_exact(spark, corpus, monkeypatch):
     monkeypatch.setattr(minhash, "BATCH_SHINGLES", 3000)
     texts = spark.createDataFrame(corpus, "id long, text string").repartition(3)
