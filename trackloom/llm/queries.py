@@ -57,8 +57,28 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def base_token_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op4_token_counts."""
+    return op4_token_counts(spark, sf_dir).select("doc_id", "n_bytes")
+
+
+def base_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op8_quality_rules."""
+    return op8_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def base_license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op9_license_scan."""
+    return op9_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def base_shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op10_sharding."""
+    return op10_sharding(spark, sf_dir).select("doc_id", "size", "law")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_minhash_near_dedup, op3_html_extraction, op4_token_counts, op5_substring_dedup, op6_language_id, op7_packing, op8_quality_rules, op9_license_scan, op10_sharding)}
+    return {f.__name__: f for f in (base_token_bytes, base_quality_counts, base_license_places, base_shard_sizes, op1_benchmark_decontamination, op2_minhash_near_dedup, op3_html_extraction, op4_token_counts, op5_substring_dedup, op6_language_id, op7_packing, op8_quality_rules, op9_license_scan, op10_sharding)}
 
 
 def leak_sql(size: int = SHINGLE_WORDS, least: float = SIMILARITY) -> str:
@@ -79,6 +99,26 @@ SELECT doc_id, item_id, similarity, start::INTEGER AS start, m::INTEGER AS n_wor
  QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1"""
 
 
+QUALITY_SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+ t AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+ runs AS (SELECT r, p, array_to_string(w[p:p + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS p FROM t)),
+ often AS (SELECT r, s FROM runs GROUP BY r, s HAVING count(*) > 1),
+ covered AS (SELECT r, count(DISTINCT p + k) AS n FROM runs JOIN often USING (r, s), range(5) f(k) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+ (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(w) < 10 OR 100 * coalesce(n, 0) > 20 * len(w) AS base_failed FROM t LEFT JOIN covered USING (r)"""
+LICENSE_SQL = r"""WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+ p AS (SELECT doc_id, w, list_filter(range(len(w)), lambda i: w[i + 1] = 'mit' AND w[i + 2] = 'license') AS m, list_filter(range(len(w)), lambda i: w[i + 1] = 'apache' AND w[i + 2] = 'license') AS a,
+ list_filter(range(len(w)), lambda i: w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license') AS g FROM t)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(m) + len(a) + len(g))::BIGINT AS n_base, least(list_min(m), list_min(a), list_min(g))::BIGINT AS first_word, greatest(list_max(m), list_max(a), list_max(g))::BIGINT AS last_word,
+ concat_ws(',', CASE WHEN len(a) > 0 THEN 'apache' END, CASE WHEN len(g) > 0 THEN 'gpl' END, CASE WHEN len(m) > 0 THEN 'mit' END) AS base_labels FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL for the queries that it can express: the others learn, sample, tokenize or hash in ways of their own."""
-    return {"op1_benchmark_decontamination": leak_sql()}
+    """SQL for what it can express: the others learn, sample, tokenize or hash in ways of their own."""
+    return {
+        "op1_benchmark_decontamination": leak_sql(),
+        "base_token_bytes": "SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes FROM documents",
+        "base_quality_counts": QUALITY_SQL,
+        "base_license_places": LICENSE_SQL,
+        "base_shard_sizes": "SELECT doc_id, (strlen(coalesce(text, '')) + 1)::BIGINT AS size, 'key' AS law FROM documents",
+    }
