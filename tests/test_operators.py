@@ -354,6 +354,54 @@ def test_ward_by_hand(spark):
         ml.ward(spark.range(121).withColumn("x", F.col("id") * 1.0), ["x"], "id", 2).collect()
 
 
+def test_ward_tree_by_hand(spark):
+    df = spark.createDataFrame([(k, float(v)) for k, v in enumerate([0, 1, 10, 12])], "id long, x double")
+    rows = ml.ward_tree(df, ["x"], "id").collect()
+    merges = sorted((r for r in rows if r.step is not None), key=lambda r: r.step)
+    assert [(r.n, round(r.height, 4)) for r in merges] == [(2, 1.0), (2, 2.0), (4, round((2 * 2 * 2 / 4) ** 0.5 * 10.5, 4))]
+    assert {r.leaf: r.x for r in rows if r.step is None} == {0: 5.0, 1: 15.0, 2: 25.0, 3: 35.0}
+    assert (merges[2].x, merges[2].x_left, merges[2].low_left, merges[2].x_right, merges[2].low_right) == (20.0, 10.0, 1.0, 30.0, 2.0)
+    assert [r.leaf for r in ml.ward_tree(df.limit(1), ["x"], "id").collect()] == [0]
+
+
+def test_one_class_is_an_error(spark):
+    df = spark.createDataFrame([(1,), (1,), (None,)], "y int")
+    with pytest.raises(ValueError, match="two classes"):
+        ml.require_classes(df)
+    assert ml.require_classes(df.union(spark.createDataFrame([(0,)], "y int"))).count() == 4
+
+
+def test_bloom_lookup_by_lower_case(spark):
+    members = spark.createDataFrame([(" Ann ",), ("BOB",), (None,), ("",)], "w string")
+    asked = spark.createDataFrame([("ann",), ("Bob ",), ("nobody at all",), (None,)], "w string")
+    got = {r.name: (r.hit, r.exact, r.verdict) for r in bloom.lookup(members, asked, "w").collect()}
+    assert got["ann"] == got["bob"] == (True, True, "present") and not got["nobody at all"][1] and len(got) == 3
+    none = bloom.lookup(members.limit(0), asked, "w").collect()
+    assert {r.verdict for r in none} == {"absent"}
+
+
+def test_bloom_preview_is_as_long_as_the_filter(spark):
+    bits = spark.createDataFrame([(1,), (3,)], "bit long")
+    assert bloom.preview(bits, 5).first().preview == "01010" and len(bloom.preview(bits, 600).first().preview) == 512
+
+
+def test_stream_features():
+    assert events.pick_features(FEATURES) == ["energy", "acousticness", "valence", "danceability"]
+    assert events.pick_features(["a", "b", "c", "d"]) == ["a", "b", "c"]
+
+
+def test_kept_result(spark, tmp_path):
+    path, cache = str(tmp_path / "t.csv"), str(tmp_path / "cache")
+    (tmp_path / "t.csv").write_text("a\n1\n")
+    first = spark.range(1).select(F.lit(1).cast("long").alias("n"))
+    other = spark.range(1).select(F.lit(2).cast("long").alias("n"))
+    assert files.kept_result(first, path, cache).first().n == 1
+    assert files.kept_result(other, path, cache).first().n == 1
+    assert files.kept_result(other, path, cache, version="2").first().n == 2
+    (tmp_path / "t.csv").write_text("a\n1\n2\n")
+    assert files.kept_result(other, path, cache).first().n == 2
+
+
 # --- documents, storage, streams, runs
 
 def test_paths_and_evidence(spark):

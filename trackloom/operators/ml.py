@@ -9,7 +9,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import numbered, running_total
@@ -153,6 +153,13 @@ def inertia(df: DataFrame, features: list[str], label: str = "cluster") -> DataF
     return df.groupBy(label).agg(*[(F.var_pop(c) * F.count(c)).alias(c) for c in features]).agg(F.round(F.sum(sum((F.col(c) for c in features[1:]), F.col(features[0]))), 4).alias("inertia"))
 
 
+def require_classes(df: DataFrame, y: str = "y") -> DataFrame:
+    """df itself; an error if its target has fewer than two values."""
+    if df.select(y).where(F.col(y).isNotNull()).distinct().limit(2).count() < 2:
+        raise ValueError(f"{y} needs rows of two classes")
+    return df
+
+
 def class_balance(df: DataFrame, y: str = "y") -> DataFrame:
     return df.groupBy("split").agg(F.count_if(F.col(y) == 1).alias("positives"), F.count_if(F.col(y) == 0).alias("negatives"))
 
@@ -223,30 +230,67 @@ def isolation_forest(df: DataFrame, features: list[str], id_cols: list[str], *,
     return scored.join(F.broadcast(cut), F.lit(True)).withColumn("anomaly", F.col("score") > F.col("_cut")).drop("_cut")
 
 
+def ward_linkage(x: np.ndarray) -> list[tuple[int, int, float, int]]:
+    """Merges (left, right, height, size) of Ward's method; rows are nodes 0 to n - 1 and the merge s makes node n + s."""
+    centre, size = {k: v for k, v in enumerate(x)}, dict.fromkeys(range(len(x)), 1)
+    merges = []
+    while len(centre) > 1:
+        alive = sorted(centre)
+        c, s = np.array([centre[a] for a in alive]), np.array([size[a] for a in alive], float)
+        cost = ((c[:, None] - c[None]) ** 2).sum(2) * 2 * (s[:, None] * s[None]) / (s[:, None] + s[None])
+        np.fill_diagonal(cost, np.inf)
+        i, j = sorted(np.unravel_index(cost.argmin(), cost.shape))
+        a, b, new = alive[i], alive[j], len(x) + len(merges)
+        centre[new], size[new] = (centre[a] * size[a] + centre[b] * size[b]) / (size[a] + size[b]), size[a] + size[b]
+        merges.append((a, b, float(np.sqrt(cost[i, j])), size[new]))
+        for old in (a, b):
+            del centre[old]
+    return merges
+
+
+def one_group(df: DataFrame, features: list[str], id_col: str, limit: int) -> GroupedData:
+    """All rows as one group, after their number is checked."""
+    if df.limit(limit + 1).count() > limit:
+        raise ValueError(f"Ward's method takes at most {limit} rows")
+    return df.select(F.col(id_col).alias("id"), *features, F.lit(1).alias("_all")).groupBy("_all")
+
+
 def ward(df: DataFrame, features: list[str], id_col: str, clusters: int, limit: int = 120) -> DataFrame:
     """(id, cluster) by Ward's method on at most `limit` rows, which the caller samples; more are an error, as the method
     needs all distances at once."""
-    if df.limit(limit + 1).count() > limit:
-        raise ValueError(f"Ward's method takes at most {limit} rows")
+    def cut(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id", kind="stable")
+        n = len(rows)
+        held = {k: [k] for k in range(n)}
+        for s, (a, b, _, _) in enumerate(ward_linkage(rows[features].to_numpy(float))[: max(n - clusters, 0)]):
+            held[n + s] = held.pop(a) + held.pop(b)
+        member = {k: c for c, own in enumerate(sorted(held.values(), key=min)) for k in own}
+        return pd.DataFrame({"id": rows["id"], "cluster": [member[k] for k in range(n)]})
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return one_group(df, features, id_col, limit).applyInPandas(cut, f"id {kind}, cluster int").withColumnRenamed("id", id_col)
+
 
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+def ward_tree(df: DataFrame, features: list[str], id_col: str, limit: int = 120) -> DataFrame:
+    """The tree of Ward's method: a row for each merge (step, n, height, and the two ends and the top of its bracket: x_left,
+    low_left, x_right, low_right) and for each leaf (leaf, x; step null). Leaves stand at 5, 15, 25 and so on."""
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable")
-        x = rows[features].to_numpy(float)
-        centre, size, member = x.copy(), np.ones(len(x)), np.arange(len(x))
-        alive = list(range(len(x)))
-        while len(alive) > clusters:
-            c, s = centre[alive], size[alive]
-            cost = ((c[:, None] - c[None]) ** 2).sum(2) * (s[:, None] * s[None]) / (s[:, None] + s[None])
-            np.fill_diagonal(cost, np.inf)
-            i, j = sorted(np.unravel_index(cost.argmin(), cost.shape))
-            a, b = alive[i], alive[j]
-            centre[a] = (centre[a] * size[a] + centre[b] * size[b]) / (size[a] + size[b])
-            size[a] += size[b]
-            member[member == b] = a
-            alive.remove(b)
-        number = {a: k for k, a in enumerate(sorted(alive))}
-        return pd.DataFrame({"id": rows["id"], "cluster": [number[m] for m in member]})
+        n, merges = len(rows), ward_linkage(rows[features].to_numpy(float))
+        order, todo = [], [n + len(merges) - 1]
+        while todo:
+            node = todo.pop()
+            if node < n:
+                order.append(node)
+            else:
+                todo += [merges[node - n][1], merges[node - n][0]]
+        x, low = {k: 5.0 + 10 * p for p, k in enumerate(order)}, dict.fromkeys(range(n), 0.0)
+        leaves = [(rows["id"].iloc[k], None, 1, 0.0, x[k], None, None, None, None) for k in order]
+        brackets = []
+        for s, (a, b, height, size) in enumerate(merges):
+            x[n + s], low[n + s] = (x[a] + x[b]) / 2, height
+            brackets.append((None, s, size, height, x[n + s], x[a], low[a], x[b], low[b]))
+        return pd.DataFrame(leaves + brackets, columns=["leaf", "step", "n", "height", "x", "x_left", "low_left", "x_right", "low_right"]).astype({"step": "Int64"})
 
     kind = df.schema[id_col].dataType.simpleString()
-    one = df.select(F.col(id_col).alias("id"), *features, F.lit(1).alias("_all"))
-    return one.groupBy("_all").applyInPandas(lambda rows: merge(rows), f"id {kind}, cluster int").withColumnRenamed("id", id_col)
+    return one_group(df, features, id_col, limit).applyInPandas(draw, f"leaf {kind}, step long, n long, height double, x double, x_left double, low_left double, x_right double, low_right double")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ordering import numbered, running_max
-from ..functions.text import STOP_WORDS, code_points, credits, human_size, shortened, tokens
+from ..functions.text import STOP_WORDS, code_points, code_sum, credits, human_size, shortened, tokens
 from ..operators import bloom, clean, docs, graph, ml, relational, stats, storage, text, windows
 from ..sources.files import scan_table, to_json
 from ..streaming import events as streams
@@ -387,9 +387,9 @@ def mr_counters(spark, sf):
     return plain(text.counters(scan_table(spark, sf, "documents", ["text"]), tokens(F.col("text"))))
 
 
-@query("SELECT p_partkey, substr(p_name, 1, 8) AS short, ascii(substr(p_name, 1, 1))::BIGINT AS first_code FROM part")
+@query("SELECT p_partkey, substr(p_name, 1, 8) AS short, ascii(substr(p_name, 1, 1))::BIGINT AS first_code, list_sum(list_transform(range(1, length(p_name) + 1), lambda i: ascii(substr(p_name, i, 1))))::BIGINT AS code_sum FROM part")
 def text_functions(spark, sf):
-    return plain(table(spark, sf, "part").select("p_partkey", shortened(F.col("p_name"), 8).alias("short"), code_points(F.col("p_name"))[0].alias("first_code")))
+    return plain(table(spark, sf, "part").select("p_partkey", shortened(F.col("p_name"), 8).alias("short"), code_points(F.col("p_name"))[0].alias("first_code"), code_sum(F.col("p_name")).alias("code_sum")))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_totalprice < 1024 THEN floor(o_totalprice)::BIGINT || 'B' WHEN o_totalprice < 1048576 THEN printf('%.1fK', round(o_totalprice / 1024, 1)) ELSE printf('%.1fM', round(o_totalprice / 1048576, 1)) END AS size FROM orders")
@@ -569,6 +569,41 @@ def semi_bloom(spark, sf):
     return bloom.may_hold(customer_bits(spark, sf), probe_words(spark, sf), "w", BLOOM_M, BLOOM_K)
 
 
+def places_sql(m: int, k: int) -> str:
+    return BLOOM_POS.replace(str(BLOOM_M), str(m)).replace(f"range({BLOOM_K})", f"range({k})")
+
+
+def small_lab(m: int, k: int) -> str:
+    bits = f"(SELECT DISTINCT {places_sql(m, k)} AS bit FROM (SELECT r_name AS w FROM region))"
+    hits = f"(SELECT w, bool_and(bit IN (SELECT bit FROM {bits})) AS hit FROM (SELECT w, {places_sql(m, k)} AS bit FROM (SELECT r_name AS w FROM region UNION SELECT n_name FROM nation)) GROUP BY w)"
+    return f"SELECT {m}::BIGINT AS m, w, CASE WHEN NOT hit THEN 'Not present' WHEN w IN (SELECT r_name FROM region) THEN 'True Positive' ELSE 'False Positive' END AS status FROM {hits}"
+
+
+@query(f"{small_lab(32, 3)} UNION ALL {small_lab(11, 2)}")
+def bloom_lab_small(spark, sf):
+    """The five regions in filters of 32 and of 11 bits, probed with regions and nations."""
+    members = table(spark, sf, "region").select(F.col("r_name").alias("w"))
+    probes = members.unionByName(table(spark, sf, "nation").select(F.col("n_name").alias("w"))).distinct()
+    one = lambda m, k: bloom.verdicts(bloom.build(members, "w", m, k), members, probes, "w", m, k).select(F.lit(m).cast("long").alias("m"), "w", "status")
+    return one(32, 3).unionByName(one(11, 2))
+
+
+@query(f"SELECT w, string_agg(bit::VARCHAR, ',' ORDER BY i) AS places FROM (SELECT w, unnest(range(3)) AS i, {places_sql(32, 3)} AS bit FROM (SELECT r_name AS w FROM region)) GROUP BY w")
+def bloom_insertions(spark, sf):
+    return bloom.insertions(table(spark, sf, "region").select(F.col("r_name").alias("w")), "w", 32, 3)
+
+
+@query(f"SELECT string_agg(CASE WHEN i IN (SELECT bit FROM {BLOOM_BITS}) THEN '1' ELSE '0' END, '' ORDER BY i) AS preview FROM range(512) t(i)")
+def bloom_preview(spark, sf):
+    return bloom.preview(customer_bits(spark, sf), BLOOM_M)
+
+
+@query()
+def bloom_api(spark, sf):
+    """All probes against a filter over the customers' names, sized by their number."""
+    return bloom.lookup(table(spark, sf, "customer").select(F.col("c_name").alias("w")), probe_words(spark, sf), "w")
+
+
 # --- graphs
 
 KNN = """(WITH p AS (SELECT a.vec_id AS x, b.vec_id AS y, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS w FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
@@ -846,6 +881,14 @@ def ml_ward(spark, sf):
     return ml.ward(picked.select("vec_id", *[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate(names)]), names, "vec_id", 5)
 
 
+@query()
+def win_leaf_position(spark, sf):
+    """Merges and leaves of Ward's tree over the same vectors."""
+    names = [f"e{k}" for k in range(8)]
+    picked = clean.sample_exact(table(spark, sf, "embeddings"), 120, ["vec_id"])
+    return ml.ward_tree(picked.select("vec_id", *[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate(names)]), names, "vec_id")
+
+
 @query()
 def eda_iforest(spark, sf):
     return ml.isolation_forest(table(spark, sf, "events"), ["value", "user_id"], ["event_id"]).select("event_id", F.round("score", 6).alias("score"), "anomaly")
@@ -860,6 +903,16 @@ def doc_queries(spark, sf):
     return docs.count_matches(nested, {"first": d.turn == 0, "user": d.role == "user", "long": d.body.size > 200, "early user": (d.turn < 2) & (d.role == "user"), "tagged": F.array_contains(d.tags, "user")})
 
 
+@query("SELECT role AS key, count(*) AS n, count(DISTINCT conv_id) AS parts, round(avg(length(text)), 4) AS avg_size FROM conversations GROUP BY role")
+def doc_groups(spark, sf):
+    return docs.group_sizes(table(spark, sf, "conversations"), F.col("role"), F.col("conv_id"), F.length("text"))
+
+
+@query("SELECT 'turn' AS path, 'bigint' AS type, min(turn::VARCHAR) AS sample FROM conversations UNION ALL SELECT 'body.role', 'string', min(role) FROM conversations UNION ALL SELECT 'body.size', 'int', min(length(text)::VARCHAR) FROM conversations UNION ALL SELECT 'tags', 'array<string>', min('[\"' || role || '\",\"x\"]') FROM conversations")
+def json_flatten(spark, sf):
+    return docs.leaf_samples(table(spark, sf, "conversations").select("turn", F.struct("role", F.length("text").alias("size")).alias("body"), F.array("role", F.lit("x")).alias("tags")))
+
+
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, coalesce(json_extract_string(props, '$.none.x'), 'none') AS absent FROM events")
 def json_path(spark, sf):
     return table(spark, sf, "events").select("event_id", docs.json_path("props", "k").alias("k"), docs.json_path("props", "none.x", "none").alias("absent"))

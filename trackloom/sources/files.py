@@ -54,6 +54,21 @@ def cache_as_parquet(df: DataFrame, csv_path: str) -> str:
     return path
 
 
+def kept_result(df: DataFrame, source: str, cache: str, version: str = "1") -> DataFrame:
+    """df, a small result of the file or folder `source`, read from `cache` if one of the same version, name, size and time
+    of the source was kept there, else computed and kept."""
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    fs = at.getFileSystem(hadoop)
+    state = fs.getFileStatus(at)
+    kept = f"{cache}/{version}-{at.getName()}-{fs.getContentSummary(at).getLength()}-{state.getModificationTime()}.parquet"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{kept}/_SUCCESS")
+    if not where.getFileSystem(hadoop).exists(where):
+        df.write.mode("overwrite").parquet(kept)
+    return spark.read.schema(df.schema).parquet(kept)
+
+
 def save_items(df: DataFrame, path: str, *, by: str = "decade", columns: list[str] | None = None) -> None:
     """Write items partitioned by a column, so that a search for one value reads only its files."""
     (df.select(*columns) if columns else df).write.mode("overwrite").partitionBy(by).parquet(path)

@@ -9,6 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The features that a stream follows.
+STREAM_FEATURES = ["energy", "acousticness", "valence", "danceability"]
+
+
+def pick_features(features: list[str]) -> list[str]:
+    """The features of STREAM_FEATURES that are there, else the first three."""
+    return [f for f in STREAM_FEATURES if f in features] or features[:3]
+
+
 def event_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1) -> DataFrame:
     """Parquet files of a folder as a stream, in batches of so many files."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
