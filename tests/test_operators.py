@@ -364,6 +364,14 @@ def test_ward_tree_by_hand(spark):
     assert [r.leaf for r in ml.ward_tree(df.limit(1), ["x"], "id").collect()] == [0]
 
 
+def test_ward_of_all_rows(spark):
+    values = [(k, float(c * 100 + k % 7)) for k, c in enumerate([0] * 60 + [1] * 30 + [2] * 10)]
+    df = ml.assemble(spark.createDataFrame(values, "id long, x double"), ["x"])
+    got = {r.id: r.cluster for r in ml.ward_all(df, 3, centres=15).collect()}
+    assert len(got) == 100 and len({(values[k][1] // 100, c) for k, c in got.items()}) == 3
+    assert set(ml.ward_members(ml.ward_linkage(ml.np.array([[0.0]])), 1, 3)) == {0}
+
+
 def test_one_class_is_an_error(spark):
     df = spark.createDataFrame([(1,), (1,), (None,)], "y int")
     with pytest.raises(ValueError, match="two classes"):

@@ -230,9 +230,10 @@ def isolation_forest(df: DataFrame, features: list[str], id_cols: list[str], *,
     return scored.join(F.broadcast(cut), F.lit(True)).withColumn("anomaly", F.col("score") > F.col("_cut")).drop("_cut")
 
 
-def ward_linkage(x: np.ndarray) -> list[tuple[int, int, float, int]]:
-    """Merges (left, right, height, size) of Ward's method; rows are nodes 0 to n - 1 and the merge s makes node n + s."""
-    centre, size = {k: v for k, v in enumerate(x)}, dict.fromkeys(range(len(x)), 1)
+def ward_linkage(x: np.ndarray, weights: list[int] | None = None) -> list[tuple[int, int, float, int]]:
+    """Merges (left, right, height, size) of Ward's method; rows are nodes 0 to n - 1 and the merge s makes node n + s. A row
+    may stand for several of them by its weight."""
+    centre, size = dict(enumerate(x)), dict(enumerate(weights or [1] * len(x)))
     merges = []
     while len(centre) > 1:
         alive = sorted(centre)
@@ -248,6 +249,28 @@ def ward_linkage(x: np.ndarray) -> list[tuple[int, int, float, int]]:
     return merges
 
 
+def ward_members(merges: list[tuple[int, int, float, int]], n: int, clusters: int) -> list[int]:
+    """The cluster of each of n nodes when only so many clusters are left, numbered by their first nodes."""
+    held = {k: [k] for k in range(n)}
+    for s, (a, b, _, _) in enumerate(merges[: max(n - clusters, 0)]):
+        held[n + s] = held.pop(a) + held.pop(b)
+    member = {k: c for c, own in enumerate(sorted(held.values(), key=min)) for k in own}
+    return [member[k] for k in range(n)]
+
+
+def ward_all(df: DataFrame, clusters: int, centres: int = 120, seed: int = SEED) -> DataFrame:
+    """df, of any size and with `features`, with `cluster`: each row goes to the nearest of so many centres of k-means, and
+    Ward's method joins the centres, weighted by their rows. Only centres and their counts reach the driver."""
+    model = KMeans(k=centres, seed=seed).fit(df)
+    near = model.transform(df)
+    sizes = {r.prediction: r.n for r in near.groupBy("prediction").agg(F.count("*").alias("n")).collect()}
+    held = sorted(sizes)
+    x = np.array([model.clusterCenters()[c] for c in held])
+    members = ward_members(ward_linkage(x, [sizes[c] for c in held]), len(held), clusters)
+    rows = df.sparkSession.createDataFrame(list(zip(held, members)), "prediction int, cluster int")
+    return near.join(F.broadcast(rows), "prediction").drop("prediction")
+
+
 def one_group(df: DataFrame, features: list[str], id_col: str, limit: int) -> GroupedData:
     """All rows as one group, after their number is checked."""
     if df.limit(limit + 1).count() > limit:
@@ -260,12 +283,7 @@ def ward(df: DataFrame, features: list[str], id_col: str, clusters: int, limit:
     needs all distances at once."""
     def cut(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable")
-        n = len(rows)
-        held = {k: [k] for k in range(n)}
-        for s, (a, b, _, _) in enumerate(ward_linkage(rows[features].to_numpy(float))[: max(n - clusters, 0)]):
-            held[n + s] = held.pop(a) + held.pop(b)
-        member = {k: c for c, own in enumerate(sorted(held.values(), key=min)) for k in own}
-        return pd.DataFrame({"id": rows["id"], "cluster": [member[k] for k in range(n)]})
+        return pd.DataFrame({"id": rows["id"], "cluster": ward_members(ward_linkage(rows[features].to_numpy(float)), len(rows), clusters)})
 
     kind = df.schema[id_col].dataType.simpleString()
     return one_group(df, features, id_col, limit).applyInPandas(cut, f"id {kind}, cluster int").withColumnRenamed("id", id_col)

@@ -875,15 +875,13 @@ def ml_logreg(spark, sf):
 
 @query()
 def ml_ward(spark, sf):
-    """Ward's tree of 120 vectors, by eight of their numbers: the method is for samples."""
-    names = [f"e{k}" for k in range(8)]
-    picked = clean.sample_exact(table(spark, sf, "embeddings"), 120, ["vec_id"])
-    return ml.ward(picked.select("vec_id", *[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate(names)]), names, "vec_id", 5)
+    """All vectors, whole, in five clusters of Ward's method over centres."""
+    return ml.ward_all(graph.kept(vectors(spark, sf)), 5).select("vec_id", "cluster")
 
 
 @query()
 def win_leaf_position(spark, sf):
-    """Merges and leaves of Ward's tree over the same vectors."""
+    """Merges and leaves of Ward's tree over 120 vectors, by eight of their numbers: the drawing is for samples."""
     names = [f"e{k}" for k in range(8)]
     picked = clean.sample_exact(table(spark, sf, "embeddings"), 120, ["vec_id"])
     return ml.ward_tree(picked.select("vec_id", *[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate(names)]), names, "vec_id")
