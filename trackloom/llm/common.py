@@ -96,12 +96,16 @@ class Remembered(dict):
     texts have changed, and then starts anew: frequent keys come early, so they are the ones that stay."""
 
     BOUND = 500_000
+    #: Keys of more characters are not kept: texts without white space make keys of any length.
+    LONGEST = 64
 
     def __init__(self):
         super().__init__()
         self.missed = 0
 
     def remember(self, key: str, value):
+        if len(key) > self.LONGEST:
+            return value
         if len(self) < self.BOUND:
             self[key] = value
         else:

@@ -68,7 +68,7 @@ class Encoder(Remembered):
         return b"".join(map(self.__getitem__, PRE_TOKENS.findall(text)))
 
 
-def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer_file: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer_file: str | None = None, window: int = WINDOW, end_id: int = END_ID, encoder: type = Encoder) -> DataFrame:
     """Rows (id, start, length, ids_crc32, doc_tokens): full windows of each document, then its remainder, if any.
 
     A null text is empty and has the end id alone. Rows of equal id are cut each."""
@@ -77,11 +77,11 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder = Encoder(tokenizer_file)
+        known = encoder(tokenizer_file)
         for batch in batches:
             row, start, length, crc, total = [], [], [], [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
-                raw = (encoder.encode(text) if text else b"") + end
+                raw = (known.encode(text) if text else b"") + end
                 for at in range(0, len(raw), 4 * window):
                     cut = raw[at : at + 4 * window]
                     row.append(k)

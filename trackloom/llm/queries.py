@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, language_id, license_scan, minhash, packing, quality, sharding, substring_dedup, token_counts
+from . import best_fit, decontam, filter_audit, html_extract, language_id, license_scan, minhash, packing, quality, sharding, spelling, substring_dedup, token_counts
 from .common import SHINGLE_WORDS, SIMILARITY, read_table
 
 
@@ -57,6 +57,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("filter")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(read_table(spark, sf_dir, "documents"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(read_table(spark, sf_dir, "documents"))
+
+
 def base_token_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can express of op4_token_counts."""
     return op4_token_counts(spark, sf_dir).select("doc_id", "n_bytes")
@@ -78,7 +90,7 @@ def base_shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (base_token_bytes, base_quality_counts, base_license_places, base_shard_sizes, op1_benchmark_decontamination, op2_minhash_near_dedup, op3_html_extraction, op4_token_counts, op5_substring_dedup, op6_language_id, op7_packing, op8_quality_rules, op9_license_scan, op10_sharding)}
+    return {f.__name__: f for f in (base_token_bytes, base_quality_counts, base_license_places, base_shard_sizes, op1_benchmark_decontamination, op2_minhash_near_dedup, op3_html_extraction, op4_token_counts, op5_substring_dedup, op6_language_id, op7_packing, op8_quality_rules, op9_license_scan, op10_sharding, op11_filter_audit, op12_spelling_variants, op13_best_fit_packing)}
 
 
 def leak_sql(size: int = SHINGLE_WORDS, least: float = SIMILARITY) -> str:
@@ -112,11 +124,40 @@ LICENSE_SQL = r"""WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesc
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(m) + len(a) + len(g))::BIGINT AS n_base, least(list_min(m), list_min(a), list_min(g))::BIGINT AS first_word, greatest(list_max(m), list_max(a), list_max(g))::BIGINT AS last_word,
  concat_ws(',', CASE WHEN len(a) > 0 THEN 'apache' END, CASE WHEN len(g) > 0 THEN 'gpl' END, CASE WHEN len(m) > 0 THEN 'mit' END) AS base_labels FROM p"""
 
+AUDIT_SQL = r"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+ w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+ firsts AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+ told AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+ m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+  + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS mask
+  FROM w JOIN firsts USING (t) LEFT JOIN told USING (doc_id)),
+ c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+ l AS (SELECT chr(65 + k::INT) AS x, 1 << k::INT AS bit FROM range(5) r(k)),
+ o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+ s AS (SELECT filter_order, step::INT AS step, 1 << (ascii(filter_order[step]) - 65) AS own, coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65))), 0)::INT AS before FROM o, range(1, 6) r(step)),
+ f AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (mask & (own | before) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & own > 0 AND mask & before = 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (mask & own > 0 AND mask & before > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (mask & own > 0 AND mask & before = 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & own > 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost FROM c, s GROUP BY ALL)
+SELECT * EXCLUDE own, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM f"""
+SPELLING_SQL = r"""WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]{6,}')) AS run FROM documents),
+ own AS (SELECT run, count(*) AS c, encode(coalesce(doc_id::VARCHAR, '') || ':' || run) AS raw FROM runs GROUP BY doc_id, run),
+ bits AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)),
+ hashed AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(raw)), lambda i: ('0x' || substr(hex(raw), 2 * i + 1, 2))::BIGINT)), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM own, bits),
+ words AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(c)::BIGINT AS n FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(c) >= 5),
+ cuts AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+ near AS (SELECT a.word, b.word AS near, b.n FROM cuts a JOIN cuts b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.cut = b.word UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.cut = b.word),
+ best AS (SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, near) AS near, max(n) AS most FROM near GROUP BY word),
+ forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * n THEN near END AS form, CASE WHEN most >= 5 * n THEN most END AS form_n FROM words LEFT JOIN best USING (word)),
+ paths(word, last, form) AS (SELECT word, word, form FROM forms UNION ALL SELECT p.word, f.word, f.form FROM paths p JOIN forms f ON p.form = f.word)
+SELECT forms.*, paths.last AS root FROM forms JOIN paths USING (word) WHERE paths.form IS NULL"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for what it can express: the others learn, sample, tokenize or hash in ways of their own."""
     return {
         "op1_benchmark_decontamination": leak_sql(),
+        "op11_filter_audit": AUDIT_SQL,
+        "op12_spelling_variants": SPELLING_SQL,
         "base_token_bytes": "SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes FROM documents",
         "base_quality_counts": QUALITY_SQL,
         "base_license_places": LICENSE_SQL,
