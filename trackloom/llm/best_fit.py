@@ -26,13 +26,14 @@ PRE_TOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{SPA
 
 
 class WordEncoder(Encoder):
-    """Pre-token of a lower-cased text to its ids; texts with characters that the library's normaliser might change
-    otherwise than by case are left to it (a capital I with a dot becomes two characters)."""
+    """Pre-token of a lower-cased text to its ids; texts with characters beyond the settled blocks, before or after, are
+    left to the library (a capital I with a dot becomes two characters, one of them a mark)."""
 
     def encode(self, text: str) -> bytes:
-        if UNSETTLED.search(text) or "İ" in text or any(s in text for s in self.special):
+        low = text.lower()
+        if not text.isascii() and (UNSETTLED.search(text) or UNSETTLED.search(low)) or any(s in text for s in self.special):
             return self.direct(text)
-        return b"".join(map(self.__getitem__, PRE_TOKENS.findall(text.lower())))
+        return b"".join(map(self.__getitem__, PRE_TOKENS.findall(low)))
 
 
 def plan(counts: dict[int, int], window: int = WINDOW) -> tuple[list[tuple[int, int, int, int, int]], int]:
