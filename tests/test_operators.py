@@ -276,13 +276,6 @@ def test_components_triangles_and_labels(spark):
     assert -1 <= graph.modularity(nodes, edges, labels).first().q <= 1
 
 
-def test_nearest_of_all_by_hand(spark):
-    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0, 1.0]), (5, [0.0, 0.0]), (6, None), (None, [1.0, 0.0])], "id long, v array<double>")
-    got = {(r.id, r["rank"]): (r.id2, r.weight) for r in graph.nearest(df, "id", "v", 2).collect()}
-    assert got[1, 1] == (2, 1.0) and got[1, 2] == (4, 0.707107) and got[4, 1] == (1, 0.707107) and got[4, 2] == (2, 0.707107) and got[5, 1] == (1, 0.0)
-    assert len(got) == 10 and graph.nearest(df.where("false"), "id", "v", 2).collect() == []
-
-
 def test_pagerank_stops_at_the_first_round_that_moves_too_little(spark):
     edges = spark.createDataFrame([("A", "B"), ("A", "C"), ("B", "C"), ("C", "A"), ("D", "C")], "src string, dst string")
     nodes = spark.createDataFrame([(x,) for x in "ABCD"], "id string")
@@ -301,15 +294,6 @@ def test_communities_are_numbered_by_size(spark):
     assert {r.id: r.community for r in graph.by_size(labels).collect()} == {k: 0 if k < 5 else 2 if k < 7 else 1 for k in range(9)}
 
 
-def test_planes_find_most_neighbours(spark):
-    rng = random.Random(1)
-    centres = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(20)]
-    rows = [(k, [x + rng.gauss(0, 0.1) for x in centres[k % 20]]) for k in range(200)]
-    df = spark.createDataFrame(rows, "id long, v array<double>")
-    exact, near = ({(r.src, r.dst) for r in graph.knn_edges(df, "id", "v", 4, planes=p).collect()} for p in (None, 5))
-    assert len(exact & near) > 0.9 * len(exact)
-
-
 def test_rings(spark):
     edges = spark.createDataFrame([(0, k) for k in range(1, 7)], "src long, dst long")
     rows = graph.ring_layout(spark.range(8), edges).collect()

@@ -606,7 +606,8 @@ def bloom_api(spark, sf):
 
 # --- graphs
 
-KNN = """(WITH p AS (SELECT a.vec_id AS x, b.vec_id AS y, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS w FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+KNN = """(WITH n AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings), z AS (SELECT *, (x - avg(x) OVER (PARTITION BY i)) / coalesce(nullif(stddev_pop(x) OVER (PARTITION BY i), 0), 1) AS z FROM n),
+ v AS (SELECT vec_id, list(z ORDER BY i) AS v FROM z GROUP BY vec_id), p AS (SELECT a.vec_id AS x, b.vec_id AS y, round(list_cosine_similarity(a.v, b.v), 6) AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id),
  r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY w DESC, y) AS k FROM p) SELECT least(x, y) AS src, greatest(x, y) AS dst, max(w) AS weight FROM r WHERE k <= 4 GROUP BY ALL)"""
 NODES = "(SELECT vec_id::BIGINT AS id FROM embeddings)"
 EDGES = f"(SELECT src, dst FROM {KNN})"
@@ -615,21 +616,28 @@ DEGREE = f"(SELECT id, count(src) AS degree FROM {NODES} LEFT JOIN {BOTH} ON id
 
 
 def near_graph(spark, sf):
-    """Vectors as nodes, and an edge between each and its four nearest."""
+    """Vectors as nodes, and an edge between each and its four nearest by standardised numbers."""
     vectors_ = table(spark, sf, "embeddings")
-    return vectors_.select(F.col("vec_id").alias("id")), graph.kept(graph.knn_edges(vectors_, "vec_id", "embedding", 4))
-
+    return vectors_.select(F.col("vec_id").alias("id")), graph.kept(graph.knn_edges(vectors_, "vec_id", "embedding", 4, standardize=True, exact=True))
 
 
 @query(f"SELECT * FROM {KNN}")
 def graph_knn_build(spark, sf):
-    return graph.knn_edges(table(spark, sf, "embeddings"), "vec_id", "embedding", 4)
+    return graph.knn_edges(table(spark, sf, "embeddings"), "vec_id", "embedding", 4, standardize=True, exact=True)
 
 
 @query("WITH p AS (SELECT a.vec_id AS id, b.vec_id AS id2, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS weight FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY weight DESC, id2) AS rank FROM p) SELECT * FROM r WHERE rank <= 4")
 def join_knn(spark, sf):
-    """Each vector's four nearest."""
-    return plain(graph.nearest(table(spark, sf, "embeddings"), "vec_id", "embedding", 4))
+    """Each vector's four nearest, all of them, over cells of some hundred vectors."""
+    return plain(graph.nearest(table(spark, sf, "embeddings"), "vec_id", "embedding", 4, exact=True, cell_rows=100))
+
+
+@query("SELECT (4 * count(*))::BIGINT AS pairs, true AS found FROM embeddings")
+def knn_recall(spark, sf):
+    """Neighbours of all vectors as the measured number of cells finds them, and whether nine in ten are true ones."""
+    near = lambda **how: graph.nearest(table(spark, sf, "embeddings"), "vec_id", "embedding", 4, cell_rows=100, **how)
+    both = near().join(near(exact=True).select("id", "id2", F.lit(1).alias("true")), ["id", "id2"], "left")
+    return both.agg(F.count("*").alias("pairs"), (F.sum("true") >= 0.9 * F.count("*")).alias("found"))
 
 
 @query(f"SELECT id, degree FROM {DEGREE}")
