@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trackloom.functions.ordering import numbered, running_max, running_total
 from trackloom.functions.quantiles import quantiles
 from trackloom.functions.text import code_points, crc_part, credits, human_size, tokens
-from trackloom.operators import bloom, clean, docs, graph, ml, relational, stats, storage, windows
+from trackloom.operators import clean, docs, graph, ml, relational, stats, storage, windows
 from trackloom.plans import pipeline
 from trackloom.sources import documents, files
 from trackloom.streaming import events
@@ -237,20 +237,6 @@ def test_running_totals(spark):
     assert got == {k: sum(v for j, v in rows if j <= k) for k, _ in rows}
 
 
-# --- Bloom filter
-
-def test_bloom_never_loses_a_member(spark):
-    words = spark.createDataFrame([(f"word {k}",) for k in range(300)], "w string")
-    m, k = bloom.sizes(300)
-    assert m > 300 and k == 7
-    bits = bloom.build(words, "w", m, k)
-    probes = spark.createDataFrame([(f"word {k}",) for k in range(600)], "w string")
-    status = {r.w: r.status for r in bloom.verdicts(bits, words, probes, "w", m, k).collect()}
-    assert all(status[f"word {i}"] == "True Positive" for i in range(300))
-    assert sum(status[f"word {i}"] == "False Positive" for i in range(300, 600)) < 20
-    assert 0 < bloom.metrics(bits, m, k, 300).first().fpr < 0.05
-
-
 # --- graphs
 
 def test_pagerank_by_hand(spark):
@@ -363,20 +349,6 @@ def test_one_class_is_an_error(spark):
     assert ml.require_classes(df.union(spark.createDataFrame([(0,)], "y int"))).count() == 4
 
 
-def test_bloom_lookup_by_lower_case(spark):
-    members = spark.createDataFrame([(" Ann ",), ("BOB",), (None,), ("",)], "w string")
-    asked = spark.createDataFrame([("ann",), ("Bob ",), ("nobody at all",), (None,)], "w string")
-    got = {r.name: (r.hit, r.exact, r.verdict) for r in bloom.lookup(members, asked, "w").collect()}
-    assert got["ann"] == got["bob"] == (True, True, "present") and not got["nobody at all"][1] and len(got) == 3
-    none = bloom.lookup(members.limit(0), asked, "w").collect()
-    assert {r.verdict for r in none} == {"absent"}
-
-
-def test_bloom_preview_is_as_long_as_the_filter(spark):
-    bits = spark.createDataFrame([(1,), (3,)], "bit long")
-    assert bloom.preview(bits, 5).first().preview == "01010" and len(bloom.preview(bits, 600).first().preview) == 512
-
-
 def test_stream_features():
     assert events.pick_features(FEATURES) == ["energy", "acousticness", "valence", "danceability"]
     assert events.pick_features(["a", "b", "c", "d"]) == ["a", "b", "c"]

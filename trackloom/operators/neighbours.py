@@ -86,9 +86,10 @@ def of_each_key(rows: DataFrame, k: int) -> DataFrame:
     return spread.groupBy("key").agg(F.any_value("v").alias("v"), least)
 
 
-def centres_of(classes: DataFrame, cells: int, seed: int) -> np.ndarray:
-    """Unit centres of the cells, from a sample of LEARNT_ROWS rows a cell, picked by a hash."""
-    sample = classes.orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(cells * LEARNT_ROWS).select(array_to_vector("v").alias("features"))
+def centres_of(classes: DataFrame, n: int, cells: int, seed: int) -> np.ndarray:
+    """Unit centres of the cells, from a sample of some LEARNT_ROWS rows a cell of the n rows, picked by a hash."""
+    share = min(1.0, cells * LEARNT_ROWS / n)
+    sample = classes.where(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20))).select(array_to_vector("v").alias("features"))
     found = KMeans(k=cells, seed=seed, maxIter=10, initMode="random").fit(sample).clusterCenters()
     m = np.array(found, float)
     norm = np.sqrt((m * m).sum(1, keepdims=True))
@@ -235,7 +236,7 @@ def nearest(vectors: DataFrame, id_col: str, vector_col: str, k: int = 4, *, exa
     told = classes.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("width")).first()
     count = max(1, min(told.n // cell_rows, MOST_CELLS, CENTRE_BYTES // (8 * told.width)))
     # any direction is the centre of a single cell
-    cells = Cells(classes, centres_of(classes, count, seed) if count > 1 else np.eye(1, told.width), k)
+    cells = Cells(classes, centres_of(classes, told.n, count, seed) if count > 1 else np.eye(1, told.width), k)
     asked = cells.rows.select("key", "v", F.lit(-2.0).alias("least"))
     if exact or len(cells.centres) == 1:
         first = min(2, len(cells.centres))

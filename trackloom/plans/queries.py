@@ -493,30 +493,33 @@ def is_folder(spark, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
 
 
-# --- Bloom filter over part names and brands
+# --- Bloom filter over customers' names
 
-BLOOM_M, BLOOM_K = 9586, 7
-BLOOM_POS = f"""unnest(list_transform(range({BLOOM_K}), lambda i: (('0x' || substr(md5(w), 1, 15))::BIGINT % {BLOOM_M} + i * ((('0x' || substr(sha256(w), 1, 15))::BIGINT % {BLOOM_M} | 1) % {BLOOM_M})) % {BLOOM_M}))"""
-BLOOM_BITS = f"(SELECT DISTINCT {BLOOM_POS} AS bit FROM (SELECT DISTINCT c_name AS w FROM customer))"
+def places_sql(m: str, k: str) -> str:
+    """The places of the word w, one a row; m and k are numbers or columns."""
+    return f"""unnest(list_transform(range({k}), lambda i: (('0x' || substr(md5(w), 1, 15))::BIGINT % {m} + i * ((('0x' || substr(sha256(w), 1, 15))::BIGINT % {m} | 1) % {m})) % {m}))"""
 
 
-def customer_bits(spark, sf):
-    return bloom.build(table(spark, sf, "customer").select(F.col("c_name").alias("w")), "w", BLOOM_M, BLOOM_K)
+def filter_sql(members: str, probes: str | None = None) -> str:
+    """The common tables of a filter over members (w) whose size follows from their number: size (n, m, k), bits (bit) and
+    hits (w, hit) of the probes."""
+    asked = f""", hits AS (SELECT w, bool_and(bit IN (SELECT bit FROM bits)) AS hit FROM (SELECT w, {places_sql('m', 'k')} AS bit FROM (SELECT DISTINCT w FROM ({probes})), size) GROUP BY w)""" if probes else ""
+    return f"""members AS MATERIALIZED (SELECT DISTINCT w FROM ({members}) WHERE w IS NOT NULL), counted AS (SELECT count(*) AS n, ceil(-count(*) * ln(0.01) / pow(ln(2), 2))::BIGINT AS m FROM members),
+ size AS MATERIALIZED (SELECT n, m, greatest(round(m / n * ln(2)), 1)::BIGINT AS k FROM counted), bits AS MATERIALIZED (SELECT DISTINCT {places_sql('m', 'k')} AS bit FROM members, size){asked}"""
 
 
-@query("SELECT p_size::BIGINT AS n, ceil(-p_size * ln(0.01) / pow(ln(2), 2))::BIGINT AS m, greatest(round(ceil(-p_size * ln(0.01) / pow(ln(2), 2)) / p_size * ln(2)), 1)::BIGINT AS k FROM part")
-def bloom_size(spark, sf):
-    m, k = bloom.size_columns(F.col("p_size"))
-    return plain(table(spark, sf, "part").select(F.col("p_size").alias("n"), m.alias("m"), k.alias("k")))
+NAMES = "SELECT c_name AS w FROM customer"
+PROBES = f"{NAMES} UNION SELECT s_name FROM supplier UNION SELECT p_name FROM part"
+ABSENT = "SELECT 'absent ' || p_name || p_partkey AS w FROM part"
+FILTER, HITS = f"WITH {filter_sql(NAMES)}", f"WITH {filter_sql(NAMES, PROBES)}"
 
 
-@query(f"SELECT bit FROM {BLOOM_BITS}")
-def bloom_build(spark, sf):
-    return customer_bits(spark, sf)
+def customer_names(spark, sf):
+    return table(spark, sf, "customer").select(F.col("c_name").alias("w"))
 
 
-PROBES = "(SELECT c_name AS w FROM customer UNION SELECT s_name FROM supplier UNION SELECT p_name FROM part)"
-BLOOM_HITS = f"(SELECT w, bool_and(bit IN (SELECT bit FROM {BLOOM_BITS})) AS hit FROM (SELECT w, {BLOOM_POS} AS bit FROM {PROBES}) GROUP BY w)"
+def customer_filter(spark, sf):
+    return bloom.fit(customer_names(spark, sf), "w")
 
 
 def probe_words(spark, sf):
@@ -524,37 +527,50 @@ def probe_words(spark, sf):
     return one("customer", "c_name").unionByName(one("supplier", "s_name")).unionByName(one("part", "p_name")).distinct()
 
 
-@query(f"SELECT w, hit FROM {BLOOM_HITS}")
+@query("SELECT p_size::BIGINT AS n, ceil(-p_size * ln(0.01) / pow(ln(2), 2))::BIGINT AS m, greatest(round(ceil(-p_size * ln(0.01) / pow(ln(2), 2)) / p_size * ln(2)), 1)::BIGINT AS k FROM part")
+def bloom_size(spark, sf):
+    m, k = bloom.size_columns(F.col("p_size"))
+    return plain(table(spark, sf, "part").select(F.col("p_size").alias("n"), m.alias("m"), k.alias("k")))
+
+
+@query(f"{FILTER} SELECT bit FROM bits")
+def bloom_build(spark, sf):
+    return bloom.bits_of(customer_filter(spark, sf))
+
+
+@query(f"{HITS} SELECT w, hit FROM hits")
 def bloom_contains(spark, sf):
-    return bloom.contains(customer_bits(spark, sf), probe_words(spark, sf), "w", BLOOM_M, BLOOM_K)
+    return bloom.contains(customer_filter(spark, sf), probe_words(spark, sf), "w")
 
 
-@query(f"SELECT w, hit, CASE WHEN hit THEN 'scan' ELSE 'skip' END AS verdict FROM {BLOOM_HITS}")
+@query(f"{HITS} SELECT w, hit, CASE WHEN hit THEN 'scan' ELSE 'skip' END AS verdict FROM hits")
 def bloom_prefilter(spark, sf):
-    return bloom.prefilter(customer_bits(spark, sf), probe_words(spark, sf), "w", BLOOM_M, BLOOM_K)
+    return bloom.prefilter(customer_filter(spark, sf), probe_words(spark, sf), "w")
 
 
-@query(f"SELECT w, CASE WHEN NOT hit THEN 'Not present' WHEN w IN (SELECT c_name FROM customer) THEN 'True Positive' ELSE 'False Positive' END AS status FROM {BLOOM_HITS}")
+@query(f"{HITS} SELECT w, CASE WHEN NOT hit THEN 'Not present' WHEN w IN (SELECT w FROM members) THEN 'True Positive' ELSE 'False Positive' END AS status FROM hits")
 def bloom_lab(spark, sf):
-    members = table(spark, sf, "customer").select(F.col("c_name").alias("w"))
-    return bloom.verdicts(customer_bits(spark, sf), members, probe_words(spark, sf), "w", BLOOM_M, BLOOM_K)
+    return bloom.verdicts(customer_filter(spark, sf), customer_names(spark, sf), probe_words(spark, sf), "w")
 
 
-@query(f"SELECT count(*) AS bits_set, round(100.0 * count(*) / {BLOOM_M}, 4)::DOUBLE AS fill_pct, {BLOOM_M}::BIGINT AS m, {BLOOM_K}::BIGINT AS k, round(pow(1 - exp(-{BLOOM_K} * 1000.0 / {BLOOM_M}), {BLOOM_K}), 6) AS fpr, round({BLOOM_M} / 8.0 / 1024, 3)::DOUBLE AS kb FROM {BLOOM_BITS}")
+@query(f"{FILTER} SELECT count(*) AS bits_set, round(100.0 * count(*) / any_value(m), 4)::DOUBLE AS fill_pct, any_value(m) AS m, any_value(k) AS k, round(pow(1 - exp(-any_value(k) * any_value(n)::DOUBLE / any_value(m)), any_value(k)), 6) AS fpr, round(any_value(m) / 8.0 / 1024, 3)::DOUBLE AS kb FROM bits, size")
 def bloom_metrics(spark, sf):
-    return plain(bloom.metrics(customer_bits(spark, sf), BLOOM_M, BLOOM_K, 1000))
+    return plain(bloom.metrics(customer_filter(spark, sf)))
 
 
-@query(f"SELECT count(*) AS probes, count(*) FILTER (WHERE hit) AS false_positives FROM (SELECT w, bool_and(bit IN (SELECT bit FROM {BLOOM_BITS})) AS hit FROM (SELECT w, {BLOOM_POS} AS bit FROM (SELECT 'zz-absent-' || i AS w FROM range(2000) t(i))) GROUP BY w)")
+@query(f"WITH {filter_sql(NAMES, ABSENT)} SELECT count(*) AS probes, count(*) FILTER (WHERE hit) AS false_positives FROM hits")
 def bloom_empirical_fpr(spark, sf):
-    absent = spark.range(2000).select(F.concat(F.lit("zz-absent-"), F.col("id").cast("string")).alias("w"))
-    return bloom.contains(customer_bits(spark, sf), absent, "w", BLOOM_M, BLOOM_K).agg(F.count("*").alias("probes"), F.count_if("hit").alias("false_positives"))
+    """Words that no customer has, made of all parts' names, and how many of them seem to be customers'."""
+    absent = table(spark, sf, "part").select(F.concat(F.lit("absent "), "p_name", F.col("p_partkey").cast("string")).alias("w"))
+    return bloom.false_alarms(customer_filter(spark, sf), absent, "w")
 
 
-@query(f"SELECT c_name AS w, string_agg(bit::VARCHAR, ',' ORDER BY bit) AS bits FROM (SELECT DISTINCT c_name, bit FROM (SELECT c_name, w, {BLOOM_POS} AS bit FROM (SELECT c_name, c_name AS w FROM customer))) GROUP BY c_name")
+@query(f"{FILTER} SELECT w, string_agg(bit::VARCHAR, ',' ORDER BY bit) AS bits FROM (SELECT DISTINCT w, {places_sql('m', 'k')} AS bit FROM members, size) GROUP BY w")
 def bloom_positions(spark, sf):
-    places = F.array_sort(F.array_distinct(bloom.positions(F.col("c_name"), BLOOM_M, BLOOM_K)))
-    return table(spark, sf, "customer").select(F.col("c_name").alias("w"), F.array_join(F.transform(places, lambda p: p.cast("string")), ",").alias("bits"))
+    names = customer_names(spark, sf).distinct()
+    m, k = bloom.sizes(names.count())
+    places = F.array_sort(F.array_distinct(bloom.positions(F.col("w"), m, k)))
+    return names.select("w", F.array_join(F.transform(places, lambda p: p.cast("string")), ",").alias("bits"))
 
 
 @query("SELECT name, count(*) OVER () AS total FROM (SELECT DISTINCT unnest([p_brand, p_type]) AS name FROM part)")
@@ -564,18 +580,14 @@ def bloom_vocab(spark, sf):
     return names.join(F.broadcast(names.agg(F.count("*").alias("total"))), F.lit(True))
 
 
-@query(f"SELECT w FROM {BLOOM_HITS} WHERE hit")
+@query(f"{HITS} SELECT w FROM hits WHERE hit")
 def semi_bloom(spark, sf):
-    return bloom.may_hold(customer_bits(spark, sf), probe_words(spark, sf), "w", BLOOM_M, BLOOM_K)
-
-
-def places_sql(m: int, k: int) -> str:
-    return BLOOM_POS.replace(str(BLOOM_M), str(m)).replace(f"range({BLOOM_K})", f"range({k})")
+    return bloom.may_hold(customer_filter(spark, sf), probe_words(spark, sf), "w")
 
 
 def small_lab(m: int, k: int) -> str:
-    bits = f"(SELECT DISTINCT {places_sql(m, k)} AS bit FROM (SELECT r_name AS w FROM region))"
-    hits = f"(SELECT w, bool_and(bit IN (SELECT bit FROM {bits})) AS hit FROM (SELECT w, {places_sql(m, k)} AS bit FROM (SELECT r_name AS w FROM region UNION SELECT n_name FROM nation)) GROUP BY w)"
+    bits = f"(SELECT DISTINCT {places_sql(str(m), str(k))} AS bit FROM (SELECT r_name AS w FROM region))"
+    hits = f"(SELECT w, bool_and(bit IN (SELECT bit FROM {bits})) AS hit FROM (SELECT w, {places_sql(str(m), str(k))} AS bit FROM (SELECT r_name AS w FROM region UNION SELECT n_name FROM nation)) GROUP BY w)"
     return f"SELECT {m}::BIGINT AS m, w, CASE WHEN NOT hit THEN 'Not present' WHEN w IN (SELECT r_name FROM region) THEN 'True Positive' ELSE 'False Positive' END AS status FROM {hits}"
 
 
@@ -584,24 +596,25 @@ def bloom_lab_small(spark, sf):
     """The five regions in filters of 32 and of 11 bits, probed with regions and nations."""
     members = table(spark, sf, "region").select(F.col("r_name").alias("w"))
     probes = members.unionByName(table(spark, sf, "nation").select(F.col("n_name").alias("w"))).distinct()
-    one = lambda m, k: bloom.verdicts(bloom.build(members, "w", m, k), members, probes, "w", m, k).select(F.lit(m).cast("long").alias("m"), "w", "status")
+    one = lambda m, k: bloom.verdicts(bloom.of_size(members, "w", m, k), members, probes, "w").select(F.lit(m).cast("long").alias("m"), "w", "status")
     return one(32, 3).unionByName(one(11, 2))
 
 
-@query(f"SELECT w, string_agg(bit::VARCHAR, ',' ORDER BY i) AS places FROM (SELECT w, unnest(range(3)) AS i, {places_sql(32, 3)} AS bit FROM (SELECT r_name AS w FROM region)) GROUP BY w")
+@query(f"SELECT w, string_agg(bit::VARCHAR, ',' ORDER BY i) AS places FROM (SELECT w, unnest(range(3)) AS i, {places_sql('32', '3')} AS bit FROM (SELECT r_name AS w FROM region)) GROUP BY w")
 def bloom_insertions(spark, sf):
     return bloom.insertions(table(spark, sf, "region").select(F.col("r_name").alias("w")), "w", 32, 3)
 
 
-@query(f"SELECT string_agg(CASE WHEN i IN (SELECT bit FROM {BLOOM_BITS}) THEN '1' ELSE '0' END, '' ORDER BY i) AS preview FROM range(512) t(i)")
+@query(f"{FILTER} SELECT string_agg(CASE WHEN i IN (SELECT bit FROM bits) THEN '1' ELSE '0' END, '' ORDER BY i) AS preview FROM range(512) t(i), size WHERE i < m")
 def bloom_preview(spark, sf):
-    return bloom.preview(customer_bits(spark, sf), BLOOM_M)
+    return bloom.preview(customer_filter(spark, sf))
 
 
-@query()
+@query(f"WITH {filter_sql(f'SELECT lower(trim(w)) AS w FROM ({NAMES})', f'SELECT lower(trim(w)) AS w FROM ({PROBES})')} SELECT w AS name, hit, w IN (SELECT w FROM members) AS exact, CASE WHEN NOT hit THEN 'absent' WHEN w IN (SELECT w FROM members) THEN 'present' ELSE 'false alarm' END AS verdict FROM hits")
 def bloom_api(spark, sf):
-    """All probes against a filter over the customers' names, sized by their number."""
-    return bloom.lookup(table(spark, sf, "customer").select(F.col("c_name").alias("w")), probe_words(spark, sf), "w")
+    """All probes, whatever their case, against a filter over the customers' names, sized by their number."""
+    members = customer_names(spark, sf)
+    return bloom.lookup(bloom.fit(bloom.plain_names(members, "w"), "name"), members, probe_words(spark, sf), "w")
 
 
 # --- graphs
