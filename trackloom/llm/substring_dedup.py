@@ -22,8 +22,6 @@ LONG_SENTENCE, CUT = 24, 6
 #: Characters that end a sentence where white space follows.
 STOPS = ".!?…。！？"
 STOP, SPACE = 1 << 21, 1 << 42
-#: Most places of repeats that are broadcast to the texts (8 bytes each, and an id for each text); more are joined by a shuffle.
-BROADCAST_SPANS = 1_000_000
 FACTORS = (0x5851F42D4C957F2D, 0xD1342543DE82EF95)
 
 
@@ -120,9 +118,8 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     bound_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
     cover = covered_sentences(docs, id_col, text_col).select(F.col("id").alias(id_col), F.col("spans").alias("_spans"))
-    few = (cover.agg(F.sum(F.size("_spans"))).first()[0] or 0) <= BROADCAST_SPANS
     known = F.col(id_col).isNotNull()  # rows without an id would all meet in one task of a shuffle
-    rows = docs.select(*kept).join(F.broadcast(cover), id_col, "left") if few else docs.where(known).select(*kept).join(cover, id_col, "left").unionByName(docs.where(~known).select(*kept, F.lit(None).cast(cover.schema["_spans"].dataType).alias("_spans")))
+    rows = docs.where(known).select(*kept).join(cover, id_col, "left").unionByName(docs.where(~known).select(*kept, F.lit(None).cast(cover.schema["_spans"].dataType).alias("_spans")))
     rows = rows.select(*kept, F.col("_spans.k").alias("_k"), F.col("_spans.n").alias("_n"))
     at = kept.index(text_col)
     fields = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept), "n_sentences long, n_removed long"])
