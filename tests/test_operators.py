@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from trackloom.functions.ordering import numbered, running_max, running_total
 from trackloom.functions.quantiles import quantiles
-from trackloom.functions.text import code_points, crc_part, credits, human_size, tokens
-from trackloom.operators import clean, docs, graph, ml, relational, stats, storage, windows
+from trackloom.functions.text import code_points, credits, human_size, tokens
+from trackloom.operators import clean, docs, graph, ml, relational, stats, windows
 from trackloom.plans import pipeline
 from trackloom.sources import documents, files
 from trackloom.streaming import events
@@ -148,13 +148,11 @@ def test_tokens_and_credits(spark):
     assert a.t == ["don't", "stop", "abc"] and a.c == ["A", "B", "C"] and b.t == [] and b.c == []
 
 
-def test_sizes_codes_parts(spark):
-    import zlib
-
+def test_sizes_and_codes(spark):
     df = spark.createDataFrame([(0, "key"), (1023, "é"), (1024, "b"), (5 << 20, "c"), (3 << 40, "d")], "n long, k string")
-    rows = df.select(human_size(F.col("n")).alias("h"), code_points(F.col("k")).alias("c"), crc_part(F.col("k"), 4).alias("p"), "k").collect()
+    rows = df.select(human_size(F.col("n")).alias("h"), code_points(F.col("k")).alias("c")).collect()
     assert [r.h for r in rows] == ["0B", "1023B", "1.0K", "5.0M", "3.0T"]
-    assert rows[0].c == [107, 101, 121] and all(r.p == zlib.crc32(r.k.encode()) % 4 for r in rows)
+    assert rows[0].c == [107, 101, 121]
 
 
 # --- labels, paging, joins
@@ -366,9 +364,9 @@ def test_kept_result(spark, tmp_path):
     assert files.kept_result(other, path, cache).first().n == 2
 
 
-# --- documents, storage, streams, runs
+# --- documents, streams, runs
 
-def test_paths_and_evidence(spark):
+def test_paths_and_values(spark):
     df = spark.createDataFrame([('{"a":{"b":[{"c":5}]},"e":[],"n":null}',)], "doc string")
     row = df.select(docs.json_path("doc", "a.b.0.c").alias("c"), docs.json_path("doc", "x", "none").alias("x"), docs.has_value("doc", "e").alias("e"), docs.has_value("doc", "a").alias("a")).first()
     assert (row.c, row.x, row.e, row.a) == ("5", "none", False, True)
@@ -389,15 +387,6 @@ def test_document_store(spark, tmp_path):
     assert {r.id for r in documents.find(spark, three, df.schema).collect()} == {"a", "c"}
 
 
-def test_blocks_by_hand(spark):
-    files_ = spark.createDataFrame([("f", 300 << 20), ("empty", 0)], "file string, size long")
-    rows = storage.blocks(files_, "file", F.col("size")).collect()
-    own = [r for r in rows if r.file == "f"]
-    assert len(own) == 9 and len({r.block for r in own}) == 3
-    assert all(len({r.node for r in own if r.block == b}) == 3 for b in range(3))
-    assert {r.length for r in own if r.block == 2} == {44 << 20} and len(rows) == 12
-
-
 def test_stream_equals_batch(spark, tmp_path):
     source = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     source.repartition(4).write.parquet(str(tmp_path / "in"))

@@ -17,10 +17,10 @@ RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 1_000_000, 8, 20_000
 
 
 def with_range(df: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
-    """df, written, with _range, the number of the range of its order that a row falls into. Rows that are equal in all
-    columns of the order share one."""
+    """df, written, with _range, the number of the range of its order that a row falls into, and _tie, by which rows that are
+    equal in all columns of the order are told apart, so that many of them don't share one range."""
     ranges = ranges or min(MOST_RANGES, max(LEAST_RANGES, df.count() // RANGE_ROWS))
-    return kept(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
+    return kept(df.withColumn("_tie", F.rand(7)).repartitionByRange(ranges, *order, "_tie").withColumn("_range", F.spark_partition_id()))
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "rn", ranges: int | None = None) -> DataFrame:
@@ -28,8 +28,8 @@ def numbered(df: DataFrame, order: list[str], name: str = "rn", ranges: int | No
     dealt = with_range(df, order, ranges)
     sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
     before = sizes.select("_range", (F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return dealt.join(F.broadcast(before), "_range").withColumn(name, own + F.col("_before")).drop("_range", "_before")
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order, "_tie"))
+    return dealt.join(F.broadcast(before), "_range").withColumn(name, own + F.col("_before")).drop("_range", "_before", "_tie")
 
 
 def running_max(df: DataFrame, order: list[str], value: Column, name: str, ranges: int | None = None) -> DataFrame:
@@ -37,8 +37,8 @@ def running_max(df: DataFrame, order: list[str], value: Column, name: str, range
     dealt = with_range(df.withColumn("_value", value), order, ranges)
     tops = dealt.groupBy("_range").agg(F.max("_value").alias("_m"))
     before = tops.select("_range", F.max("_m").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    own = F.max("_value").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return dealt.join(F.broadcast(before), "_range").withColumn(name, F.greatest(own, F.col("_before"))).drop("_range", "_before", "_value")
+    own = F.max("_value").over(Window.partitionBy("_range").orderBy(*order, "_tie").rowsBetween(Window.unboundedPreceding, -1))
+    return dealt.join(F.broadcast(before), "_range").withColumn(name, F.greatest(own, F.col("_before"))).drop("_range", "_before", "_value", "_tie")
 
 
 def running_total(df: DataFrame, order: list[str], values: list[str], ranges: int | None = None) -> DataFrame:
@@ -47,6 +47,6 @@ def running_total(df: DataFrame, order: list[str], values: list[str], ranges: in
     sums = dealt.groupBy("_range").agg(*[F.sum(v).alias(v) for v in values])
     past = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select("_range", *[F.coalesce(F.sum(v).over(past), F.lit(0)).alias(f"_before_{v}") for v in values])
-    own = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy("_range").orderBy(*order, "_tie").rowsBetween(Window.unboundedPreceding, 0)
     joined = dealt.join(F.broadcast(before), "_range")
     return joined.select(*df.columns, *[(F.sum(v).over(own) + F.col(f"_before_{v}")).alias(f"total_{v}") for v in values])

@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder; cuts the plan of a loop and outlives lost executors. Only a session on
-    one machine may go without spark.checkpoint.dir: elsewhere executors would write to disks that the others can't see."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder. Only a session on one machine may go without spark.checkpoint.dir: elsewhere executors would
+    write to disks that the others can't see."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder; cuts the plan of a loop and outlives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -13,6 +17,7 @@ from pyspark.sql import DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import numbered, running_total
+from ..functions.written import kept
 
 SEED = 42
 
@@ -50,12 +55,64 @@ def by_size(df: DataFrame, label: str = "prediction") -> DataFrame:
 
 
 def silhouette(df: DataFrame, label: str = "prediction", distance: str = "squaredEuclidean") -> float:
-    """Mean silhouette over all rows; one cluster alone has none and gives 0."""
-    if df.select(label).distinct().count() < 2:
+    """Mean silhouette over all rows; one cluster alone has none and gives 0. distance: `squaredEuclidean` and `cosine` need
+    one pass over the rows (MLlib's); `euclidean` compares all rows with all."""
+    if df.select(label).distinct().limit(2).count() < 2:
         return 0.0
+    if distance == "euclidean":
+        return float(silhouettes(df, label).agg(F.avg("silhouette")).first()[0])
     return ClusteringEvaluator(predictionCol=label, distanceMeasure=distance).evaluate(df)
 
 
+def silhouettes(df: DataFrame, label: str = "prediction", *, features: str = "features", rows: int | None = None, block: int = 4_096) -> DataFrame:
+    """(row, label, silhouette) by Euclidean distance to all rows, for all rows or for the first `rows` by a hash of their
+    numbers. The asked rows go round in blocks; each task adds up their distances to its own rows by cluster, so that a
+    block costs one pass, and its sums are few rows. A row alone in its cluster gets 0."""
+    told = kept(df.select(F.xxhash64(vector_to_array(features)).alias("_h"), vector_to_array(features).alias("v"), F.col(label).cast("int").alias("label")))
+    asked = numbered(told, ["_h", "v", "label"], "row").select("row", "v", "label")
+    n = told.count()
+    sums = None
+    for first in range(0, min(n, rows or n), block):
+        own = asked.where(F.col("row").between(first + 1, min(first + block, rows or n))).collect()  # a block at most
+        part = distance_sums(told, [r.row for r in own], np.array([r.v for r in own]))
+        sums = part if sums is None else sums.unionByName(part)
+    if sums is None:
+        return df.sparkSession.createDataFrame([], "row long, label int, silhouette double")
+    by_cluster = sums.groupBy("row", "cluster").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    cells = asked.select("row", "label").join(by_cluster, "row")
+    inside = F.col("cluster") == F.col("label")
+    a = F.max(F.when(inside & (F.col("n") > 1), F.col("total") / (F.col("n") - 1)))
+    b = F.min(F.when(~inside, F.col("total") / F.col("n")))
+    told = cells.groupBy("row", "label").agg(a.alias("a"), b.alias("b"))
+    return told.select("row", "label", F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)).alias("silhouette"))
+
+
+def distance_sums(told: DataFrame, places: list[int], block: np.ndarray) -> DataFrame:
+    """(row, cluster, total, n): the distances of each row of a block to all rows of a cluster, added up in each task."""
+    shared = told.sparkSession.sparkContext.broadcast((places, block))
+
+    def run(batches):
+        places, q = shared.value
+        total: dict[int, np.ndarray] = {}
+        count: dict[int, int] = {}
+        squares = (q * q).sum(1)[:, None]
+        for batch in batches:
+            m = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+            labels = batch.column(1).to_numpy()
+            step = max(1, (32 << 20) // (8 * len(q)))
+            for at in range(0, len(m), step):
+                own, kinds = m[at : at + step], labels[at : at + step]
+                far = np.sqrt(np.maximum(squares + (own * own).sum(1) - 2 * q @ own.T, 0))
+                for c in np.unique(kinds).tolist():
+                    hit = kinds == c
+                    total[c] = total.get(c, 0) + far[:, hit].sum(1)
+                    count[c] = count.get(c, 0) + int(hit.sum())
+        for c, x in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array([c] * len(q), pa.int32()), pa.array(x), pa.array([count[c]] * len(q), pa.int64())], ["row", "cluster", "total", "n"])
+
+    return told.select("v", "label").mapInArrow(run, "row long, cluster int, total double, n long")
+
+
 def sweep(df: DataFrame, ks=range(2, 11), starts: int = 1) -> DataFrame:
     """(k, inertia, silhouette) for each number of clusters."""
     rows = []
@@ -89,9 +146,13 @@ def pca2(df: DataFrame) -> tuple[DataFrame, list[float]]:
 
 
 def split(df: DataFrame, id_cols: list[str], train: float = 0.7, seed: int = SEED) -> DataFrame:
-    """df with `split`, train or test, by a seeded hash of the ids: the same in every run."""
-    h = F.pmod(F.xxhash64(*id_cols, F.lit(seed)), F.lit(10_000))
-    return df.withColumn("split", F.when(h < int(train * 10_000), "train").otherwise("test"))
+    """df with `split`: the first of its rows by a hash of their ids (then by the ids) are train, the others test. The sizes
+    are exact, test has its share rounded up; the same in every run."""
+    n = df.count()
+    n_train = n - math.ceil(round((1 - train) * n, 6))
+    h = F.md5(F.concat_ws("|", *id_cols, F.lit(seed)).cast("binary"))
+    placed = numbered(df.withColumn("_hash", h), ["_hash", *id_cols], "_place")
+    return placed.withColumn("split", F.when(F.col("_place") <= n_train, "train").otherwise("test")).drop("_hash", "_place")
 
 
 def classifiers(n_train: int) -> dict:
@@ -113,6 +174,13 @@ def measures(df: DataFrame, y: str = "y", predicted: str = "prediction") -> Data
     return c.select(*[F.round(v, 4).alias(k) for k, v in out.items()])
 
 
+def compared(tables: list[DataFrame]) -> DataFrame:
+    """The measures of several models, one row each, with best: whether none has a higher F1 (the first name of equals)."""
+    every = functools.reduce(DataFrame.unionByName, tables)
+    top = F.broadcast(every.agg(F.min(F.struct((-F.col("f1")).alias("f"), "model")).alias("_top")))
+    return every.join(top, F.lit(True)).withColumn("best", F.col("model") == F.col("_top.model")).drop("_top")
+
+
 def confusion(df: DataFrame, y: str = "y", predicted: str = "prediction") -> DataFrame:
     """(y, predicted, n) for all four cells."""
     cells = F.array(*[F.struct(F.lit(a).alias("y"), F.lit(b).alias("predicted"), F.count_if((F.col(y) == a) & (F.col(predicted) == b)).alias("n")) for a in (0, 1) for b in (0, 1)])

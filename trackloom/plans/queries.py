@@ -5,6 +5,7 @@ Whole numbers are BIGINT and reals DOUBLE on both sides; reals are rounded; ever
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import numbered, running_max
 from ..functions.text import STOP_WORDS, code_points, code_sum, credits, human_size, shortened, tokens
-from ..operators import bloom, clean, docs, graph, ml, relational, stats, storage, text, windows
-from ..sources.files import scan_table, to_json
+from ..operators import bloom, clean, docs, graph, ml, relational, sketches, stats, text, variants, windows
+from ..functions.written import shared_folder
+from ..sources import documents
+from ..sources.files import read_items, save_items, scan_table, to_json
+from ..streaming import count_windows
 from ..streaming import events as streams
-from . import pipeline, registry
+from . import pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -166,6 +170,15 @@ def agg_distinct(spark, sf):
     return table(spark, sf, "part").agg(F.countDistinct("p_brand").alias("brands"), F.countDistinct("p_type").alias("types"), F.countDistinct("p_name").alias("names"))
 
 
+@query("SELECT l_returnflag AS flag, count(*) AS n, count(DISTINCT l_orderkey) AS exact, true AS close FROM lineitem GROUP BY l_returnflag")
+def agg_distinct_sketched(spark, sf):
+    """Distinct orders of each group from sketches by group and month, beside the exact number: within two in a hundred."""
+    lines = items(spark, sf).select("flag", F.trunc("l_shipdate", "month").alias("month"), "l_orderkey")
+    told = sketches.estimates(sketches.merged(sketches.by_group(lines, ["flag", "month"], "l_orderkey"), ["flag"]))
+    exact = lines.groupBy("flag").agg(F.countDistinct("l_orderkey").alias("exact"))
+    return told.join(exact, "flag").select("flag", "n", "exact", (F.abs(F.col("estimate") - F.col("exact")) <= 0.02 * F.col("exact")).alias("close"))
+
+
 @query("SELECT 'open' AS query, count(*) FILTER (WHERE o_orderstatus = 'O') AS n FROM orders UNION ALL SELECT 'dear', count(*) FILTER (WHERE o_totalprice > 200000) FROM orders UNION ALL SELECT 'urgent', count(*) FILTER (WHERE o_orderpriority LIKE '1%') FROM orders UNION ALL SELECT 'cheap and done', count(*) FILTER (WHERE o_totalprice < 50000 AND o_orderstatus = 'F') FROM orders")
 def agg_conditional(spark, sf):
     p = F.col("o_totalprice")
@@ -382,11 +395,6 @@ def index_lookup(spark, sf):
     return text.lookup(index, "thing").select("df", "token")
 
 
-@query()
-def mr_counters(spark, sf):
-    return plain(text.counters(scan_table(spark, sf, "documents", ["text"]), tokens(F.col("text"))))
-
-
 @query("SELECT p_partkey, substr(p_name, 1, 8) AS short, ascii(substr(p_name, 1, 1))::BIGINT AS first_code, list_sum(list_transform(range(1, length(p_name) + 1), lambda i: ascii(substr(p_name, i, 1))))::BIGINT AS code_sum FROM part")
 def text_functions(spark, sf):
     return plain(table(spark, sf, "part").select("p_partkey", shortened(F.col("p_name"), 8).alias("short"), code_points(F.col("p_name"))[0].alias("first_code"), code_sum(F.col("p_name")).alias("code_sum")))
@@ -397,6 +405,21 @@ def size_format(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", human_size(F.col("o_totalprice")).alias("size"))
 
 
+PAIRS = f"WITH t AS (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(text), '[a-z'']{{3,}}'), lambda w: w NOT IN {STOP_SQL}) AS words FROM conversations), c AS (SELECT flatten(list(words ORDER BY turn)) AS w FROM t GROUP BY conv_id) SELECT key, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS key FROM c) GROUP BY key"
+
+
+@query(PAIRS)
+def mr_word_pairs(spark, sf):
+    """Words that follow each other in a conversation, across its turns."""
+    return text.word_pairs(scan_table(spark, sf, "conversations", ["conv_id", "turn", "text"]), "text", "conv_id", ["turn"])
+
+
+@query(PAIRS)
+def mr_word_pairs_table(spark, sf):
+    """The same by a table function over each conversation's turns in order."""
+    return text.word_pairs_by_table(scan_table(spark, sf, "conversations", ["conv_id", "turn", "text"]), "text", "conv_id", ["turn"])
+
+
 # --- order of events
 
 LATE = "(SELECT o_orderkey, o_orderdate, o_totalprice, max(o_orderdate) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM orders)"
@@ -465,27 +488,68 @@ def win_zscore(spark, sf):
     return windows.drift(order_windows(spark, sf), "o_totalprice").select("win", F.round("z", 4).alias("z"))
 
 
-@query(f"SELECT win, 'o_totalprice' AS feature, round(z, 4) AS z FROM {DRIFT} WHERE abs(z) > 1.5")
+@query(f"SELECT win, 'o_totalprice' AS feature, round(z, 4) AS z FROM {DRIFT} WHERE abs(z) > 2.5")
 def st_drift(spark, sf):
-    return windows.drifts(order_windows(spark, sf), ["o_totalprice"], 1.5)
+    return windows.drifts(order_windows(spark, sf), ["o_totalprice"])
 
 
-@query(f"SELECT win, n, CASE WHEN abs(z) > 1.5 THEN 'o_totalprice' END AS drift_feature, CASE WHEN abs(z) > 1.5 THEN round(z, 4) END AS drift_z FROM {DRIFT}")
+@query(f"SELECT win, n, CASE WHEN abs(z) > 2.5 THEN 'o_totalprice' END AS drift_feature, CASE WHEN abs(z) > 2.5 THEN round(z, 4) END AS drift_z FROM {DRIFT}")
 def st_drift_overlay(spark, sf):
     w = order_windows(spark, sf)
-    return windows.overlaid(w, windows.drifts(w, ["o_totalprice"], 1.5)).select("win", "n", "drift_feature", "drift_z")
+    return windows.overlaid(w, windows.drifts(w, ["o_totalprice"])).select("win", "n", "drift_feature", "drift_z")
 
 
 @query("SELECT date_trunc('day', ts)::TIMESTAMP::VARCHAR AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def stream_equals_batch(spark, sf):
     """The daily counts of a stream over the same files, run to its end in complete mode."""
-    folder, name = f"{sf}/events.parquet", f"daily_{abs(hash(sf))}"
+    folder, at = f"{sf}/events.parquet", shelf(spark)
     schema = spark.read.parquet(folder).schema
     reader = spark.readStream.schema(schema)
     source = reader.parquet(folder) if is_folder(spark, folder) else reader.option("pathGlobFilter", "events.parquet").parquet(sf)
-    running = streams.windowed_counts(source).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table(name).select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("day"), "event_type", "n", "total")
+    running = streams.windowed_counts(source).writeStream.outputMode("complete").option("checkpointLocation", f"{at}/c").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{at}/out"))
+    running.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out").select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("day"), "event_type", "n", "total")
+
+
+LIVE = """WITH w AS (SELECT event_type AS key, (row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1) // 100 AS win, value FROM events), g AS (SELECT key, win::BIGINT AS win, count(*) AS n, round(avg(value), 4) AS mean FROM w GROUP BY ALL HAVING count(*) = 100),
+ r AS (SELECT *, avg(mean) OVER (PARTITION BY key ORDER BY win ROWS 2 PRECEDING) AS rolling FROM g), d AS (SELECT *, rolling - lag(rolling) OVER (PARTITION BY key ORDER BY win) AS step FROM r),
+ h AS (SELECT *, avg(step) OVER p AS m, stddev_pop(step) OVER p AS sd, count(step) OVER p AS c FROM d WINDOW p AS (PARTITION BY key ORDER BY win ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)), z AS (SELECT key, win, n, mean, CASE WHEN c = 8 AND sd > 1e-9 THEN round((step - m) / sd, 4) END AS z FROM h)"""
+
+
+def live_windows(spark, sf):
+    """Windows of a hundred events of each type, from a stream that takes the events' files as they come."""
+    at, events = shelf(spark), table(spark, sf, "events")
+    streams.in_arrival_order(events, ["ts", "event_id"], f"{at}/in", 4)
+    live = count_windows.live_windows(streams.event_stream(spark, f"{at}/in", events.schema), "event_type", "ts", "event_id", ["value"], 100)
+    with count_windows.rocks_state(spark):
+        streams.run_available(live, f"{at}/out", f"{at}/c")
+    return spark.read.schema(live.schema).parquet(f"{at}/out")
+
+
+@query(f"{LIVE} SELECT * FROM z")
+def st_live_windows(spark, sf):
+    """Counts and means of live windows, and how far each step of their rolling mean is from the eight before it."""
+    return live_windows(spark, sf).select("key", "win", "n", F.round("mean", 4).alias("mean"), F.round("z", 4).alias("z"))
+
+
+@query(f"{LIVE} SELECT key, win, z FROM z WHERE abs(z) > 1.5")
+def st_live_drift(spark, sf):
+    """The live windows whose step stands out."""
+    return live_windows(spark, sf).where(F.abs("z") > 1.5).select("key", "win", F.round("z", 4).alias("z"))
+
+
+@query("""WITH o AS (SELECT *, (row_number() OVER (ORDER BY o_orderkey) - 1) * 5 // (SELECT count(*) FROM orders) AS batch FROM orders), m AS (SELECT batch, max(o_orderdate) AS top FROM o GROUP BY batch),
+ w AS (SELECT batch, max(top) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - INTERVAL 1000 DAY AS mark FROM m) SELECT batch::BIGINT AS batch, count(*) AS n, count(*) FILTER (WHERE o_orderdate <= mark) AS dropped, round(100.0 * count(*) FILTER (WHERE o_orderdate <= mark) / count(*), 3)::DOUBLE AS pct_dropped FROM o JOIN w USING (batch) GROUP BY batch""")
+def st_watermark(spark, sf):
+    """What each batch of a stream of orders loses as later than a thousand days behind the latest. Spark lets a batch's own
+    watermark, and the one before, pass before rows are late: the mark is that of two batches ago."""
+    at, orders, name = shelf(spark), table(spark, sf, "orders"), f"losses_{uuid.uuid4().hex}"
+    streams.in_arrival_order(orders, ["o_orderkey"], f"{at}/in", 5)
+    live = streams.on_time(streams.event_stream(spark, f"{at}/in", orders.schema), "o_orderkey", "o_orderdate", "1000 days")
+    with streams.Losses(spark, name) as losses:
+        running = live.writeStream.queryName(name).outputMode("append").option("checkpointLocation", f"{at}/c").trigger(availableNow=True).format("parquet").start(f"{at}/out")
+        running.awaitTermination()
+        return losses.table(running).select("batch", "n", "dropped", "pct_dropped")
 
 
 def is_folder(spark, path: str) -> bool:
@@ -831,18 +895,41 @@ def ml_inertia(spark, sf):
     return ml.inertia(items(spark, sf), ["l_quantity", "l_discount"], "flag")
 
 
-@query()
+def silhouette_sql(distance: str) -> str:
+    """The mean silhouette of the given labels by a distance of the vectors a.v and b.v."""
+    return f"""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT label, count(*) AS n FROM v GROUP BY label), d AS (SELECT a.vec_id, a.label, b.label AS other, sum({distance}) AS s FROM v a, v b GROUP BY ALL),
+ m AS (SELECT vec_id, d.label, other, CASE WHEN d.label = other THEN s / nullif(n - 1, 0) ELSE s / n END AS m FROM d JOIN n ON other = n.label), x AS (SELECT vec_id, max(m) FILTER (WHERE label = other) AS a, min(m) FILTER (WHERE label <> other) AS b FROM m GROUP BY vec_id)
+SELECT round(avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)), 6) AS silhouette FROM x"""
+
+
+def given_clusters(spark, sf):
+    """Embeddings, not scaled, in the clusters that their labels name."""
+    return table(spark, sf, "embeddings").select(ml.array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), F.col("label").alias("prediction"))
+
+
+@query(silhouette_sql("list_distance(a.v, b.v)"))
 def ml_silhouette(spark, sf):
+    """How well the given labels part the vectors, by exact Euclidean distances of all of them."""
+    return ml.silhouettes(given_clusters(spark, sf)).agg(F.round(F.avg("silhouette"), 6).alias("silhouette"))
+
+
+@query(silhouette_sql("pow(list_distance(a.v, b.v), 2)"))
+def ml_silhouette_squared(spark, sf):
+    return spark.createDataFrame([(round(ml.silhouette(given_clusters(spark, sf)), 6),)], "silhouette double")
+
+
+@query()
+def ml_silhouette_fitted(spark, sf):
     df = vectors(spark, sf)
     df = graph.kept(df)
     model = ml.kmeans(df, 5, 1)
-    return spark.createDataFrame([(5, ml.silhouette(model.transform(df)))], "k long, silhouette double")
+    return spark.createDataFrame([(5, ml.silhouette(model.transform(df), distance="euclidean"))], "k long, silhouette double")
 
 
-@query()
+@query("SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY md5(o_orderkey::VARCHAR || '|42'), o_orderkey) <= (SELECT count(*) - ceil(0.3 * count(*)) FROM orders) THEN 'train' ELSE 'test' END AS split FROM orders")
 def ml_split(spark, sf):
-    t = ml.split(table(spark, sf, "orders"), ["o_orderkey"])
-    return relational.with_share(relational.count_by(t, ["split"]))
+    """Seven in ten orders to learn from, to the row."""
+    return ml.split(table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"])
 
 
 @query()
@@ -874,7 +961,7 @@ def fitted(spark, sf, name: str) -> DataFrame:
     """Measures of one of the models, on lines that it has not seen, for whether a line was sold in a late year."""
     t = items(spark, sf).select((F.col("year") >= 1998).cast("int").alias("y"), *MEASURES, "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     t = ml.assemble(ml.split(t, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]), MEASURES)
-    train = t.where("split = 'train'")
+    train = ml.require_classes(t.where("split = 'train'"))
     model = ml.classifiers(train.count())[name].fit(train)
     return ml.measures(model.transform(t.where("split = 'test'"))).withColumn("model", F.lit(name))
 
@@ -894,6 +981,12 @@ def ml_logreg(spark, sf):
     return fitted(spark, sf, "logistic")
 
 
+@query()
+def ml_compare(spark, sf):
+    """The measures of all three models, and which is best by F1."""
+    return ml.compared([fitted(spark, sf, name) for name in ("decision_tree", "logistic", "random_forest")])
+
+
 @query()
 def ml_ward(spark, sf):
     """All vectors, whole, in five clusters of Ward's method over centres."""
@@ -955,29 +1048,58 @@ def sink_json(spark, sf):
     return to_json(table(spark, sf, "customer"))
 
 
-FILE_SIZE = "(o_totalprice * 1000)::BIGINT"
-BLOCKS = f"(SELECT o_orderkey AS file, b AS block, b * 134217728 AS \"offset\", CASE WHEN least(134217728, {FILE_SIZE} - b * 134217728) > 0 THEN least(134217728, {FILE_SIZE} - b * 134217728) ELSE 134217728 END AS length, r AS replica, (b + r) % 4 AS node FROM orders, LATERAL (SELECT unnest(range(greatest(ceil({FILE_SIZE} / 134217728.0), 1)::BIGINT)) AS b), (SELECT unnest(range(3)) AS r))"
+OPEN = {"customer": "customer", "event": "events", "line": "lineitem"}
+
+
+def open_texts(spark, sf):
+    """Documents of three shapes in one table: customers with a list and an object, events with their own properties and
+    lines with numbers."""
+    one = lambda name, *fields: table(spark, sf, OPEN[name]).select(F.to_json(F.struct(F.lit(name).alias("kind"), *fields)).alias("json"))
+    customers = one("customer", F.col("c_custkey").alias("id"), F.array("c_mktsegment", "c_name").alias("tags"), F.struct(F.col("c_nationkey").alias("nation"), F.struct(F.col("c_name").alias("name")).alias("who")).alias("at"))
+    events = table(spark, sf, "events").select(F.concat(F.lit('{"kind":"event","id":"e'), F.col("event_id"), F.lit('","props":'), F.col("props"), F.lit("}")).alias("json"))
+    lines = one("line", F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("at"))
+    return customers.unionByName(events).unionByName(lines)
+
+
+@query("SELECT '$.kind' AS path, 'STRING' AS type, (SELECT count(*) FROM customer) + (SELECT count(*) FROM events) + (SELECT count(*) FROM lineitem) AS n, (SELECT count(*) FROM customer) + (SELECT count(*) FROM events) + (SELECT count(*) FROM lineitem) AS documents, 'customer' AS sample UNION ALL SELECT '$.id', 'BIGINT', count(*), count(*), min(id::VARCHAR) FROM (SELECT c_custkey AS id FROM customer UNION ALL SELECT l_orderkey FROM lineitem) UNION ALL SELECT '$.id', 'STRING', count(*), count(*), min('e' || event_id) FROM events UNION ALL SELECT '$.tags[]', 'STRING', 2 * count(*), count(*), min(least(c_mktsegment, c_name)) FROM customer UNION ALL SELECT '$.at.nation', 'BIGINT', count(*), count(*), min(c_nationkey::VARCHAR) FROM customer UNION ALL SELECT '$.at.who.name', 'STRING', count(*), count(*), min(c_name) FROM customer UNION ALL SELECT '$.props.k', 'BIGINT', count(*), count(*), min(json_extract_string(props, '$.k')) FROM events UNION ALL SELECT '$.at', 'BIGINT', count(*), count(*), min(l_linenumber::VARCHAR) FROM lineitem")
+def variant_leaves(spark, sf):
+    """Paths and types of all leaves of documents of differing shapes."""
+    return variants.leaf_summary(open_texts(spark, sf).select(variants.as_variant("json").alias("doc")), "doc")
 
 
-def order_blocks(spark, sf):
-    return storage.blocks(table(spark, sf, "orders"), "o_orderkey", F.round(F.col("o_totalprice") * 1000).cast("long"))
+@query("SELECT 'customer' AS kind, count(*) AS n, sum(c_nationkey)::BIGINT AS nations, NULL::BIGINT AS k, min(c_name) AS tag FROM customer UNION ALL SELECT 'event', count(*), NULL, sum(json_extract(props, '$.k')::BIGINT)::BIGINT, NULL FROM events UNION ALL SELECT 'line', count(*), NULL, NULL, NULL FROM lineitem")
+def variant_paths(spark, sf):
+    """Numbers and texts at paths that only some of the documents have."""
+    doc = open_texts(spark, sf).select(variants.as_variant("json").alias("doc"))
+    read = doc.select(variants.at("doc", "kind", "string").alias("kind"), variants.at("doc", "at.nation", "bigint").alias("nation"), variants.at("doc", "props.k", "bigint").alias("k"), variants.at("doc", "tags.1", "string").alias("tag"))
+    return read.groupBy("kind").agg(F.count("*").alias("n"), F.sum("nation").alias("nations"), F.sum("k").alias("k"), F.min("tag").alias("tag"))
 
 
-@query(f"SELECT * FROM {BLOCKS}")
-def hdfs_blocks(spark, sf):
-    return plain(order_blocks(spark, sf))
+def shelf(spark) -> str:
+    """A new folder beside the checkpoints, which all machines share."""
+    return f"{shared_folder(spark)}/store_{uuid.uuid4().hex}"
 
 
-@query(f"SELECT node::BIGINT AS node, count(*) AS blocks, sum(length)::BIGINT AS bytes, round(100.0 * sum(length) / (512000 * 1048576.0), 6)::DOUBLE AS used_pct FROM {BLOCKS} GROUP BY node")
-def hdfs_occupancy(spark, sf):
-    return plain(storage.occupancy(order_blocks(spark, sf)))
+@query("SELECT c_custkey, CASE WHEN c_nationkey < 5 THEN 'NEAR' ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer WHERE c_acctbal >= 0 ORDER BY c_custkey DESC")
+def doc_store(spark, sf):
+    """Customers as documents of a store: added in two parts, some changed, some dropped, the rest found, newest first."""
+    at, t = shelf(spark), table(spark, sf, "customer")
+    for part in (0, 1):
+        documents.append(t.where(F.col("c_custkey") % 2 == part), f"{at}/1")
+    documents.change(spark, f"{at}/1", f"{at}/2", t.schema, F.col("c_nationkey") < 5, {"c_mktsegment": F.lit("NEAR")})
+    documents.drop(spark, f"{at}/2", f"{at}/3", t.schema, F.col("c_acctbal") < 0)
+    return documents.find(spark, f"{at}/3", t.schema, order=["c_custkey"]).select("c_custkey", "c_mktsegment", "c_acctbal")
 
 
-@query("SELECT category, claims::BIGINT AS claims, with_evidence::BIGINT AS with_evidence FROM (VALUES ('counting', 3, 2), ('documents', 1, 0), ('graphs', 2, 0), ('joins', 1, 0), ('models', 3, 0), ('ordering', 1, 0), ('sketches', 1, 0), ('statistics', 3, 1), ('streams', 3, 1)) t(category, claims, with_evidence)")
-def concept_evidence(spark, sf):
-    """Which claims a small document of results bears out."""
-    found = spark.createDataFrame([("words", "12"), ("trend", "7"), ("outliers", "3"), ("windows", "60"), ("late", None)], "key string, value string")
-    return plain(docs.coverage(docs.evidence(registry.results_document(found, "key", "value"), registry.claims(spark))))
+@query("SELECT year(o_orderdate)::BIGINT AS year, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE year(o_orderdate) IN (SELECT year(o_orderdate) FROM orders WHERE o_orderpriority LIKE '1%' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 2) GROUP BY 1")
+def sink_tracks(spark, sf):
+    """Orders written by year; of the folders only those of the two years with the most urgent orders are read back."""
+    at = shelf(spark)
+    orders = table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
+    save_items(orders, at, by="year", columns=["o_orderkey", "o_totalprice", "o_orderpriority", "year"])
+    urgent = relational.count_by(orders.where(F.col("o_orderpriority").startswith("1")), ["year"])
+    back = read_items(spark, at, by="year", values=relational.top_n(urgent, "n", 2, ["year"]), columns=["o_totalprice"])
+    return plain(back.groupBy("year").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")))
 
 
 @query()

@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def open_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(doc): the documents of a folder of JSON lines as VARIANT, whatever their shapes; a line that isn't JSON is null."""
+    return spark.read.text(path).select(F.try_parse_json("value").alias("doc"))
+
+
+def append_open(df: DataFrame, doc: str, path: str) -> None:
+    """Add VARIANT documents to such a folder."""
+    df.where(F.col(doc).isNotNull()).select(F.to_json(doc)).write.mode("append").text(path)
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Columns of the item table that everything else defaults to.
+#: Columns of the item table that everything else defaults to.
 META = ("id", "name", "artists", "year", "release_date")
 FEATURES = ("danceability", "energy", "valence", "tempo", "acousticness", "instrumentalness", "loudness", "speechiness")
 #: All as text: what can't be read as a number is dropped by cleaning, where it can be counted.
@@ -79,7 +79,37 @@ def finite(c: Column) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
 
 
+def has_reals(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(has_reals(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return has_reals(kind.elementType)
+    return has_reals(kind.valueType) if isinstance(kind, T.MapType) else isinstance(kind, (T.DoubleType, T.FloatType))
+
+
+def finite_within(c: Column, kind: T.DataType) -> Column:
+    """c with null for every NaN and infinite number at any depth of structs, lists and values of maps."""
+    if not has_reals(kind):
+        return c
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[finite_within(c.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: finite_within(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, x: finite_within(x, kind.valueType))
+    return finite(c)
+
+
 def to_json(df: DataFrame) -> DataFrame:
-    """Each row as one JSON text in the column json; NaN and infinite numbers are null."""
-    clean = [finite(F.col(f.name)).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name) for f in df.schema.fields]
+    """Each row as one JSON text in the column json; NaN and infinite numbers are null, however deep they lie."""
+    clean = [finite_within(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields]
     return df.select(F.to_json(F.struct(*clean), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def read_items(spark: SparkSession, path: str, *, by: str = "decade", values: DataFrame | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Items of a partitioned store whose partition is among the values (a table with the column `by`): the values are
+    found first, and only their folders are read. Without values, all."""
+    items = spark.read.parquet(path)
+    items = items.select(*dict.fromkeys([*columns, by])) if columns else items
+    # a broadcast of at most as many rows as there are folders: Spark prunes by what it holds
+    return items if values is None else items.join(F.broadcast(values.select(by).distinct()), by)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from ..functions.ordering import numbered
+from ..functions.written import kept
 
 #: The features that a stream follows.
 STREAM_FEATURES = ["energy", "acousticness", "valence", "danceability"]
@@ -23,6 +27,61 @@ def event_stream(spark: SparkSession, folder: str, schema, files_per_trigger: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
+def in_arrival_order(df: DataFrame, order: list[str], path: str, parts: int) -> None:
+    """Write df to a folder as so many files, one after the other, in a total order of its rows: a stream that takes a file
+    at a time then sees them in that order."""
+    placed = numbered(df, order, "_place")
+    total = F.broadcast(placed.agg(F.count("*").alias("_n")))
+    dealt = kept(placed.join(total, F.lit(True)).withColumn("_part", F.expr(f"(_place - 1) * {parts} div _n")))
+    for part in range(parts):
+        dealt.where(F.col("_part") == part).select(*df.columns).coalesce(1).write.mode("append").parquet(path)
+
+
+def on_time(events: DataFrame, id_col: str, ts: str, lag: str) -> DataFrame:
+    """The events of a stream that come no later than the lag behind the latest, each id once within it. What is later is
+    dropped here, row by row, so that it can be counted."""
+    timed = events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", lag)
+    return timed.dropDuplicatesWithinWatermark([id_col]).drop("_ts")
+
+
+class Losses(StreamingQueryListener):
+    """While it lasts, what each batch of a named stream took in and dropped as too late. Spark tells of a batch when it is
+    done; table() waits for the last one of a query that has ended."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.seen = spark, name, {}
+
+    def __enter__(self) -> Losses:
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.spark.streams.removeListener(self)
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        if p.name == self.name:
+            dropped = sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+            self.seen[p.batchId] = (p.batchId, p.numInputRows, dropped, float(p.processedRowsPerSecond or 0.0), (p.eventTime or {}).get("watermark"))
+
+    def table(self, query: StreamingQuery, patience: float = 30.0) -> DataFrame:
+        """(batch, n, dropped, pct_dropped, rows_per_second, watermark): a row for each batch that took in rows."""
+        last, until = query.lastProgress, time.monotonic() + patience
+        while last is not None and last["batchId"] not in self.seen and time.monotonic() < until:
+            time.sleep(0.05)
+        rows = self.spark.createDataFrame(sorted(x for x in self.seen.values() if x[1]), "batch long, n long, dropped long, rows_per_second double, watermark string")
+        return rows.withColumn("pct_dropped", F.round(100.0 * F.col("dropped") / F.col("n"), 3))
+
+
 def windowed_counts(events: DataFrame, *, ts: str = "ts", keys: tuple[str, ...] = ("event_type",), value: str = "value", length: str = "1 day", lag: str = "1 day", slide: str | None = None) -> DataFrame:
     """Counts and sums by window and keys; the same query on a stream, with a watermark, and on a table."""
     timed = events.withColumn("_ts", F.col(ts).cast("timestamp"))
