@@ -165,17 +165,40 @@ def test_marks_are_evidence_and_not_verdicts(page, want):
     assert html_extract.main_text(html).split("\n\n") == want
 
 
-def test_extraction_takes_time_in_proportion():
+@pytest.mark.parametrize("page", [lambda n: "<div>" * n + "x" + "<i><p>y</b>" * n, lambda n: "<div class=footer><p>x</p>" * n, lambda n: "<aside>" * n + "x" * 90 + "</aside><p>y" * n])
+def test_extraction_takes_time_in_proportion(page):
     import time
 
     took = []
     for n in (4000, 16000):
         began = time.process_time()
-        html_extract.main_text("<div>" * n + "x" + "<i><p>y</b>" * n)
+        html_extract.main_text(page(n))
         took.append(time.process_time() - began)
     assert took[1] < 10 * took[0] + 0.5
 
 
+SIDE = "<p>The paragraph number {} of what stands beside the story, for the reader of the page as it was in the paper.</p>"
+BESIDE = ["<div class=newsletter>{}</div>", "<div class=sidebar>{}</div>", "<aside>{}</aside>", "<footer>{}</footer>", "<div class='footer wide'>{}</div>", "<div class='box related'>{}</div>"]
+
+
+@pytest.mark.parametrize("beside", BESIDE)
+@pytest.mark.parametrize("n", [1, 5, 6, 30])
+@pytest.mark.parametrize("story", ["<article>{}</article>", "<div class=content>{}</div>", "{}"])
+@pytest.mark.parametrize("words", [["The only paragraph of the story, and it is for the reader to read and to keep for years."], ["Thtiedly erly anwhan."], ["One.", "Two."]])
+def test_short_stories_beside_large_apparatus(beside, n, story, words):
+    large = beside.format("".join(SIDE.format(k) for k in range(n)))
+    page = story.format("".join(f"<p>{w}</p>" for w in words))
+    for html in (page + large, large + page):
+        assert html_extract.main_text(html) == "\n\n".join(words)
+
+
+def test_short_blocks_and_other_scripts():
+    assert html_extract.main_text("<nav><a href=x>主页</a></nav><div><p>今天天气很好。</p><p>我们去公园散步。</p></div><footer>版权所有</footer>") == "今天天气很好。\n\n我们去公园散步。"
+    assert html_extract.main_text("<a href=x>Home</a><p>Short.</p><p>Shorter.</p>") == "Short.\n\nShorter."
+    wrapped = "<p>Home</p><div class='main share-enabled'><h1>A title</h1>" + "".join(SIDE.format(k) for k in range(5)) + "</div><div class=footer>Bye</div>"
+    assert html_extract.main_text(wrapped).count("paragraph") == 5
+
+
 def strip_tags(html):
     """The text of an article element by patterns alone, block by block."""
     import html as entities
@@ -189,7 +212,7 @@ def test_extraction_equals_patterns_on_plain_pages(spark):
     from trackloom.llm import queries
     from trackloom.llm.common import read_table
 
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     want = {r.page_id: strip_tags(r.html) for r in read_table(spark, sf, "pages").collect()}
     assert {r.page_id: r.text for r in queries.op3_html_extraction(spark, sf).collect()} == want
 

@@ -2,8 +2,8 @@
 
 A page is read into blocks of text. The first pass decides each block by its share of linked characters, its length and
 its share of stop words; short blocks stay undecided. The second pass gives an undecided block the label of its nearest
-decided neighbours. Elements and names that mark a page's apparatus count against a block, unless they hold most of what
-the first pass finds good; an article element counts for a block only if it holds most of it.
+decided neighbours. Elements and names that mark a page's apparatus count against a block, but for a wrapper that holds
+the page; an article element is the article, unless it is outweighed by a story beside it.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from .common import bound_batches
 #: Elements whose text is never shown as text, and those that hold a page's apparatus.
 HIDDEN = frozenset("head script style noscript template iframe object svg math canvas audio video map select option datalist textarea button".split())
 APPARATUS = frozenset("nav footer aside form dialog menu".split())
+#: Of those, what is never a wrapper of the article as long as any text stands outside.
+NEVER = frozenset("nav footer aside dialog menu header".split())
 MAIN = frozenset("article main".split())
 BLOCKS = frozenset("html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,9 +42,9 @@ STOP_WORDS = frozenset(
 #: text; share under which a long block outside the article is no prose.
 LINKED, LONG, STOPPED, PROSE = 0.5, 70, 0.08, 0.02
 GOOD, BAD, OPEN = "good", "bad", "open"
-#: Share of the good text that an article must hold to count, and under which it is another story's card; how many times the kept text a marked element must hold of
-#: good text for its mark not to count; how many marked elements may be let off so.
-MOST, CARD, TIMES, LET_OFF = 0.5, 0.3, 4, 8
+#: Share of the good text under which an article element may be another story's card; how many times the text outside a
+#: wrapper must hold; how many wrappers may be within each other.
+CARD, TIMES, LET_OFF = 0.3, 4, 8
 #: Names of readers' parts, which may be longer than the article.
 READERS = re.compile(r"comment|disqus|respond|repl(?:y|ies)", re.I)
 
@@ -52,8 +54,20 @@ class Block:
     text: str
     linked: float
     in_main: bool
-    #: Numbers of the marked elements around it.
-    marks: tuple[int, ...]
+    #: Number of the innermost marked element around it, or -1.
+    mark: int
+    head: bool
+
+
+@dataclass
+class Mark:
+    """A marked element: the marked element around it or -1; whether it is never a wrapper; whether one of its names is
+    exactly one of apparatus; whether it is a readers' part."""
+
+    around: int
+    never: bool
+    exact: bool
+    readers: bool
 
 
 class Reader(HTMLParser):
@@ -65,16 +79,16 @@ class Reader(HTMLParser):
         #: Open elements by name and mark: the number of a marked element, or -1.
         self.open: list[tuple[str, int]] = []
         self.names: Counter[str] = Counter()
-        self.hidden = self.main = self.links = self.marked = 0
-        self.marks: list[int] = []
-        self.readers: set[int] = set()
+        self.hidden = self.main = self.links = 0
+        self.within: list[int] = []
+        self.marks: list[Mark] = []
         self.parts: list[tuple[str, bool]] = []
 
     def end_block(self) -> None:
         text = " ".join("".join(t for t, _ in self.parts).split())
         if text:
             linked = sum(len("".join(t.split())) for t, on in self.parts if on)
-            self.blocks.append(Block(text, linked / max(1, len(text.replace(" ", ""))), self.main > 0, tuple(self.marks)))
+            self.blocks.append(Block(text, linked / max(1, len(text.replace(" ", ""))), self.main > 0, self.within[-1] if self.within else -1, self.names["h1"] > 0))
         self.parts = []
 
     def count(self, tag: str, mark: int, by: int) -> None:
@@ -83,7 +97,7 @@ class Reader(HTMLParser):
         self.main += by * (tag in MAIN)
         self.links += by * (tag == "a")
         if mark >= 0:
-            self.marks.append(mark) if by > 0 else self.marks.remove(mark)
+            self.within.append(mark) if by > 0 else self.within.pop()  # elements close from the inside
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -98,9 +112,9 @@ class Reader(HTMLParser):
             names = [v for k, v in attrs if k in ("class", "id", "role") and v]
             marked = marked or any(NAMED.search(v) or not self.main and HEADING.search(v) for v in names)
             if marked:
-                mark, self.marked = self.marked, self.marked + 1
-                if any(READERS.search(v) for v in names):
-                    self.readers.add(mark)
+                mark = len(self.marks)
+                exact = any(NAMED.fullmatch(x) for v in names for x in v.split())
+                self.marks.append(Mark(self.within[-1] if self.within else -1, tag in NEVER, exact, any(READERS.search(v) for v in names)))
         if tag == "p" or tag in ("li", "dd", "dt", "td", "th", "tr", "option"):
             self.close_implied(tag)
         self.open.append((tag, mark))
@@ -202,35 +216,57 @@ def long_text(blocks: list[Block]) -> int:
     return sum(len(b.text) for b in blocks)
 
 
-def kept_blocks(blocks: list[Block], readers: set[int]) -> list[Block]:
-    """The blocks of the article."""
-    known = any(len(b.text) >= LONG and stopped(b.text)[1] >= STOPPED for b in blocks)
-    labels = [first_pass(b, known) for b in blocks]
-    good = [b for b, label in zip(blocks, labels) if label == GOOD]
-    free: set[int] = set()  # marks that don't count
+def plain_marks(blocks: list[Block], labels: list[str], marks: list[Mark]) -> list[bool]:
+    """For each marked element whether it, and all around it, are wrappers of the page and not its apparatus.
+
+    Where no text stands outside of marked elements, the one with the most good text is a wrapper, and again within it.
+    Where some does, only an element that holds many times as much of it can be one, if it has the page's heading or its
+    names only remind of apparatus (as no-sidebar does), and never a foot, a menu or an aside."""
+    wrapper, plain = [False] * len(marks), [False] * len(marks)
     for _ in range(LET_OFF):
-        plain = [b for b in good if free.issuperset(b.marks)]
-        sizes: Counter[int] = Counter()
-        for b in good:
-            for mark in b.marks:
-                sizes[mark] += len(b.text) * (mark not in free and mark not in readers)
-        widest = max(sizes, key=lambda m: (sizes[m], -m), default=-1)
-        if widest < 0 or sizes[widest] <= TIMES * long_text(plain):
+        size, head = [0] * len(marks), [False] * len(marks)
+        outside = 0
+        for b, label in zip(blocks, labels, strict=True):
+            if b.mark < 0 or plain[b.mark]:
+                outside += len(b.text) * (b.linked <= LINKED)
+            if b.mark >= 0:
+                size[b.mark] += len(b.text) * (label == GOOD)
+                head[b.mark] |= b.head
+        for m in range(len(marks) - 1, -1, -1):  # what lies within has the higher number
+            if (around := marks[m].around) >= 0:
+                size[around] += size[m]
+                head[around] |= head[m]
+        fit = [m for m, x in enumerate(marks) if not wrapper[m] and size[m] and not x.readers and (not outside or not x.never and size[m] > TIMES * outside and (head[m] or not x.exact))]
+        if not fit:
             break
-        free.add(widest)
-    # an article has to hold most of the good text that isn't apparatus
-    plain = [b for b in blocks if free.issuperset(b.marks)]
-    found = [b for b, label in zip(blocks, labels) if label == GOOD and free.issuperset(b.marks)]
-    held = long_text([b for b in found if b.in_main])
-    if any(b.in_main for b in plain) and held >= MOST * long_text(found):
-        blocks = [b for b in blocks if b.in_main]
-    else:
-        if held < CARD * long_text(found):  # a card of another story beside this one
+        wrapper[max(fit, key=lambda m: (size[m], -m))] = True
+        for m, x in enumerate(marks):
+            plain[m] = wrapper[m] and (x.around < 0 or plain[x.around])
+    return plain
+
+
+def kept_blocks(blocks: list[Block], marks: list[Mark]) -> list[Block]:
+    """The blocks of the article."""
+    known = any(len(b.text) >= LONG and stopped(b.text)[1] >= STOPPED for b in blocks)
+    wrapped = plain_marks(blocks, [first_pass(b, known) for b in blocks], marks)
+    plain = lambda b: b.mark < 0 or wrapped[b.mark]
+    inside = [b for b in blocks if b.in_main and plain(b)]
+    beside = [b for b in blocks if not b.in_main and plain(b)]
+    if inside:
+        story = [b for b in beside if first_pass(b, known) == GOOD]
+        held, other = long_text(inside), long_text(story)
+        # a story that is longer by far, and of longer paragraphs or with the page's heading: the article element is a card
+        if held < CARD * (held + other) and (max(len(b.text) for b in story) > held or any(b.head for b in beside) and not any(b.head for b in inside)):
             blocks = [b for b in blocks if not b.in_main]
+        else:
+            blocks = [b for b in blocks if b.in_main]
+    else:
         for b in blocks:
             b.in_main = False
-    labels = [first_pass(b, known) if free.issuperset(b.marks) else BAD for b in blocks]
-    return [b for b, stays in zip(blocks, second_pass(blocks, labels)) if stays]
+    kept = second_pass(blocks, [first_pass(b, known) if plain(b) else BAD for b in blocks])
+    if not any(kept):  # too little to decide by: all that is neither linked nor apparatus
+        kept = [plain(b) and b.linked <= LINKED for b in blocks]
+    return [b for b, stays in zip(blocks, kept, strict=True) if stays]
 
 
 def main_text(html: str | None) -> str:
@@ -239,7 +275,7 @@ def main_text(html: str | None) -> str:
         return ""
     reader = Reader()
     reader.feed(html)
-    return "\n\n".join(b.text for b in kept_blocks(reader.finish(), reader.readers))
+    return "\n\n".join(b.text for b in kept_blocks(reader.finish(), reader.marks))
 
 
 def extract(pages: DataFrame, *, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
