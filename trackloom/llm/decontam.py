@@ -8,7 +8,7 @@ length; those within RADIUS bits of the item's are verified by exact weighted-sh
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SHINGLE_WORDS, SIMILARITY, checkpointed
@@ -94,9 +94,12 @@ def benchmark_items(benchmark: DataFrame, item_col: str, text_col: str) -> DataF
     return checkpointed(rows.withColumn("item_weight", total_weight(F.col("item_shingles")))).withColumn("item", F.monotonically_increasing_id())
 
 
-def shared_shingles(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """(id, item, size, k, item_weight, hits): where documents hold shingles of an item, and their weights, for those that
-    hold enough of it somewhere."""
+def likely_windows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """(id, item, size, low, high): where in documents windows of an item's size begin whose shared shingles weigh enough.
+
+    A shared shingle counts for the windows that begin up to the item's length before it: its weight comes in at the first
+    of them and goes out behind the last, so one pass of running sums over these places, in order, weighs all windows of a
+    document, however often a shingle repeats in it."""
     table = items.select("item", "size", "k", "item_weight", F.explode("item_shingles").alias("s")).select("item", "size", "k", "item_weight", F.col("s.h").alias("h"), F.col("s.w").alias("w"))
     table = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
     sizes = sorted(r.k for r in items.select("k").distinct().collect()) or [SHINGLE_WORDS]  # five at most
@@ -106,23 +109,23 @@ def shared_shingles(docs: DataFrame, items: DataFrame, id_col: str, text_col: st
     else:
         told = F.flatten(F.array(*[run_structs(F.col("words"), k) for k in sizes]))
         runs = runs.select("id", F.explode(told).alias("r")).select("id", "r.*")
-    hits = runs.join(table, ["h", "k"]).groupBy("id", "item").agg(F.collect_set(F.struct("at", "w")).alias("hits"), F.first("size").alias("size"), F.first("k").alias("k"), F.first("item_weight").alias("item_weight"))
-    return hits.where(F.aggregate("hits", F.lit(0).cast("long"), lambda acc, s: acc + s["w"]) >= similarity * F.col("item_weight") - 1e-9)
-
-
-def windows(docs: DataFrame, shared: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """(id, item, start, words): all windows of an item's size whose shared shingles weigh enough, in each document of a row
-    of shared. A document that is shorter than the item is one window."""
-    many = shared.agg(F.sum(F.size("hits"))).first()[0] or 0
-    by_id = shared.groupBy("id").agg(F.collect_list(F.struct("item", "size", "k", "item_weight", "hits")).alias("shared"))  # at most one for each item that the document holds
+    comes = F.struct((F.col("at") - F.col("size") + F.col("k")).alias("low"), F.col("w").cast("long").alias("by"))
+    goes = F.struct((F.col("at") + 1).alias("low"), (-F.col("w")).cast("long").alias("by"))
+    steps = runs.join(table, ["h", "k"]).select("id", "item", "size", "item_weight", F.explode(F.array(comes, goes)).alias("x"))
+    sums = steps.groupBy("id", "item", "size", "item_weight", F.col("x.low").alias("low")).agg(F.sum("x.by").alias("by"))
+    order = Window.partitionBy("id", "item").orderBy("low")
+    held = sums.withColumn("held", F.sum("by").over(order)).withColumn("high", F.lead("low").over(order) - 1)
+    return held.where((F.col("held") >= similarity * F.col("item_weight") - 1e-9) & F.col("high").isNotNull()).select("id", "item", "size", "low", "high")
+
+
+def windows(docs: DataFrame, likely: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, item, start, words): the likely windows of each document. One that is shorter than the item is one window."""
+    many = likely.count()
+    by_id = likely.groupBy("id").agg(F.collect_list(F.struct("item", "size", "low", "high")).alias("likely"))  # as many as the document's places at the most, for each item that it holds
     whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(by_id) if many <= BROADCAST_ROWS else by_id, "id")
-    laid = whole.select("id", words_of(F.col("text")).alias("all"), F.explode("shared").alias("s")).select("id", "all", "s.*")
-    last = F.greatest(F.size("all") - F.col("size"), F.lit(0))
-    reach = F.col("size") - F.col("k")
-    starts = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(F.least(F.greatest(x["at"] - reach, F.lit(0)), last), F.least(x["at"], last)))))
-    own = lambda s: F.aggregate(F.filter("hits", lambda x: x["at"].between(s, s + reach)), F.lit(0).cast("long"), lambda acc, x: acc + x["w"])
-    enough = F.filter(starts, lambda s: own(s) >= similarity * F.col("item_weight") - 1e-9)
-    laid = laid.select("id", "all", "size", "item", F.explode(enough).alias("start"))
+    laid = whole.select("id", words_of(F.col("text")).alias("all"), "likely").withColumn("s", F.explode("likely")).select("id", "all", "s.*")
+    first, last = F.greatest("low", F.lit(0)), F.least(F.col("high"), F.greatest(F.size("all") - F.col("size"), F.lit(0)))
+    laid = laid.where(first <= last).select("id", "all", "size", "item", F.explode(F.sequence(first, last)).alias("start"))
     return laid.select("id", "item", "start", F.slice("all", F.col("start") + 1, F.col("size")).alias("words"))
 
 
@@ -134,11 +137,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     nothing; rows of equal id count as one document, rows of equal item_id as one item; an empty table on either side
     gives no rows. Other columns of both tables aren't read, so their names may clash."""
     items = benchmark_items(benchmark, item_col, item_text_col)
-    shared = checkpointed(shared_shingles(docs, items, id_col, text_col, similarity))
+    likely = checkpointed(likely_windows(docs, items, id_col, text_col, similarity))
     few = items.agg(F.sum(F.size("item_shingles"))).first()[0] or 0
     known = items.select("item", "item_id", "size", "item_shingles", "item_weight", "item_print")
     known = F.broadcast(known) if few <= BROADCAST_ROWS else known
-    laid = windows(docs, shared, id_col, text_col, similarity).dropDuplicates(["id", "item", "start", "words"]).withColumn("print", fingerprint(F.col("words")))
+    laid = windows(docs, likely, id_col, text_col).dropDuplicates(["id", "item", "start", "words"]).withColumn("print", fingerprint(F.col("words")))
     near = laid.join(known, "item").where(F.coalesce(distance(F.col("print"), F.col("item_print")) <= radius, F.lit(True)))
     both = near.withColumn("shingles", weighted_shingles(F.col("words")))
     common = total_weight(F.array_intersect("shingles", "item_shingles"))
