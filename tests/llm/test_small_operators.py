@@ -129,6 +129,24 @@ text that is long enough to be good by itself.<p>Short.</p><div class="ad">Buy t
 <aside><p>Related: the other story of the day that you may like as well.</p></aside><footer>&copy; 2024</footer></body></html>"""
 
 
+def test_a_text_that_is_too_large_is_passed_over(spark):
+    good = ["the cat and the dog went to the river on a fine day number %d" % k for k in range(40)]
+    bad = ["buy *** now $$$ click ### here %%%%%% win |||| cash &&&& deal {}".format(k) for k in range(40)]
+    texts = [*good, *bad]
+    labels = spark.createDataFrame([(k, int(k < 40)) for k in range(80)], "doc_id long, quality int")
+    first = labels.orderBy(F.xxhash64("doc_id")).first().doc_id
+    texts[first] *= 2000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert np.count_nonzero(quality.train(docs, labels, sample_bytes=50_000).weights) > 100
+
+
+def test_own_columns_stay(spark, odd):
+    docs = odd.withColumn("kept", F.lit("mine")).withColumn("n_words", F.lit(-1))
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    out = quality.keep_good(docs, labels)
+    assert out.columns == docs.columns and all(r.kept == "mine" and r.n_words == -1 for r in out.collect())
+
+
 def test_extraction_of_a_page():
     assert html_extract.main_text(PAGE).split("\n\n") == ["A title", "The first paragraph of the story, with & and é and bold text that is long enough to be good by itself.", "Short.", "The last paragraph of the story, which is as long as the first one and has the words."]
 

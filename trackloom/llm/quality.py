@@ -169,10 +169,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     sizes = texts.groupBy("id").agg(F.max(F.coalesce(F.octet_length("t"), F.lit(0))).alias("size"), F.xxhash64("id").alias("h")).collect()
     ids, left = [], sample_bytes
     for r in sorted(sizes, key=lambda r: (r.h, r.id)):
-        left -= r.size
-        if left < 0:
-            break
-        ids.append(r.id)
+        if r.size <= left:  # a text that is too large is passed over, and the next are tried
+            left -= r.size
+            ids.append(r.id)
     chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], f"id {picked.schema['id'].dataType.simpleString()}")
 
     def run(batches):
@@ -218,6 +217,8 @@ def score_quality(docs: DataFrame, classifier: Classifier, *, text_col: str = "t
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the rules and the classifier keep, with their own columns."""
-    scored = score_quality(docs, train(docs, labels))
-    return scored.where("kept").select(*[c for c in docs.columns if c in scored.columns])
+    """The documents that the rules and the classifier keep, with their own columns, whatever their names. A null text
+    fails; repeated rows and rows without an id are judged each; an empty table gives no rows."""
+    own = {c: f"_own_{k}" for k, c in enumerate(docs.columns)}
+    scored = score_quality(docs.withColumnsRenamed(own), train(docs, labels), text_col=own["text"])
+    return scored.where("kept").select(*[F.col(new).alias(c) for c, new in own.items()])
