@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import bound_batches
 
 #: Most documents of each language and letter runs of each of them that the network learns from.
-SAMPLE_DOCS, SAMPLE_RUNS = 250, 300
+SAMPLE_DOCS, SAMPLE_RUNS, SAMPLE_CHARS = 250, 300, 20_000
 #: Longest run that is read in one go; longer ones are cut.
 RUN_BYTES = 48
 HIDDEN, EMBED = 16, 12
@@ -151,8 +151,9 @@ def sample(known: DataFrame, sample_docs: int) -> DataFrame:
     return first.withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy("h", "t"))).where(F.col("k") <= sample_docs).select("y", "t")
 
 
-def train(docs: DataFrame, *, text_col: str = "text", label_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_runs: int = SAMPLE_RUNS) -> Model:
-    """Learn from at most sample_docs texts of each language, picked by their hashes, and sample_runs letter runs of each.
+def train(docs: DataFrame, *, text_col: str = "text", label_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_runs: int = SAMPLE_RUNS, sample_chars: int = SAMPLE_CHARS) -> Model:
+    """Learn from at most sample_docs texts of each language, picked by their hashes, and sample_runs letter runs of each, up
+    to sample_chars characters (a letter run may be as long as its text).
     A run that several languages use has their shares as its target. Null texts and labels teach nothing."""
     known = docs.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(label_col).alias("y"), F.col(text_col).alias("t"))
 
@@ -162,7 +163,7 @@ def train(docs: DataFrame, *, text_col: str = "text", label_col: str = "lang", s
             for text in batch.column(1).to_pylist():
                 runs = runs_of(text)
                 step = max(1, len(runs) // sample_runs)
-                out.append(" ".join(runs[::step][:sample_runs]))
+                out.append(" ".join(runs[::step][:sample_runs])[:sample_chars])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["y", "runs"])
 
     per_doc = sample(known, sample_docs).mapInArrow(run, "y string, runs string").collect()  # sample_docs rows a language at most
