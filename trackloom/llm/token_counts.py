@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, tokenizer_path
+from .common import Remembered, bound_batches, tokenizer_path
 
 #: Documents, characters of each and entries from which the table of frequent pre-tokens is drawn. They set the speed
 #: of the count and never its result: whatever the table lacks is encoded.
@@ -64,7 +64,8 @@ class PieceLengths(dict):
             n = len(self.model.encode(key)) - len(self.model.encode("\n"))
         else:
             n = len(self.model.encode(key))
-        self[key] = n
+        if len(key) <= Remembered.LONGEST:
+            self[key] = n
         return n
 
     def count(self, text: str | None) -> int:
