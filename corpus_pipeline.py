@@ -10,30 +10,33 @@ from trackloom.llm.common import checkpointed, read_table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules and the classifier keep."""
+    """The documents that the rules and the classifier keep: null and empty texts go; repeated rows are judged each."""
     return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: that with the smallest id."""
+    """One document of each class of near copies: that with the smallest id. Texts without words, null ones too, are copies
+    of none; rows of equal id and rows without an id stay as the operator's own statement says."""
     return minhash.keep_one(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, rid of the passages that stand elsewhere before; n_chars is the new length where docs have it."""
-    out = substring_dedup.dedup(docs)
+    """Every document, rid of the passages that stand elsewhere before; n_chars is the new length where docs have it. A null
+    text stays null; rows without an id lose what repeats within them; other columns stay, whatever their names."""
+    own = {c: f"_own_{k}" for k, c in enumerate(docs.columns)}
+    out = substring_dedup.dedup(docs.withColumnsRenamed(own), id_col=own["doc_id"], text_col=own["text"])
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[c for c in docs.columns if c in out.columns])
+        out = out.withColumn(own["n_chars"], F.length(own["text"]).cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(new).alias(c) for c, new in own.items()])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no benchmark item."""
+    """The documents that hold no benchmark item. Null texts hold none; documents without an id stay."""
     return decontam.keep_clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents that are left, in windows."""
+    """The pieces of all documents that are left, in windows. A null text is empty, and one piece."""
     return packing.pack(docs)
 
 
@@ -50,7 +53,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces that the last stage packs, from all documents."""
+    """The pieces that the last stage packs, from all documents; of an empty table, none."""
     docs = read_table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
