@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import numbered, running_max
 from ..functions.text import STOP_WORDS, code_points, code_sum, credits, human_size, shortened, tokens
-from ..operators import bloom, clean, docs, graph, ml, relational, sketches, stats, text, variants, windows
+from ..operators import bloom, clean, dendrogram, docs, graph, ml, relational, sketches, stats, text, variants, windows
 from ..functions.written import shared_folder
 from ..sources import documents
 from ..sources.files import read_items, save_items, scan_table, to_json
@@ -993,12 +993,21 @@ def ml_ward(spark, sf):
     return ml.ward_all(graph.kept(vectors(spark, sf)), 5).select("vec_id", "cluster")
 
 
+def vector_tree(spark, sf):
+    """Ward's tree over all vectors, by all of their numbers."""
+    return dendrogram.ward_tree(table(spark, sf, "embeddings"), "vec_id", "embedding")
+
+
 @query()
 def win_leaf_position(spark, sf):
-    """Merges and leaves of Ward's tree over 120 vectors, by eight of their numbers: the drawing is for samples."""
-    names = [f"e{k}" for k in range(8)]
-    picked = clean.sample_exact(table(spark, sf, "embeddings"), 120, ["vec_id"])
-    return ml.ward_tree(picked.select("vec_id", *[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate(names)]), names, "vec_id")
+    """Merges and leaves of Ward's tree over all vectors, whole, with their places in the drawing."""
+    return dendrogram.drawn(vector_tree(spark, sf)).withColumn("height", F.round("height", 6))
+
+
+@query()
+def ml_ward_cut(spark, sf):
+    """All vectors in the five clusters that Ward's tree of all of them leaves when its highest merges are undone."""
+    return dendrogram.cut(vector_tree(spark, sf), 5).withColumnRenamed("leaf", "vec_id")
 
 
 @query()
@@ -1106,5 +1115,5 @@ def sink_tracks(spark, sf):
 def run_pipeline(spark, sf):
     """The stages of a whole run over the lines, each with its outcome."""
     t = items(spark, sf).select(F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("id"), F.col("l_returnflag").alias("name"), "year", *MEASURES)
-    config = pipeline.RunConfig(k=3, year_from=1990, year_to=2005, features=tuple(MEASURES), known=tuple(MEASURES))
+    config = pipeline.RunConfig(k=3, year_from=1990, year_to=2005, features=tuple(MEASURES), known=tuple(MEASURES), late_year=1998)
     return pipeline.run(t, config).summary(spark)
