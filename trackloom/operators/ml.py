@@ -300,20 +300,21 @@ def isolation_forest(df: DataFrame, features: list[str], id_cols: list[str], *,
 
 def ward_linkage(x: np.ndarray, weights: list[int] | None = None) -> list[tuple[int, int, float, int]]:
     """Merges (left, right, height, size) of Ward's method; rows are nodes 0 to n - 1 and the merge s makes node n + s. A row
-    may stand for several of them by its weight."""
-    centre, size = dict(enumerate(x)), dict(enumerate(weights or [1] * len(x)))
-    merges = []
-    while len(centre) > 1:
-        alive = sorted(centre)
-        c, s = np.array([centre[a] for a in alive]), np.array([size[a] for a in alive], float)
-        cost = ((c[:, None] - c[None]) ** 2).sum(2) * 2 * (s[:, None] * s[None]) / (s[:, None] + s[None])
-        np.fill_diagonal(cost, np.inf)
-        i, j = sorted(np.unravel_index(cost.argmin(), cost.shape))
-        a, b, new = alive[i], alive[j], len(x) + len(merges)
-        centre[new], size[new] = (centre[a] * size[a] + centre[b] * size[b]) / (size[a] + size[b]), size[a] + size[b]
-        merges.append((a, b, float(np.sqrt(cost[i, j])), size[new]))
-        for old in (a, b):
-            del centre[old]
+    may stand for several of them by its weight. Costs of all pairs are kept, and those of a merged cluster made anew."""
+    n, merges = len(x), []
+    centre, size, node = np.array(x, float), np.array(weights or [1] * len(x), float), np.arange(n)
+    alive = np.ones(n, bool)
+    to_all = lambda i: np.where(alive & (np.arange(n) != i), ((centre - centre[i]) ** 2).sum(1) * 2 * size[i] * size / (size[i] + size), np.inf)
+    cost = np.array([to_all(i) for i in range(n)])
+    for s in range(n - 1):
+        i, j = divmod(int(cost.argmin()), n)
+        a, b = sorted((int(node[i]), int(node[j])))
+        height = float(np.sqrt(cost[i, j]))
+        centre[i] = (centre[i] * size[i] + centre[j] * size[j]) / (size[i] + size[j])
+        size[i], node[i], alive[j] = size[i] + size[j], n + s, False
+        cost[j], cost[:, j] = np.inf, np.inf
+        cost[i] = cost[:, i] = to_all(i)
+        merges.append((a, b, height, int(size[i])))
     return merges
 
 
