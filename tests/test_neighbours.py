@@ -75,3 +75,27 @@ def test_standardised(spark):
     assert same(found(table(spark, range(60), m), 3, standardize=True), all_pairs(range(60), z, 3))
     edges = {(r.src, r.dst): r.weight for r in graph.knn_edges(table(spark, range(60), m), "id", "v", 3, standardize=True, exact=True).collect()}
     assert edges.keys() == {(min(i, j), max(i, j)) for i, near in all_pairs(range(60), z, 3).items() for j, _ in near}
+
+
+@pytest.mark.parametrize("how", [{"exact": True}, {"recall": 0.95}])
+def test_blocks_of_all_rows_meet_where_most_cells_are_visited(spark, monkeypatch, how):
+    """Vectors without clusters: no row is sent to every cell it visits, and few numbers are held at once."""
+    met = []
+    monkeypatch.setattr(neighbours.Cells, "meet_all", lambda self, *a, f=neighbours.Cells.meet_all: met.append(1) or f(self, *a))
+    monkeypatch.setattr(neighbours, "TILE", 128)
+    monkeypatch.setattr(neighbours, "MATRIX", 1 << 12)
+    m = np.random.default_rng(5).standard_normal((600, 32))
+    m[7] = 2 * m[3]
+    want, got = all_pairs(range(600), m, 4), found(table(spark, range(600), m), 4, cell_rows=10, **how)
+    assert met
+    if "exact" in how:
+        assert same(got, want)
+    else:
+        assert got.keys() == want.keys()
+        assert sum(len({x[0] for x in got[i]} & {x[0] for x in want[i]}) for i in want) >= 0.9 * 4 * 600
+
+
+def test_a_row_alone_in_its_cell_visits_others():
+    size = np.array([1, 1, 9])
+    marked = neighbours.closest(1, size, 4)(np.array([[0.1, 0.2, 0.3], [0.3, 0.2, 0.1]]), None)
+    assert marked.tolist() == [[True, True, True], [False, False, True]]
