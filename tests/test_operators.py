@@ -435,3 +435,9 @@ def test_a_failing_analysis_leaves_the_others():
     run = pipeline.Run()
     assert run.record("bad", lambda: 1 / 0) is None and run.record("good", lambda: 1) == 1
     assert [s.status for s in run.stages] == ["failed", "done"]
+
+
+def test_drift_queries_tell_of_all_steps_beyond_one_and_a_half():
+    from trackloom.plans.queries import SQL
+
+    assert "abs(z) > 1.5" in SQL["st_drift"] and SQL["st_drift_overlay"].count("abs(z) > 1.5") == 2
