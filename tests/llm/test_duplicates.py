@@ -100,6 +100,38 @@ def test_classes_equal_brute_force(spark, corpus):
     assert len(wrong) <= 2, wrong  # the bands miss a link at 0.8 less than once in a thousand
 
 
+@pytest.mark.parametrize("list_rows", [1000, 2])
+def test_crowds_lose_no_link(spark, monkeypatch, list_rows):
+    """Copies of a few families, all in crowded buckets, without longer bands or central texts: each link is found."""
+    monkeypatch.setattr(minhash, "CROWD", 1)
+    monkeypatch.setattr(minhash, "TIERS", minhash.TIERS[:1])
+    monkeypatch.setattr(minhash, "LIST_ROWS", list_rows)
+    rng = random.Random(31)
+    words = vocabulary(rng, 2000)
+    part = text_of(rng, words, 60)
+    families = [part + " " + text_of(rng, words, 40) for _ in range(12)]
+    rows = list(enumerate(edited(rng, words, families[k % 12], rng.randint(0, 2)) for k in range(160)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()} == brute_classes(rows)
+
+
+def test_prefixes_of_alike_texts_meet():
+    rng = np.random.default_rng(4)
+    h, df = np.unique(rng.integers(0, 1 << 63, 400, np.uint64)), rng.integers(2, 3000, 400)
+    weight, rank = (1 + np.log(5000 / df[: len(h)])).astype(np.float32), minhash.frequency_rank(df[: len(h)])
+    alike = 0
+    for _ in range(400):
+        a = rng.random(len(h)) < 0.6
+        b = a ^ (rng.random(len(h)) < rng.uniform(0, 0.2))
+        wa, wb = weight[a] * rng.integers(1, 3), weight[b]
+        if minhash.similarity_of(h[a], wa, h[b], wb) >= 0.8:
+            alike += 1
+            (one, left_a, all_a), (two, left_b, all_b) = minhash.prefix(h[a], wa, rank[a], 0.8), minhash.prefix(h[b], wb, rank[b], 0.8)
+            _, i, j = np.intersect1d(one, two, return_indices=True)
+            assert (np.minimum(left_a[i], left_b[j]) >= (0.8 - 1e-5) * max(all_a, all_b)).any()
+    assert alike > 30
+
+
 def test_a_template_of_many_documents_weighs_little(spark, monkeypatch):
     """Texts that share a template and differ in a part of their own: alike by counts, told apart by TF-IDF. The weights
     must be those of the whole table, though every batch sees a few documents only."""

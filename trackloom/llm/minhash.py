@@ -5,7 +5,8 @@ documents sends its distinct shingles, with how many of its documents hold them,
 bucket sends back their document frequencies. Samples are banded into bucket keys; texts that meet in a bucket are
 candidates, and exact weighted Jaccard similarity decides. Crowded buckets are dealt anew by longer bands, twice, and in
 all crowded buckets of longer bands every member meets a few central ones. Linked texts form classes, found by star
-contraction of the links.
+contraction of the links. What crowds may still hide is then looked up exactly: of the members of crowded buckets with more
+than one class, those of different classes meet that share a shingle of their prefixes, as all pairs of the similarity do.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .common import SHINGLE_WORDS, SIMILARITY, Shelf, Words, bound_batches, chec
 TIERS = [(12, 3), (24, 7), (96, 14)]
 #: Members from which a bucket is crowded, and central members that each member of one meets.
 CROWD, LEADERS = 24, 4
+#: Members of one class that share a list where classes meet.
+LIST_ROWS = 1_000
 #: Shingles of the documents that share a batch, and bytes of shingles that share a bucket where they are counted.
 BATCH_SHINGLES, BUCKET_BYTES = 1 << 20, 8 << 20
 #: Bytes of text in one file of the shingles, about.
@@ -158,8 +161,13 @@ def document_frequencies(table: DataFrame, shingles_: int) -> DataFrame:
     return parts.groupBy("part").applyInArrow(count, "batch long, part long, df binary")
 
 
+def frequency_rank(df: np.ndarray) -> np.ndarray:
+    """Document frequencies in steps of a quarter of their binary logarithm; 0 is that of one document."""
+    return np.minimum(4 * np.log2(df.astype(float)), 255).astype(np.uint8)
+
+
 def weighted(table: DataFrame, dfs: DataFrame, wanted: DataFrame, docs: int, files: int, make, schema: str) -> DataFrame:
-    """What make(ids, shingles, weights) gives for the wanted texts, (batch, id, one), batch by batch. The shingles stay
+    """What make(ids, shingles, weights, ranks of their frequencies) gives for the wanted texts, (batch, id, one), batch by batch. The shingles stay
     where they are: only document frequencies and ids are sent to them."""
     picks = wanted.groupBy("batch").agg(F.collect_list("id").alias("ids"), F.collect_list("one").alias("ones"))  # as many as a batch holds
     none = lambda t: F.lit(None).cast(t)
@@ -168,20 +176,23 @@ def weighted(table: DataFrame, dfs: DataFrame, wanted: DataFrame, docs: int, fil
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         told = told.sort_by("part")
         if not told.num_rows or told["part"][0].as_py() >= 0:  # no text of this batch is wanted
-            return make([], [], [])
+            return make([], [], [], [])
         left = set(zip(told["ids"][0].as_py(), told["ones"][0].as_py()))
         h = joined(texts["h"], "<u8")
         _, place = np.unique(h, return_inverse=True)
-        w = (1 + np.log(docs / joined(told["df"].slice(1), "<u8"))).astype(np.float32)[place] * joined(texts["c"], "<u4").astype(np.float32)
-        ids, vectors, weights, at = [], [], [], 0
+        df = joined(told["df"].slice(1), "<u8")
+        w = (1 + np.log(docs / df)).astype(np.float32)[place] * joined(texts["c"], "<u4").astype(np.float32)
+        rank = frequency_rank(df)[place]
+        ids, vectors, weights, ranks, at = [], [], [], [], 0
         for id_, one, n in zip(*(texts[k].to_pylist() for k in ("id", "one", "n"))):
             if (id_, one) in left:
                 left.remove((id_, one))
                 ids.append(id_)
                 vectors.append(h[at : at + n])
                 weights.append(w[at : at + n])
+                ranks.append(rank[at : at + n])
             at += n
-        return make(ids, vectors, weights)
+        return make(ids, vectors, weights, ranks)
 
     sides = table.select("batch", "id", "one", "n", "h", "c").groupBy("batch"), told.repartition(files, "batch").groupBy("batch")
     return sides[0].cogroup(sides[1]).applyInArrow(run, schema)
@@ -193,7 +204,7 @@ def keys_of(vectors, weights, tier: int) -> list[list[int]]:
     return [band_keys(sampler.sample(h, w), bands, rows).tolist() for h, w in zip(vectors, weights)]
 
 
-def band_maker(ids, vectors, weights) -> pa.Table:
+def band_maker(ids, vectors, weights, ranks) -> pa.Table:
     totals = [float(w.sum(dtype=float)) for w in weights]
     return pa.table({"id": pa.array(ids, pa.int64()), "total": pa.array(totals, pa.float64()), "keys": pa.array(keys_of(vectors, weights, 0) if ids else [], pa.list_(pa.int64()))})
 
@@ -207,8 +218,8 @@ def band_keys_of(tier: int):
     return run
 
 
-def vector_maker(ids, vectors, weights) -> pa.Table:
-    return pa.table({"id": pa.array(ids, pa.int64()), "h": pa.array([h.tobytes() for h in vectors], pa.binary()), "w": pa.array([w.tobytes() for w in weights], pa.binary())})
+def vector_maker(ids, vectors, weights, ranks) -> pa.Table:
+    return pa.table({"id": pa.array(ids, pa.int64())} | {name: pa.array([x.tobytes() for x in column], pa.binary()) for name, column in (("h", vectors), ("w", weights), ("r", ranks))})
 
 
 def small_pairs(members: DataFrame, least: float) -> DataFrame:
@@ -304,6 +315,76 @@ def verified(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "h_a", "w_a", "h_b", "w_b").mapInArrow(run, "a long, b long, similarity double").where(F.col("similarity") >= least)
 
 
+def prefix(h: np.ndarray, w: np.ndarray, rank: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """The shingles that a text's prefix holds, the weight from each of them on, and the whole weight. Shingles stand in one
+    order for all texts, the rare ones first. Two texts of the similarity share `least` of either weight, so the first
+    shingle that they share has that much from there on in both; shingles of one document are shared with none."""
+    order = np.lexsort((h, rank))
+    left = np.cumsum(w[order][::-1], dtype=float)[::-1]
+    inside = (left >= (least - 1e-5) * left[0]) & (rank[order] > 0)
+    return h[order][inside].view(np.int64), left[inside], float(left[0])
+
+
+def crowded_classes(crowded: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, class): the members of crowded buckets, (key, id), that hold texts of more than one class."""
+    told = checkpointed(crowded.join(classes, "id", "left").select("key", "id", F.coalesce("class", "id").alias("class")))
+    mixed = told.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
+    return told.join(mixed, "key", "left_semi").select("id", "class").distinct()
+
+
+def pairs_across(rest: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """All pairs (a < b) of texts of different classes that can have the similarity, of those in rest, (id, class): they share
+    a shingle of their prefixes, with enough weight from there on in both."""
+
+    def run(batches):
+        for batch in batches:
+            cols = [[] for _ in range(5)]
+            for id_, class_, *raw in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                shingle, left, total = prefix(*(np.frombuffer(x, kind) for x, kind in zip(raw, ("<u8", "<f4", "u1"))), least)
+                for col, x in zip(cols, (shingle, np.full(len(left), id_), np.full(len(left), class_), np.full(len(left), total), left)):
+                    col.append(x)
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols], ["shingle", "id", "class", "total", "left"])
+
+    told = checkpointed(vectors.join(if_few(rest), "id").select("id", "class", "h", "w", "r").mapInArrow(run, "shingle long, id long, class long, total double, left double"))
+    mixed = told.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n")).where("low < high").select("shingle", "n")
+    lists = told.join(mixed, "shingle").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / LIST_ROWS)))
+    lists = checkpointed(lists.groupBy("shingle", "class", "part").agg(F.collect_list(F.struct("id", "total", "left")).alias("texts")))
+    side = lambda c: lists.select("shingle", F.col("class").alias(f"class_{c}"), F.col("texts").alias(f"texts_{c}"))
+    met = side("a").join(side("b"), "shingle").where("class_a < class_b").select(F.explode("texts_a").alias("a"), "texts_b")
+    enough = lambda a, b: F.least(a["left"], b["left"]) >= (least - 1e-5) * F.greatest(a["total"], b["total"])
+    both = met.select("a", F.explode(F.filter("texts_b", lambda b: enough(F.col("a"), b))).alias("b"))
+    return both.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+
+
+def if_few(ids: DataFrame) -> DataFrame:
+    """Written ids, to be broadcast if they are few, so that vectors are picked where they are."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
+def counted(pairs: DataFrame) -> DataFrame:
+    """(id, n): in how many pairs each text is."""
+    return checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n")))
+
+
+def classes_of(pairs: DataFrame, crowded: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """(id, class) of the texts that links hold: those of the pairs, and those that texts of crowded buckets have across
+    the classes that the pairs give."""
+    classes = checkpointed(linked_classes(checkpointed(verified(pairs, vectors.join(counted(pairs), "id"), least))))
+    rest = checkpointed(crowded_classes(crowded, classes))
+    if not rest.limit(1).count():
+        return classes
+    across = checkpointed(pairs_across(rest, vectors, least))
+    links = checkpointed(verified(across, vectors.join(if_few(counted(across)), "id"), least))
+    if not links.limit(1).count():
+        return classes
+    of = lambda c: rest.select(F.col("id").alias(c), F.col("class").alias(f"class_{c}"))
+    joined_ = links.select("a", "b").join(of("a"), "a").join(of("b"), "b").select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"))
+    tops = checkpointed(linked_classes(joined_).select(F.col("id").alias("class"), F.col("class").alias("top")))
+    known = classes.unionByName(tops.select(F.col("class").alias("id"), "class")).distinct()
+    return known.join(tops, "class", "left").select("id", F.coalesce("top", "class").alias("class"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row a document: its id and class_id, the smallest id of its class; a document without near copies has its own.
 
@@ -313,14 +394,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     read, so their names may clash. Ids are integers."""
     spark = docs.sparkSession
     bound_batches(spark)
-    shelf = Shelf(spark)
+    shelf, sources = Shelf(spark), Shelf(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     usable = base.where(F.col("id").isNotNull() & F.col("text").isNotNull())
     size = usable.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     files = min(50_000, max(32, 2 * size // FILE_BYTES))
-    table = shelf.put(shingle_table(usable), (files, "batch"))
+    table = sources.put(shingle_table(usable), (files, "batch"))
     total = table.agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).first()
-    dfs = shelf.put(document_frequencies(table, total.shingles or 0))
+    dfs = sources.put(document_frequencies(table, total.shingles or 0))
     through = lambda wanted, make, schema: weighted(table, dfs, wanted, total.docs, files, make, schema)
 
     first = table.groupBy("id").agg(F.min(F.struct("one", "two", "batch")).alias("first")).select("id", "first.*")
@@ -333,8 +414,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = bucket_members(checkpointed(through(homes, band_maker, fields)))
     # whoever meets another here is all that later steps look at, so these vectors are the only ones that are kept
     meeting = homes.join(members.select("id").distinct(), "id")
-    vectors = shelf.put(through(meeting, vector_maker, "id long, h binary, w binary"))
-    pairs = small_pairs(members, similarity)
+    vectors = shelf.put(through(meeting, vector_maker, "id long, h binary, w binary, r binary"))
+    sources.clear()
+    pairs, crowded = small_pairs(members, similarity), members.where(F.col("n") > CROWD).select("key", "id")
     for tier in range(1, len(TIERS)):
         crowd = members.where(F.col("n") > CROWD).select("id", "total").distinct()
         if not crowd.limit(1).count():
@@ -342,10 +424,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         members = bucket_members(checkpointed(vectors.join(crowd, "id").select("id", "h", "w", "total").mapInArrow(band_keys_of(tier), fields)))
         pairs = pairs.unionByName(small_pairs(members, similarity)).unionByName(leader_pairs(members, similarity))
     pairs = checkpointed(pairs.distinct())
-    needed = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n")))
-    links = checkpointed(verified(pairs, vectors.join(needed, "id"), similarity))
+    classes = checkpointed(classes_of(pairs, crowded, vectors, similarity)).select(F.col("id").alias("rep"), "class")
     shelf.clear()
-    classes = linked_classes(links).select(F.col("id").alias("rep"), "class")
     told = checkpointed(same.select("one", "two", "n", "rep").join(classes, "rep", "left").select("one", "two", "n", F.coalesce("class", "rep").alias("class_id")))
     told = join_by_hot_keys(first.select("id", "one", "two"), told, ["one", "two"], "n", least=1000).select("id", "class_id")
     return base.select("id").join(told, "id", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"))
