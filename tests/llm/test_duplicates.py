@@ -132,6 +132,23 @@ def test_prefixes_of_alike_texts_meet():
     assert alike > 30
 
 
+@pytest.mark.parametrize("list_rows", [1000, 20])
+def test_texts_that_share_one_heavy_shingle_are_not_all_compared(spark, monkeypatch, list_rows):
+    """A shingle that makes up 85 % of each of 60 texts stands in all their prefixes, but no two of them can be alike by it;
+    two texts that are, in two classes, still meet. The blocks of either side of a tile lose none."""
+    monkeypatch.setattr(minhash, "LIST_ROWS", list_rows)
+    rng = np.random.default_rng(9)
+    heavy, rows = np.uint64(1 << 62), []
+    for k in range(60):
+        h = np.sort(np.append(rng.integers(1, 1 << 60, 15, np.uint64), heavy))
+        rows.append([k, h, np.where(h == heavy, 85, 1).astype(np.float32), np.where(h == heavy, 40, 4).astype(np.uint8)])
+    rows.append([60, *(x.copy() for x in rows[7][1:])])
+    rows[-1][2][0] = 2
+    vectors = spark.createDataFrame([(k, *(bytearray(x.tobytes()) for x in xs)) for k, *xs in rows], "id long, h binary, w binary, r binary")
+    rest = spark.createDataFrame([(k, k) for k in range(61)], "id long, class long")
+    assert [tuple(r) for r in minhash.pairs_across(rest, vectors, 0.8).collect()] == [(7, 60)]
+
+
 def test_a_template_of_many_documents_weighs_little(spark, monkeypatch):
     """Texts that share a template and differ in a part of their own: alike by counts, told apart by TF-IDF. The weights
     must be those of the whole table, though every batch sees a few documents only."""

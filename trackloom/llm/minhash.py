@@ -23,8 +23,8 @@ from .common import SHINGLE_WORDS, SIMILARITY, Shelf, Words, bound_batches, chec
 TIERS = [(12, 3), (24, 7), (96, 14)]
 #: Members from which a bucket is crowded, and central members that each member of one meets.
 CROWD, LEADERS = 24, 4
-#: Members of one class that share a list where classes meet.
-LIST_ROWS = 1_000
+#: Texts that share a shingle up to which all their pairs are rows, and texts of either side of a tile where more meet.
+FEW_TEXTS, LIST_ROWS = 24, 1_000
 #: Shingles of the documents that share a batch, and bytes of shingles that share a bucket where they are counted.
 BATCH_SHINGLES, BUCKET_BYTES = 1 << 20, 8 << 20
 #: Bytes of text in one file of the shingles, about.
@@ -334,27 +334,58 @@ def crowded_classes(crowded: DataFrame, classes: DataFrame) -> DataFrame:
 
 def pairs_across(rest: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
     """All pairs (a < b) of texts of different classes that can have the similarity, of those in rest, (id, class): they share
-    a shingle of their prefixes, with enough weight from there on in both."""
+    a shingle of their prefixes. At the first one that they share, what both hold of it and the smaller weight behind it
+    are as much as texts of these weights have in common at the similarity."""
 
     def run(batches):
         for batch in batches:
-            cols = [[] for _ in range(5)]
+            cols = [[] for _ in range(6)]
             for id_, class_, *raw in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                shingle, left, total = prefix(*(np.frombuffer(x, kind) for x, kind in zip(raw, ("<u8", "<f4", "u1"))), least)
-                for col, x in zip(cols, (shingle, np.full(len(left), id_), np.full(len(left), class_), np.full(len(left), total), left)):
+                h, w, rank = (np.frombuffer(x, kind) for x, kind in zip(raw, ("<u8", "<f4", "u1")))
+                shingle, left, total = prefix(h, w, rank, least)
+                own = w[np.searchsorted(h, shingle.view(np.uint64))].astype(float)
+                for col, x in zip(cols, (shingle, np.full(len(own), id_), np.full(len(own), class_), np.full(len(own), total), own, left - own)):
                     col.append(x)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols], ["shingle", "id", "class", "total", "left"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols], ["shingle", "id", "class", "total", "own", "behind"])
 
-    told = checkpointed(vectors.join(if_few(rest), "id").select("id", "class", "h", "w", "r").mapInArrow(run, "shingle long, id long, class long, total double, left double"))
+    told = checkpointed(vectors.join(if_few(rest), "id").select("id", "class", "h", "w", "r").mapInArrow(run, "shingle long, id long, class long, total double, own double, behind double"))
     mixed = told.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n")).where("low < high").select("shingle", "n")
-    lists = told.join(mixed, "shingle").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / LIST_ROWS)))
-    lists = checkpointed(lists.groupBy("shingle", "class", "part").agg(F.collect_list(F.struct("id", "total", "left")).alias("texts")))
-    side = lambda c: lists.select("shingle", F.col("class").alias(f"class_{c}"), F.col("texts").alias(f"texts_{c}"))
-    met = side("a").join(side("b"), "shingle").where("class_a < class_b").select(F.explode("texts_a").alias("a"), "texts_b")
-    enough = lambda a, b: F.least(a["left"], b["left"]) >= (least - 1e-5) * F.greatest(a["total"], b["total"])
-    both = met.select("a", F.explode(F.filter("texts_b", lambda b: enough(F.col("a"), b))).alias("b"))
-    return both.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+    shared = checkpointed(told.join(mixed, "shingle"))
+    return few_across(shared.where(F.col("n") <= FEW_TEXTS), least).unionByName(many_across(shared.where(F.col("n") > FEW_TEXTS), least)).distinct()
+
+
+def few_across(shared: DataFrame, least: float) -> DataFrame:
+    """The pairs across classes of shingles that few texts share, so that no text makes more than FEW_TEXTS rows."""
+    groups = shared.groupBy("shingle").agg(F.array_sort(F.collect_list(F.struct("id", "class", "total", "own", "behind"))).alias("texts"))
+    common = lambda a, b: F.least(a["own"], b["own"]) + F.least(a["behind"], b["behind"])
+    meet = lambda a, b: (a["class"] != b["class"]) & (common(a, b) >= least_common(a["total"], b["total"], least))
+    later = groups.select(F.posexplode("texts").alias("k", "a"), "texts").select("a", F.slice("texts", F.col("k") + 2, F.lit(FEW_TEXTS)).alias("later"))
+    met = later.select("a", F.explode(F.filter("later", lambda b: meet(F.col("a"), b))).alias("b"))
+    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+
+
+def many_across(shared: DataFrame, least: float) -> DataFrame:
+    """The pairs across classes of shingles that many texts share: blocks of the texts meet in tiles of LIST_ROWS by
+    LIST_ROWS, and only the pairs that can have the similarity leave a tile."""
+    blocks = F.ceil(F.col("n") / LIST_ROWS)
+    dealt = shared.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    tiles = dealt.select("shingle", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "class", "total", "own", "behind")
+
+    def meet(tile: pa.Table) -> pa.Table:
+        block, *cols = (tile[c].to_numpy() for c in ("block", "id", "class", "total", "own", "behind"))
+        low, high = block == block.min(), block == tile["high"][0].as_py()
+        (a, class_a, total_a, own_a, behind_a), (b, class_b, total_b, own_b, behind_b) = ([c[side] for c in cols] for side in (low, high))
+        common = np.minimum(own_a[:, None], own_b) + np.minimum(behind_a[:, None], behind_b)
+        i, j = np.nonzero((common >= least_common(total_a[:, None], total_b, least)) & (class_a[:, None] != class_b))
+        return pa.table({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j])})
+
+    return tiles.groupBy("shingle", "low", "high").applyInArrow(meet, "a long, b long")
+
+
+def least_common(a, b, least: float):
+    """What two texts of these total weights have in common at the similarity, at least. The slack is for rounding."""
+    return (least / (1 + least) - 1e-5) * (a + b)
 
 
 def if_few(ids: DataFrame) -> DataFrame:
