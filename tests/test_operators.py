@@ -441,3 +441,15 @@ def test_drift_queries_tell_of_all_steps_beyond_one_and_a_half():
     from trackloom.plans.queries import SQL
 
     assert "abs(z) > 1.5" in SQL["st_drift"] and SQL["st_drift_overlay"].count("abs(z) > 1.5") == 2
+
+
+def test_clustering_makes_its_input_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def told(x):
+        made.add(1)
+        return float(x % 7)
+
+    df = spark.range(60).select(F.col("id"), F.udf(told, "double")("id").alias("a"), F.rand(1).alias("b"))
+    assert pipeline.cluster(df, ["a", "b"], 3).count() == 60
+    assert made.value == 60
