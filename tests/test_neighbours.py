@@ -99,3 +99,42 @@ def test_a_row_alone_in_its_cell_visits_others():
     size = np.array([1, 1, 9])
     marked = neighbours.closest(1, size, 4)(np.array([[0.1, 0.2, 0.3], [0.3, 0.2, 0.1]]), None)
     assert marked.tolist() == [[True, True, True], [False, False, True]]
+
+
+@pytest.mark.parametrize("k", [1, 4])
+def test_blocks_that_serve_both_sides_equal_all_pairs(monkeypatch, k):
+    """Single precision only tells what may count: equal weights, near copies and rows that know nobody yet come out alike."""
+    rng = np.random.default_rng(6)
+    m = rng.standard_normal((300, 16))
+    m[100:160] = m[0] + 1e-4 * rng.standard_normal((60, 16))  # many weights of 1.000000
+    unit = m / np.sqrt((m * m).sum(1, keepdims=True))
+    ids = [[1, *range(900, 900 + k)] if i == 1 else [i] for i in range(300)]  # row 1 stands for several
+    scores = np.round(unit @ unit.T, 6)
+    want = [sorted((-scores[i, j], x) for j in range(300) if i != j for x in ids[j])[:k] for i in range(300)]
+    # no limit, one that is met exactly, and one that nobody meets
+    least = [-2.0 if i % 3 == 0 else -want[i][-1][0] if i % 3 == 1 else 1.1 for i in range(300)]
+    rows = neighbours.pa.table({"key": [bytes([i // 256, i % 256]) for i in range(300)], "v": unit.tolist(), "ids": ids, "least": least})
+    for numbers in (1 << 7, 1 << 16):
+        monkeypatch.setattr(neighbours, "MATRIX", numbers)
+        got = {}
+        for tile in ([rows.slice(0, 150)], [rows.slice(150)], [rows.slice(0, 150), rows.slice(150)]):
+            for r in neighbours.best_of_both(tile, k).to_pylist():
+                got.setdefault(int.from_bytes(r["key"]), []).extend((x["less"], x["id"]) for x in r["near"])
+        for i in range(300):
+            near, true = sorted(got.get(i, []))[:k], want[i] if i % 3 < 2 else []
+            assert [x[1] for x in near] == [x[1] for x in true] and np.allclose([x[0] for x in near], [x[0] for x in true], atol=1e-9)
+
+
+def test_exact_search_of_many_cells_compares_each_pair_once(spark, monkeypatch):
+    """Where most cells are visited, blocks that serve both sides find all, and what the first cells gave isn't found twice."""
+    served = []
+    monkeypatch.setattr(neighbours.Cells, "meet_all", lambda self, asked, choose, *a, f=neighbours.Cells.meet_all: served.append(choose is None) or f(self, asked, choose, *a))
+    monkeypatch.setattr(neighbours, "TILE", 128)
+    m = np.random.default_rng(8).standard_normal((500, 32))
+    assert same(found(table(spark, range(500), m), 4, exact=True, cell_rows=10), all_pairs(range(500), m, 4))
+    assert served == [True]
+
+
+def test_blocks_grow_with_the_rows_and_hold_bounded_vectors():
+    assert neighbours.block_count(102_564, 64) == 8 and neighbours.block_count(615_384, 64) == 16
+    assert neighbours.block_count(100_000, 4_096) * neighbours.BLOCK_BYTES >= 100_000 * 4_096 * 8
