@@ -94,6 +94,20 @@ def test_index_of_many_small_folds(spark, monkeypatch):
     assert got["apple"] == (50, 3, [0, 1, 2]) and got["plum"] == (17, 3, [0, 3, 6]) and got["fig"] == (14, 3, [0, 4, 8])
 
 
+ODD = ['{"a":{"b":1},"a.b":2}', '{"a":{"b":[]}}', '{"a.b":1.5,"a":{"b":"x"}}', '{"a\\"b.c":1,"a\\"b":{"c":2}}', '{"a":[1,2,{"b":3}],"a[]":4}', '7', '"x"', "[]", "{}", "[[1],[2]]", "null", "no json", '{"a":{"b":1.5}}']
+
+
+def test_leaves_that_share_a_path_count_their_document_once(spark):
+    """Keys may hold what paths are written with; documents that can't repeat a path are not shuffled one by one."""
+    df = spark.createDataFrame([(d,) for d in ODD * 3], "json string").repartition(4).select(variants.as_variant("json").alias("doc"))
+    got = {(r.path, r.type): (r.n, r.documents, r["sample"]) for r in variants.leaf_summary(df, "doc").collect()}
+    one = {("$.a.b", "BIGINT"): (6, 3, "1"), ("$.a.b", "ARRAY<VOID>"): (3, 3, "[]"), ("$.a.b", "DECIMAL(2,1)"): (6, 6, "1.5"), ("$.a.b", "STRING"): (3, 3, "x"), ("$.a\"b.c", "BIGINT"): (6, 3, "1")}
+    more = {("$.a[]", "BIGINT"): (9, 3, "1"), ("$.a[].b", "BIGINT"): (3, 3, "3"), ("$", "BIGINT"): (3, 3, "7"), ("$", "STRING"): (3, 3, "x"), ("$", "ARRAY<VOID>"): (3, 3, "[]"), ("$", "OBJECT<>"): (3, 3, "{}"), ("$[][]", "BIGINT"): (6, 3, "1"), ("$", "VOID"): (3, 3, None)}
+    assert got == one | more
+    docs = spark.createDataFrame([(d,) for d in ODD], "json string").select("json", variants.as_variant("json").alias("doc")).where("doc IS NOT NULL")
+    assert {r.json for r in docs.where(~variants.may_repeat_paths("doc")).collect()} == {'7', '"x"', "{}", "null", '{"a":{"b":1.5}}'}
+
+
 @pytest.mark.parametrize("block", [7, 4096])
 def test_silhouettes_equal_all_pairs(spark, block):
     rng = np.random.default_rng(1)
