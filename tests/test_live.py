@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from trackloom.operators import windows
@@ -68,3 +69,45 @@ def test_losses_are_counted_and_dropped(spark, tmp_path):
     late = {k for k, d in enumerate(days) if k >= 6 and d <= max(days[: (k // 3 - 1) * 3]) - 5}
     assert told == {b: (3, sum(k // 3 == b for k in late), round(100 * sum(k // 3 == b for k in late) / 3, 3)) for b in range(5)} and late
     assert {r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()} == set(range(15)) - late
+
+
+class Kept:
+    """A value of state in memory."""
+
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value or []
+
+    def update(self, value):
+        self.value = value
+
+    put = update
+
+
+class Handle:
+    def getValueState(self, *_):  # noqa: N802
+        return Kept()
+
+    getListState = getValueState  # noqa: N815
+
+
+def test_windows_of_many_batches_equal_sums_one_by_one():
+    """Batches that end within windows, or hold many of them; sums are added in the order of the events."""
+    rng, rows, out = random.Random(2), [], []
+    step = count_windows.CountWindows(["a"], 7, 3, 8, None)
+    step.init(Handle())
+    for n in (3, 1, 0, 24, 7, 100, 5):
+        batch = [(len(rows) + k, round(rng.uniform(0, 1000), 2)) for k in range(n)]
+        rows += batch
+        df = pd.DataFrame({"key_": "x", "at": pd.Timestamp(0), "micros": [x[0] for x in batch], "turn": 0, "value0": [x[1] for x in batch]})
+        out += list(step.handleInputRows(("x",), iter([df.sample(frac=1, random_state=1)]), None))
+    got = [tuple(r) for r in pd.concat(out)[["win", "n", "first", "last", "mean"]].itertuples(index=False)]
+    want = [rows[at : at + 7] for at in range(0, len(rows) - 6, 7)]
+    micros = lambda k: pd.Timestamp(k, unit="us")
+    assert got == [(w, 7, micros(x[0][0]), micros(x[-1][0]), round(sum(v for _, v in x) / 7, 4)) for w, x in enumerate(want)]
+    assert step.open.get()[:2] == (20, 0)

@@ -6,6 +6,7 @@ import math
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -71,10 +72,14 @@ class CountWindows(StatefulProcessor):
         every = pd.concat(list(rows)).sort_values(["micros", "turn"], kind="stable")  # of one batch of the stream
         win, n, first, last, sums = self.open.get() if self.open.exists() else (0, 0, 0, 0, [0.0] * len(self.features))
         sums, out = list(sums), []
-        for micros, *values in every.drop(columns=["key_", "at", "turn"]).itertuples(index=False):
-            first = micros if not n else min(first, micros)
-            last, n = micros if not n else max(last, micros), n + 1
-            sums = [a + b for a, b in zip(sums, values, strict=True)]
+        micros, values = every["micros"].to_numpy(), every[[f"value{k}" for k in range(len(self.features))]].to_numpy(dtype=float)
+        at = 0
+        while at < len(micros):  # a window, or what there is of it, at a time
+            to = min(at + self.size - n, len(micros))
+            first = int(micros[at]) if not n else min(first, int(micros[at]))
+            last = int(micros[to - 1]) if not n else max(last, int(micros[to - 1]))
+            sums = np.cumsum(np.vstack([sums, values[at:to]]), axis=0)[-1].tolist()  # one after the other, as events come
+            n, at = n + to - at, to
             if n == self.size:
                 out += self.closed(str(key[0]), win, n, first, last, sums)
                 win, n, sums = win + 1, 0, [0.0] * len(self.features)
