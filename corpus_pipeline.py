@@ -17,7 +17,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: that with the smallest id. Texts without words, null ones too, are copies
     of none; rows of equal id and rows without an id stay as the operator's own statement says."""
-    return minhash.keep_one(docs)
+    return minhash.keep_one(docs, counts=True)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,10 @@ candidates, and exact weighted Jaccard similarity decides. Crowded buckets are d
 all crowded buckets of longer bands every member meets a few central ones. Linked texts form classes, found by star
 contraction of the links. What crowds may still hide is then looked up exactly: of the members of crowded buckets with more
 than one class, those of different classes meet that share a shingle of their prefixes, as all pairs of the similarity do.
+
+What the copies of a large group share is frequent because of them, so their weights alone tell them apart. By counts, too,
+texts can be near copies: candidates may then have the similarity by weights or by counts, and the members of a crowded
+bucket with more than one class all meet across its classes.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ TIERS = [(12, 3), (24, 7), (96, 14)]
 CROWD, LEADERS = 24, 4
 #: Texts that share a shingle up to which all their pairs are rows, and texts of either side of a tile where more meet.
 FEW_TEXTS, LIST_ROWS = 24, 1_000
+#: Shingles at once by which the texts of a tile are compared by counts.
+TILE_SHINGLES = 4_096
 #: Shingles of the documents that share a batch, and bytes of shingles that share a bucket where they are counted.
 BATCH_SHINGLES, BUCKET_BYTES = 1 << 20, 8 << 20
 #: Bytes of text in one file of the shingles, about.
@@ -167,7 +173,7 @@ def frequency_rank(df: np.ndarray) -> np.ndarray:
 
 
 def weighted(table: DataFrame, dfs: DataFrame, wanted: DataFrame, docs: int, files: int, make, schema: str) -> DataFrame:
-    """What make(ids, shingles, weights, ranks of their frequencies) gives for the wanted texts, (batch, id, one), batch by batch. The shingles stay
+    """What make(ids, shingles, counts, weights, ranks of their frequencies) gives for the wanted texts, (batch, id, one), batch by batch. The shingles stay
     where they are: only document frequencies and ids are sent to them."""
     picks = wanted.groupBy("batch").agg(F.collect_list("id").alias("ids"), F.collect_list("one").alias("ones"))  # as many as a batch holds
     none = lambda t: F.lit(None).cast(t)
@@ -176,23 +182,24 @@ def weighted(table: DataFrame, dfs: DataFrame, wanted: DataFrame, docs: int, fil
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         told = told.sort_by("part")
         if not told.num_rows or told["part"][0].as_py() >= 0:  # no text of this batch is wanted
-            return make([], [], [], [])
+            return make([], [], [], [], [])
         left = set(zip(told["ids"][0].as_py(), told["ones"][0].as_py()))
         h = joined(texts["h"], "<u8")
         _, place = np.unique(h, return_inverse=True)
-        df = joined(told["df"].slice(1), "<u8")
-        w = (1 + np.log(docs / df)).astype(np.float32)[place] * joined(texts["c"], "<u4").astype(np.float32)
+        df, c = joined(told["df"].slice(1), "<u8"), joined(texts["c"], "<u4")
+        w = (1 + np.log(docs / df)).astype(np.float32)[place] * c.astype(np.float32)
         rank = frequency_rank(df)[place]
-        ids, vectors, weights, ranks, at = [], [], [], [], 0
+        ids, vectors, counts, weights, ranks, at = [], [], [], [], [], 0
         for id_, one, n in zip(*(texts[k].to_pylist() for k in ("id", "one", "n"))):
             if (id_, one) in left:
                 left.remove((id_, one))
                 ids.append(id_)
                 vectors.append(h[at : at + n])
+                counts.append(c[at : at + n])
                 weights.append(w[at : at + n])
                 ranks.append(rank[at : at + n])
             at += n
-        return make(ids, vectors, weights, ranks)
+        return make(ids, vectors, counts, weights, ranks)
 
     sides = table.select("batch", "id", "one", "n", "h", "c").groupBy("batch"), told.repartition(files, "batch").groupBy("batch")
     return sides[0].cogroup(sides[1]).applyInArrow(run, schema)
@@ -204,53 +211,54 @@ def keys_of(vectors, weights, tier: int) -> list[list[int]]:
     return [band_keys(sampler.sample(h, w), bands, rows).tolist() for h, w in zip(vectors, weights)]
 
 
-def band_maker(ids, vectors, weights, ranks) -> pa.Table:
-    totals = [float(w.sum(dtype=float)) for w in weights]
-    return pa.table({"id": pa.array(ids, pa.int64()), "total": pa.array(totals, pa.float64()), "keys": pa.array(keys_of(vectors, weights, 0) if ids else [], pa.list_(pa.int64()))})
+def band_maker(ids, vectors, counts, weights, ranks) -> pa.Table:
+    totals, sizes = [float(w.sum(dtype=float)) for w in weights], [int(c.sum(dtype=np.int64)) for c in counts]
+    return pa.table({"id": pa.array(ids, pa.int64()), "total": pa.array(totals, pa.float64()), "size": pa.array(sizes, pa.int64()), "keys": pa.array(keys_of(vectors, weights, 0) if ids else [], pa.list_(pa.int64()))})
 
 
 def band_keys_of(tier: int):
     def run(batches):
         for batch in batches:
             sides = ([np.frombuffer(x, kind) for x in batch.column(k).to_pylist()] for k, kind in ((1, "<u8"), (2, "<f4")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(keys_of(*sides, tier), pa.list_(pa.int64()))], ["id", "total", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(4), pa.array(keys_of(*sides, tier), pa.list_(pa.int64()))], ["id", "total", "size", "keys"])
 
     return run
 
 
-def vector_maker(ids, vectors, weights, ranks) -> pa.Table:
-    return pa.table({"id": pa.array(ids, pa.int64())} | {name: pa.array([x.tobytes() for x in column], pa.binary()) for name, column in (("h", vectors), ("w", weights), ("r", ranks))})
+def vector_maker(ids, vectors, counts, weights, ranks) -> pa.Table:
+    return pa.table({"id": pa.array(ids, pa.int64())} | {name: pa.array([x.tobytes() for x in column], pa.binary()) for name, column in (("h", vectors), ("c", counts), ("w", weights), ("r", ranks))})
 
 
-def small_pairs(members: DataFrame, least: float) -> DataFrame:
+def small_pairs(members: DataFrame, least: float, counts: bool = False) -> DataFrame:
     """All pairs (a < b) of the members of buckets that aren't crowded, but those whose weights differ too much for the
-    similarity; members: (key, id, total, n)."""
-    groups = members.where(F.col("n") <= CROWD).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("id", "total"))).alias("texts"))
+    similarity; members: (key, id, total, size, n)."""
+    groups = members.where(F.col("n") <= CROWD).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("id", "total", "size"))).alias("texts"))
     firsts = groups.select("texts", F.posexplode("texts").alias("k", "a"))
     both = firsts.select("a", F.explode(F.slice("texts", F.col("k") + 2, F.lit(CROWD))).alias("b"))
-    return both.where(alike(F.col("a.total"), F.col("b.total"), least)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    return both.where(alike("a.", "b.", least, counts)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
-def alike(a: Column, b: Column, least: float) -> Column:
-    """Whether texts of these total weights can have the similarity: what they share is at most the smaller weight. The
-    slack is for rounding."""
-    return F.least(a, b) >= (least - 1e-5) * F.greatest(a, b)
+def alike(a: str, b: str, least: float, counts: bool) -> Column:
+    """Whether texts of these total weights, or of these numbers of shingles if counts decide too, can have the similarity:
+    what they share is at most the smaller one. The slack is for rounding."""
+    can = lambda x: F.least(a + x, b + x) >= (least - 1e-5) * F.greatest(a + x, b + x)
+    return can("total") | can("size") if counts else can("total")
 
 
 def bucket_members(signed: DataFrame) -> DataFrame:
-    """(key, id, total, n) for the buckets with two texts or more. Rows are small; adaptive plans split a crowded bucket's."""
-    keys = signed.select("id", "total", F.explode(F.array_distinct("keys")).alias("key"))
+    """(key, id, total, size, n) for the buckets with two texts or more. Rows are small; adaptive plans split a crowded bucket's."""
+    keys = signed.select("id", "total", "size", F.explode(F.array_distinct("keys")).alias("key"))
     return checkpointed(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
 
 
-def leader_pairs(members: DataFrame, least: float) -> DataFrame:
+def leader_pairs(members: DataFrame, least: float, counts: bool = False) -> DataFrame:
     """Pairs of each member of a crowded bucket with its central ones: those that share most buckets with others."""
     crowded = members.where(F.col("n") > CROWD)
     weight = crowded.groupBy("id").agg(F.sum("n").alias("central"))
     told = crowded.join(weight, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(LEADERS)))
-    heads = told.groupBy("key", "part").agg(F.max(F.struct("central", (-F.col("id")).alias("minus"), "total")).alias("top"))
-    met = crowded.select("key", "id", "total").join(heads.select("key", (-F.col("top.minus")).alias("lead"), F.col("top.total").alias("other")), "key")
-    met = met.where((F.col("id") != F.col("lead")) & alike(F.col("total"), F.col("other"), least))
+    heads = told.groupBy("key", "part").agg(F.max(F.struct("central", (-F.col("id")).alias("minus"), "total", "size")).alias("top"))
+    met = crowded.select("key", "id", "total", "size").join(heads.select("key", (-F.col("top.minus")).alias("lead"), F.col("top.total").alias("_total"), F.col("top.size").alias("_size")), "key")
+    met = met.where((F.col("id") != F.col("lead")) & alike("", "_", least, counts))
     return met.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
 
 
@@ -283,9 +291,9 @@ def linked_classes(links: DataFrame) -> DataFrame:
 
 
 def with_vectors(pairs: DataFrame, vectors: DataFrame, side: str, hot: DataFrame | None) -> DataFrame:
-    """pairs with the shingles h and weights w of one side. What many pairs share comes by broadcast, so that no task gets
+    """pairs with the shingles h, weights w and counts c of one side. What many pairs share comes by broadcast, so that no task gets
     all pairs of one document."""
-    told = vectors.select(F.col("id").alias(side), F.col("h").alias(f"h_{side}"), F.col("w").alias(f"w_{side}"))
+    told = vectors.select(F.col("id").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in ("h", "w", "c")])
     if hot is None:
         return pairs.join(told, side)
     few = F.broadcast(hot.select(F.col("id").alias(side)))
@@ -300,8 +308,9 @@ def similarity_of(h_a: np.ndarray, w_a: np.ndarray, h_b: np.ndarray, w_b: np.nda
     return float(common / (w_a.sum(dtype=float) + w_b.sum(dtype=float) - common))
 
 
-def verified(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
-    """The pairs whose weighted Jaccard similarity is at least that, with it. vectors has n, in how many pairs each is."""
+def verified(pairs: DataFrame, vectors: DataFrame, least: float, counts: bool = False) -> DataFrame:
+    """The pairs whose weighted Jaccard similarity is at least that, with it; or that by counts, if those decide too and it
+    is more. vectors has n, in how many pairs each is."""
     many = max(300, 2 * pairs.count() // HOT_VECTORS)  # all n add up to twice the pairs, so at most HOT_VECTORS are hot
     hot = vectors.where((F.col("n") > many) & (F.octet_length("h") <= HOT_BYTES)).select("id")
     hot = hot if hot.limit(1).count() else None
@@ -309,10 +318,14 @@ def verified(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sims = [similarity_of(*(np.frombuffer(x, k) for x, k in zip(row, ("<u8", "<f4", "<u8", "<f4")))) for row in zip(*(batch.column(k).to_pylist() for k in range(2, 6)))]
+            sims = []
+            for row in zip(*(batch.column(k).to_pylist() for k in range(2, 8))):
+                h_a, w_a, c_a, h_b, w_b, c_b = (np.frombuffer(x, k) for x, k in zip(row, ("<u8", "<f4", "<u4") * 2))
+                sim = similarity_of(h_a, w_a, h_b, w_b)
+                sims.append(max(sim, similarity_of(h_a, c_a, h_b, c_b)) if counts and sim < least else sim)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], ["a", "b", "similarity"])
 
-    return both.select("a", "b", "h_a", "w_a", "h_b", "w_b").mapInArrow(run, "a long, b long, similarity double").where(F.col("similarity") >= least)
+    return both.select("a", "b", "h_a", "w_a", "c_a", "h_b", "w_b", "c_b").mapInArrow(run, "a long, b long, similarity double").where(F.col("similarity") >= least)
 
 
 def prefix(h: np.ndarray, w: np.ndarray, rank: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, float]:
@@ -325,11 +338,80 @@ def prefix(h: np.ndarray, w: np.ndarray, rank: np.ndarray, least: float) -> tupl
     return h[order][inside].view(np.int64), left[inside], float(left[0])
 
 
-def crowded_classes(crowded: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, class): the members of crowded buckets, (key, id), that hold texts of more than one class."""
+def mixed_buckets(crowded: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, id, class, n): the members of crowded buckets, (key, id), that hold texts of more than one class, and how many
+    members the bucket has."""
     told = checkpointed(crowded.join(classes, "id", "left").select("key", "id", F.coalesce("class", "id").alias("class")))
-    mixed = told.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
-    return told.join(mixed, "key", "left_semi").select("id", "class").distinct()
+    mixed = told.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
+    return checkpointed(told.join(mixed, "key"))
+
+
+def elements(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """A shingle that a text has several times as so many numbers, the first of them itself: what two texts have of them in
+    common is the sum of the smaller counts."""
+    e, nth = np.repeat(h, c), np.arange(c.sum(dtype=np.int64)) - np.repeat(np.cumsum(c, dtype=np.int64) - c, c)
+    return np.where(nth > 0, finish(e + nth.astype(np.uint64) * np.uint64(MULTIPLIER)), e)
+
+
+def in_common(texts: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How many elements each of the texts at low has in common with each of those at high."""
+    every, place = np.unique(np.concatenate(texts), return_inverse=True)
+    row = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+    often = np.bincount(place, minlength=len(every)) > 1
+    shared = often[place]
+    row, place = row[shared], (np.cumsum(often) - 1)[place[shared]]
+    order = place.argsort(kind="stable")
+    row, place = row[order], place[order]
+    common = np.zeros((len(low), len(high)), np.float32)
+    for at in range(0, int(often.sum()), TILE_SHINGLES):
+        part = slice(*np.searchsorted(place, [at, at + TILE_SHINGLES]))
+        held = np.zeros((len(texts), TILE_SHINGLES), np.float32)
+        held[row[part], place[part] - at] = 1
+        common += held[low] @ held[high].T
+    return common
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """As few of the links (a, b) as hold together what all of them do."""
+    top: dict[int, int] = {}
+    out = []
+    for x, y in zip(a.tolist(), b.tolist()):
+        ends = []
+        for z in (x, y):
+            while top.get(z, z) != z:
+                top[z] = z = top.get(top[z], top[z])
+            ends.append(z)
+        if ends[0] != ends[1]:
+            top[ends[0]] = ends[1]
+            out.append((x, y))
+    return out
+
+
+def links_by_counts(mixed: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """(a, b): links that hold together all classes of which two texts of one bucket have the similarity by counts. All
+    members of a bucket (key, id, class, n) meet across its classes, in tiles of LIST_ROWS by LIST_ROWS."""
+    blocks = F.ceil(F.col("n") / LIST_ROWS)
+    told = vectors.join(if_few(checkpointed(mixed.select("id").distinct())), "id").select("id", "h", "c")
+    dealt = mixed.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    tiles = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "class").join(told, "id")
+
+    def meet(tile: pa.Table) -> pa.Table:
+        of, kind = tile["block"].to_numpy(), tile["class"].to_numpy()
+        texts = [elements(np.frombuffer(h, "<u8"), np.frombuffer(c, "<u4")) for h, c in zip(tile["h"].to_pylist(), tile["c"].to_pylist())]
+        size = np.array([len(x) for x in texts])
+        known, n = np.unique(kind, return_counts=True)
+        most = kind == known[n.argmax()]  # texts of one class need not meet
+        low, high = of == tile["low"][0].as_py(), of == tile["high"][0].as_py()
+        links = []
+        for p, q in ((low & ~most, high), (low & most, high & ~most)):
+            p, q = np.flatnonzero(p), np.flatnonzero(q)
+            if len(p) and len(q):
+                i, j = np.nonzero((in_common(texts, p, q) >= least_common(size[p, None], size[q], least)) & (kind[p, None] != kind[q]))
+                links.append((kind[p[i]], kind[q[j]]))
+        links = spanning(*(np.concatenate(x) for x in zip(*links))) if links else []
+        return pa.table({"a": pa.array([min(x) for x in links], pa.int64()), "b": pa.array([max(x) for x in links], pa.int64())})
+
+    return tiles.groupBy("key", "low", "high").applyInArrow(meet, "a long, b long")
 
 
 def pairs_across(rest: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
@@ -398,11 +480,24 @@ def counted(pairs: DataFrame) -> DataFrame:
     return checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n")))
 
 
-def classes_of(pairs: DataFrame, crowded: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes, (id, class), with those that links (a, b) hold together made one. A text that no row names is a class."""
+    tops = checkpointed(linked_classes(links).select(F.col("id").alias("class"), F.col("class").alias("top")))
+    known = classes.unionByName(tops.select(F.col("class").alias("id"), "class")).distinct()
+    return known.join(tops, "class", "left").select("id", F.coalesce("top", "class").alias("class"))
+
+
+def classes_of(pairs: DataFrame, crowded: DataFrame, vectors: DataFrame, least: float, counts: bool) -> DataFrame:
     """(id, class) of the texts that links hold: those of the pairs, and those that texts of crowded buckets have across
     the classes that the pairs give."""
-    classes = checkpointed(linked_classes(checkpointed(verified(pairs, vectors.join(counted(pairs), "id"), least))))
-    rest = checkpointed(crowded_classes(crowded, classes))
+    classes = checkpointed(linked_classes(checkpointed(verified(pairs, vectors.join(counted(pairs), "id"), least, counts))))
+    mixed = mixed_buckets(crowded, classes)
+    if counts and mixed.limit(1).count():
+        links = checkpointed(links_by_counts(mixed, vectors, least))
+        if links.limit(1).count():
+            classes = checkpointed(joined_classes(classes, links))
+            mixed = mixed_buckets(crowded, classes)
+    rest = checkpointed(mixed.select("id", "class").distinct())
     if not rest.limit(1).count():
         return classes
     across = checkpointed(pairs_across(rest, vectors, least))
@@ -411,13 +506,12 @@ def classes_of(pairs: DataFrame, crowded: DataFrame, vectors: DataFrame, least:
         return classes
     of = lambda c: rest.select(F.col("id").alias(c), F.col("class").alias(f"class_{c}"))
     joined_ = links.select("a", "b").join(of("a"), "a").join(of("b"), "b").select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"))
-    tops = checkpointed(linked_classes(joined_).select(F.col("id").alias("class"), F.col("class").alias("top")))
-    known = classes.unionByName(tops.select(F.col("class").alias("id"), "class")).distinct()
-    return known.join(tops, "class", "left").select("id", F.coalesce("top", "class").alias("class"))
+    return joined_classes(classes, joined_)
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, counts: bool = False) -> DataFrame:
     """One row a document: its id and class_id, the smallest id of its class; a document without near copies has its own.
+    counts: texts are near copies, too, if their shingles have the similarity by counts alone.
 
     Texts with the same shingles as often are one text. Documents with a null text, a text without words or a null id are
     in a class of their own. Rows with equal ids are one document, and give one row each; the text that comes first by
@@ -441,31 +535,31 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     same = checkpointed(same.select("one", "two", "n", F.col("least.id").alias("rep"), F.col("least.batch").alias("batch")))
     homes = same.select("batch", F.col("rep").alias("id"), "one")
 
-    fields = "id long, total double, keys array<long>"
+    fields = "id long, total double, size long, keys array<long>"
     members = bucket_members(checkpointed(through(homes, band_maker, fields)))
     # whoever meets another here is all that later steps look at, so these vectors are the only ones that are kept
     meeting = homes.join(members.select("id").distinct(), "id")
-    vectors = shelf.put(through(meeting, vector_maker, "id long, h binary, w binary, r binary"))
+    vectors = shelf.put(through(meeting, vector_maker, "id long, h binary, c binary, w binary, r binary"))
     sources.clear()
-    pairs, crowded = small_pairs(members, similarity), members.where(F.col("n") > CROWD).select("key", "id")
+    pairs, crowded = small_pairs(members, similarity, counts), members.where(F.col("n") > CROWD).select("key", "id")
     for tier in range(1, len(TIERS)):
-        crowd = members.where(F.col("n") > CROWD).select("id", "total").distinct()
+        crowd = members.where(F.col("n") > CROWD).select("id", "total", "size").distinct()
         if not crowd.limit(1).count():
             break
-        members = bucket_members(checkpointed(vectors.join(crowd, "id").select("id", "h", "w", "total").mapInArrow(band_keys_of(tier), fields)))
-        pairs = pairs.unionByName(small_pairs(members, similarity)).unionByName(leader_pairs(members, similarity))
+        members = bucket_members(checkpointed(vectors.join(crowd, "id").select("id", "h", "w", "total", "size").mapInArrow(band_keys_of(tier), fields)))
+        pairs = pairs.unionByName(small_pairs(members, similarity, counts)).unionByName(leader_pairs(members, similarity, counts))
     pairs = checkpointed(pairs.distinct())
-    classes = checkpointed(classes_of(pairs, crowded, vectors, similarity)).select(F.col("id").alias("rep"), "class")
+    classes = checkpointed(classes_of(pairs, crowded, vectors, similarity, counts)).select(F.col("id").alias("rep"), "class")
     shelf.clear()
     told = checkpointed(same.select("one", "two", "n", "rep").join(classes, "rep", "left").select("one", "two", "n", F.coalesce("class", "rep").alias("class_id")))
     told = join_by_hot_keys(first.select("id", "one", "two"), told, ["one", "two"], "n", least=1000).select("id", "class_id")
     return base.select("id").join(told, "id", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"))
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", counts: bool = False) -> DataFrame:
     """The document of each class that has the smallest id, with its own columns; documents without an id stay. Texts are
     only moved if the ids that go are too many to broadcast."""
-    classes = near_duplicates(docs, id_col=id_col)
+    classes = near_duplicates(docs, id_col=id_col, counts=counts)
     gone = checkpointed(classes.where(F.col(id_col) != F.col("class_id")).select(id_col).distinct())
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti")
