@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trackloom.functions.ordering import numbered, running_max, running_total
 from trackloom.functions.quantiles import quantiles
 from trackloom.functions.text import code_points, credits, human_size, tokens
+from trackloom.functions.written import scratch, stored
 from trackloom.operators import clean, docs, graph, ml, relational, stats, windows
 from trackloom.plans import pipeline
 from trackloom.sources import documents, files
@@ -453,3 +454,23 @@ def test_clustering_makes_its_input_once(spark):
     df = spark.range(60).select(F.col("id"), F.udf(told, "double")("id").alias("a"), F.rand(1).alias("b"))
     assert pipeline.cluster(df, ["a", "b"], 3).count() == 60
     assert made.value == 60
+
+
+def test_scratch_tables_go_and_others_stay(spark):
+    exists = lambda df: spark.sparkContext._jvm.java.io.File(df.inputFiles()[0].removeprefix("file://")).exists()
+    with scratch(spark):
+        here, there = stored(spark.range(9)), stored(spark.range(9), stays=True)
+        order = numbered(here, ["id"])
+        assert exists(here) and order.inputFiles() and order.count() == 9
+        order = order.select("id").inputFiles()
+    assert not exists(here) and exists(there) and stored(there).count() == 9
+    assert not spark.sparkContext._jvm.java.io.File(order[0].removeprefix("file://")).exists()
+    with pytest.raises(ZeroDivisionError), scratch(spark):
+        here = stored(spark.range(9))
+        1 / 0
+    assert not exists(here) and exists(there)
+
+
+def test_the_first_of_a_key_by_all_columns(spark):
+    df = spark.createDataFrame([(1, "b", 2), (1, "a", 9), (1, None, 5), (2, "c", 1)], "k int, s string, n int")
+    assert {tuple(r) for r in clean.first_by_key(df, "k", ["s", "n"]).collect()} == {tuple(r) for r in clean.first_by_key(df, "k", ["n", "s"]).where("k = 2").collect()} | {(1, None, 5)}
