@@ -456,6 +456,12 @@ def test_clustering_makes_its_input_once(spark):
     assert made.value == 60
 
 
+def test_the_graph_of_a_run_has_all_items(raw):
+    items = clean.clean_items(raw, FEATURES, 1960, 2023).withColumn("cluster", F.lit(0))
+    tables = pipeline.analyses(items, pipeline.RunConfig(k=3), items.limit(0))["graph"]()
+    assert tables["density"].first().n == 400 and tables["communities"].agg(F.sum("size")).first()[0] == 400
+
+
 def test_scratch_tables_go_and_others_stay(spark):
     exists = lambda df: spark.sparkContext._jvm.java.io.File(df.inputFiles()[0].removeprefix("file://")).exists()
     with scratch(spark):
